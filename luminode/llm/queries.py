@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luminode.llm import decontam, fingerprints, licenses, neardup, packing, quality, secrets, tokens, warc
+from luminode.llm import decontam, fingerprints, licenses, maxent, neardup, packing, quality, secrets, tokens, warc
 from luminode.llm.common import fold, table
 
 
@@ -42,6 +42,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = maxent.score_documents(docs, *maxent.train(maxent.learning(docs)))
+    return scored.select("doc_id", (fold(F.col("doc_id"), maxent.FOLDS) == maxent.HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -70,6 +76,7 @@ QUERIES = {
         op2_quality,
         op3_fingerprints,
         op4_decontamination,
+        op5_language_model,
         op6_packing,
         op7_near_duplicates,
         op8_warc,
