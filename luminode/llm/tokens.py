@@ -54,7 +54,7 @@ class PrefixCounter:
         return text.split(" ")
 
     def learn(self, words: list[str]) -> None:
-        new = list(set(words) - self.cost.keys())
+        new = list(set(words).difference(self.cost))
         if new:
             if len(self.cost) + len(new) > CACHE_WORDS:
                 self.cost = {}
