@@ -58,23 +58,27 @@ def orient(seq, start, end):
     return F.when(col(start) < col(end), col(seq)).otherwise(reverse_complement(seq))
 
 
-def _mismatches(q, s):
-    """0-based places where two aligned sequences differ."""
-    both = F.zip_with(F.split(col(q), ""), F.split(col(s), ""), lambda a, b: a != b)
-    return F.filter(F.transform(both, lambda differs, i: F.when(differs, i)), lambda i: i.isNotNull())
+def bound(value, body):
+    """body(value) with value computed once per row, not once per element of a lambda in body."""
+    return F.transform(F.array(value), body)[0]
 
 
 def max_homology(q, s, mode: str = "compat"):
-    """Longest stretch without mismatch of an aligned pair.
+    """Longest stretch without mismatch of an aligned pair, in one pass over its places.
 
     compat: an inner stretch counts as the distance of its two mismatches, one more than its
     length; first and last stretch count exactly. exact: true lengths.
     """
-    at = _mismatches(q, s)
     less = 1 if mode == "exact" else 0
-    gaps = F.transform(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), lambda x, i: x - F.element_at(at, i + 1) - less)
-    ends = F.array(F.element_at(at, 1), F.length(col(q)) - 1 - F.element_at(at, -1))
-    return F.when(F.length(col(q)) == 0, 0).when(col(q) == col(s), F.length(col(q))).otherwise(F.array_max(F.concat(gaps, ends)))
+    differ = F.zip_with(F.split(col(q), ""), F.split(col(s), ""), lambda a, b: a != b)
+    state = lambda at, last, best: F.struct(at.alias("at"), last.alias("last"), best.alias("best"))
+
+    def step(x, differs):
+        gap = F.when(x["last"] < 0, x["at"]).otherwise(x["at"] - x["last"] - less)
+        return state(x["at"] + 1, F.when(differs, x["at"]).otherwise(x["last"]), F.when(differs, F.greatest(x["best"], gap)).otherwise(x["best"]))
+
+    found = F.aggregate(differ, state(F.lit(0), F.lit(-1), F.lit(0)), step, lambda x: F.when(x["last"] < 0, x["at"]).otherwise(F.greatest(x["best"], x["at"] - 1 - x["last"])))
+    return F.when(F.length(col(q)) == 0, 0).otherwise(found)
 
 
 def longest_run(q, s):
@@ -222,8 +226,7 @@ def parse_timestamp(c):
 
 def norm_max(v):
     """A spectrum over its largest value."""
-    top = F.array_max(col(v))
-    return F.transform(col(v), lambda x: x / top)
+    return bound(F.array_max(col(v)), lambda top: F.transform(col(v), lambda x: x / top))
 
 
 def subtract_background(v, background, factor, channels: int = 32, absolute: bool = False):
@@ -301,9 +304,9 @@ def chi2_distance(a, b):
 
 def correlation_distance(a, b):
     """1 less the Pearson correlation of two spectra."""
-    n = F.size(col(a))
-    centred = lambda v: F.transform(v, lambda x: x - F.aggregate(v, F.lit(0.0), lambda s, y: s + y) / n)
-    return cosine(centred(col(a)), centred(col(b)))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y) / F.size(v)
+    centred = lambda v: bound(mean(v), lambda m: F.transform(v, lambda x: x - m))
+    return bound(centred(col(a)), lambda x: bound(centred(col(b)), lambda y: cosine(x, y)))
 
 
 def channel_differences(v):
