@@ -46,7 +46,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        new = set(words) - known.keys()
+        new = set(words).difference(known)
         if new:
             if len(known) > CACHE_WORDS:
                 known.clear()
