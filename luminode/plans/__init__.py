@@ -1,6 +1,6 @@
 """Queries of the library's operators over the given tables, each beside the SQL that gives its rows."""
 
-from luminode.plans import q_functions, q_joins
+from luminode.plans import q_functions, q_joins, q_summaries
 from luminode.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "q_functions", "q_joins"]
+__all__ = ["ORACLE_SQL", "QUERIES", "q_functions", "q_joins", "q_summaries"]
