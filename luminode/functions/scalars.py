@@ -119,6 +119,11 @@ def melting_temperature(seq, sodium: float = 390.0, oligo: float = 5.0, partner:
     return F.when((F.length(seq) >= 2) & (F.length(F.translate(seq, "ACGT", "")) == 0), corrected - 273.15)
 
 
+def kmers(seq, k: int):
+    """All substrings of k letters, in order; one pass, whatever the length (substring would walk from the start each time)."""
+    return F.regexp_extract_all(col(seq), F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+
+
 def quad_g(seq):
     """Runs of four G plus runs of five G, each counted without overlap."""
     return F.regexp_count(col(seq), F.lit("GGGG")) + F.regexp_count(col(seq), F.lit("GGGGG"))

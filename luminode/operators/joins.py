@@ -179,12 +179,9 @@ def seed_hits(probes: DataFrame, targets: DataFrame, k: int, max_targets_per_see
     diagonal are one hit, whose whole window inside the target is compared: length, matches, mch
     and the longest true run. Every seed is used; a bound on targets per seed is the caller's choice.
     """
-    places = lambda size: F.sequence(F.lit(1), size - k + 1)
     strands = probes.select("probe_id", F.lit("+").alias("strand"), "seq").union(probes.select("probe_id", F.lit("-"), S.reverse_complement("seq")))
-    strands = strands.where(F.length("seq") >= k)
-    p = strands.select("probe_id", "strand", F.col("seq").alias("q"), F.explode(places(F.length("seq"))).alias("i")).withColumn("seed", F.substring(F.col("q"), F.col("i"), F.lit(k)))
-    t = targets.where(F.length("seq") >= k).select("molecule_id", F.col("seq").alias("t"), F.explode(places(F.length("seq"))).alias("j"))
-    t = t.select("molecule_id", "j", F.substring(F.col("t"), F.col("j"), F.lit(k)).alias("seed"))
+    p = strands.select("probe_id", "strand", F.posexplode(S.kmers("seq", k)).alias("i", "seed"))
+    t = targets.select("molecule_id", F.posexplode(S.kmers("seq", k)).alias("j", "seed"))
     wanted = t.join(p.select("seed").distinct(), "seed", "left_semi")
     if max_targets_per_seed:
         common = wanted.groupBy("seed").agg(F.count_distinct("molecule_id").alias("n")).where(F.col("n") > max_targets_per_seed)
