@@ -41,9 +41,11 @@ class PrefixCounter:
     """Exact token counts of the prefixes of a text."""
 
     split = re.compile(f"[ {BLANK}]+[^ {BLANK}]*")
+    #: A single blank at the end of a text: nothing is left to encode, yet it is one token.
+    alone = {"": 1}
 
     def __init__(self, encode):
-        self.encode, self.cost = encode, {}
+        self.encode, self.cost = encode, dict(self.alone)
 
     def words(self, text: str) -> list[str]:
         """Words without their first blank, which the model adds by itself to what it encodes."""
@@ -57,8 +59,8 @@ class PrefixCounter:
         new = list(set(words).difference(self.cost))
         if new:
             if len(self.cost) + len(new) > CACHE_WORDS:
-                self.cost = {}
-                new = list(set(words))
+                self.cost = dict(self.alone)
+                new = list(set(words) - {""})
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 self.cost.update(zip(part, map(len, self.encode(part))))
