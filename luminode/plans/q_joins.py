@@ -161,7 +161,7 @@ _REF = f"(SELECT label AS code, {GATE_SQL} AS f, v AS w, vec_id % 2 AS replicate
 _WHOLE = _cos_sql(1, 64).replace("a[", "v[").replace("b[", "w[")
 
 
-@query(f"SELECT vec_id, replicate, code, round(dist, 6) + 0.0 AS distance FROM (SELECT vec_id, replicate, code, {_WHOLE} AS dist, row_number() OVER (PARTITION BY vec_id, replicate ORDER BY round({_WHOLE}, 9), code) AS r FROM (SELECT vec_id, v, {GATE_SQL} AS f FROM {SPECTRA}) JOIN {_REF} USING (f)) WHERE r = 1")
+@query(f"SELECT vec_id, replicate, code, round(round(dist, 9), 6) + 0.0 AS distance FROM (SELECT vec_id, replicate, code, {_WHOLE} AS dist, row_number() OVER (PARTITION BY vec_id, replicate ORDER BY round({_WHOLE}, 9), code) AS r FROM (SELECT vec_id, v, {GATE_SQL} AS f FROM {SPECTRA}) JOIN {_REF} USING (f)) WHERE r = 1")
 def c16_nearest_spectrum(spark, d):
     s = spectra(spark, d).withColumn("flags", S.gate("v", GATE, THRESHOLDS))
     ref = s.where("vec_id % 10 = 0").select(F.col("label").alias("code"), "flags", F.col("v").alias("ref_v"), (F.col("vec_id") % 2).alias("replicate"))
