@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from luminode.llm.common import stored
@@ -18,10 +17,10 @@ from luminode.llm.components import connected_components
 SLOTS = 160
 ROWS = 5  # 32 bands of 5: a pair of similarity 0.8 shares none with probability 3e-6
 SIMILARITY = 80  # per cent
-#: A pair goes to verification if so many slots agree: six standard deviations below 0.8.
-MIN_AGREE = 98
+#: A pair goes to verification unless so many standard deviations fewer slots agree than at the limit.
+DEVIATIONS = 4.5
 #: Members compared in one piece; a larger bucket is compared piece by piece.
-PIECE = 1024
+PIECE = 256
 CACHE_WORDS = 300_000
 CHUNK = 64
 
@@ -131,11 +130,11 @@ def signatures(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str =
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(bucket, id, n): a row for each class and band."""
+    """(bucket, band, id, n): a row for each class and band."""
     step = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(SLOTS // ROWS - 1))).alias("band")
     rows = classes.select("id", "n", "signature", band)
-    return rows.select(F.xxhash64(F.expr(f"substring(signature, band * {step} + 1, {step})"), "band").alias("bucket"), "id", "n")
+    return rows.select(F.xxhash64(F.expr(f"substring(signature, band * {step} + 1, {step})"), "band").alias("bucket"), "band", "id", "n")
 
 
 def fits(a: str, b: str, similarity: int):
@@ -173,72 +172,137 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) ->
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _estimated(rows: DataFrame, similarity: int, most: int) -> DataFrame:
-    """Pairs of different components inside the pieces of unresolved buckets whose slots agree.
+def spread_factor(slots: int, largest: int = 4096) -> np.ndarray:
+    """Variance of a SuperMinHash estimate over that of MinHash, by the size of the union (1 beyond the last)."""
+    u = np.arange(largest + 1, dtype=float)[:, None]
+    level = np.arange(1, slots, dtype=float)[None]
+    power = lambda x: np.exp(u * (np.log(level / slots) + np.log(np.maximum(x, 1e-300) / (slots - 1))))
+    terms = power(level + 1) + power(level - 1) - 2 * power(level)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = 1 - terms.sum(axis=1) * (slots - 1) / (u[:, 0] - 1)
+    out[:2] = 0
+    return np.clip(out, 0.0, 1.0)
 
-    rows: (bucket, p, q, side, id, n, component, signature), side 0 for piece p and 1 for piece q.
-    Gives (a, b, c, d, agree, cut): ids, components, equal slots; of each two components in a piece
-    the `most` likeliest pairs, with cut set where there were more.
-    """
-
-    def pairs(left, right):
-        (ia, na, ca, sa), (ib, nb, cb, sb) = left, right
-        found: dict = {}
-        for k in range(len(ia)):
-            ok = (cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= similarity * np.maximum(nb, na[k]))
-            if left is right:
-                ok[: k + 1] = False
-            where = np.flatnonzero(ok)
-            if not len(where):
-                continue
-            agree = (sb[where] == sa[k]).sum(axis=1)
-            for j, n in zip(where[agree >= MIN_AGREE].tolist(), agree[agree >= MIN_AGREE].tolist()):
-                a, b = sorted((int(ia[k]), int(ib[j])))
-                c, d = sorted((int(ca[k]), int(cb[j])))
-                held = found.setdefault((c, d), [])
-                heapq.heappush(held, (n, -a, -b))
-                if len(held) > most + 1:
-                    heapq.heappop(held)
-        for (c, d), held in found.items():
-            cut = len(held) > most
-            for n, a, b in sorted(held, reverse=True)[:most]:
-                yield -a, -b, c, d, n, cut
-
-    def columns(side):
-        ids, ns, components, marks = zip(*side)
-        return np.array(ids), np.array(ns), np.array(components), np.stack([np.frombuffer(m, np.uint16) for m in marks])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [*[pa.int64()] * 5, pa.bool_()]
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found) if found else [[]] * 6, kinds)], ["a", "b", "c", "d", "agree", "cut"])
+def needed_slots(similarity: int, slots: int = SLOTS) -> np.ndarray:
+    """Least number of equal slots of a pair worth verifying, by the size of its union at the limit."""
+    limit = similarity / 100
+    deviation = np.sqrt(limit * (1 - limit) / slots * spread_factor(slots))
+    return np.floor(slots * (limit - DEVIATIONS * deviation)).astype(np.int64)
 
-        def piece(key, sides):
-            if key and sides[0] and (sides[1] or key[1] == key[2]):
-                left = columns(sides[0])
-                yield from pairs(left, columns(sides[1]) if sides[1] else left)
 
-        key, sides, found = None, ([], []), []
-        for batch in batches:
-            for bucket, p, q, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, p, q) != key:
-                    found += piece(key, sides)
-                    key, sides = (bucket, p, q), ([], [])
-                sides[side].append(row)
-            if len(found) > 10_000:
-                yield out(found)
-                found = []
-        yield out(found + list(piece(key, sides)))
-
-    ordered = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return ordered.select("bucket", "p", "q", "side", "id", "n", "component", "signature").mapInArrow(compare, "a long, b long, c long, d long, agree long, cut boolean")
+def _likely(left, right, band: int, similarity: int, needed: np.ndarray):
+    """(k, js): for each left member the right ones that may be linked with it and are not yet.
 
+    Sides are (ids, set sizes, components, signatures). A pair is seen in the first band it shares only.
+    """
+    (_, na, ca, sa), (_, nb, cb, sb) = left, right
+    for k in range(len(na)):
+        ok = (cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= similarity * np.maximum(nb, na[k]))
+        if left is right:
+            ok[: k + 1] = False
+        js = np.flatnonzero(ok)
+        if len(js):
+            equal = sb[js] == sa[k]
+            union = ((na[k] + nb[js]) * 100 // (100 + similarity)).clip(max=len(needed) - 1)
+            keep = equal.sum(axis=1) >= needed[union]
+            js, equal = js[keep], equal[keep]
+            js = js[equal.reshape(len(js), SLOTS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(js):
+            yield k, js
+
+
+def _by_piece(batches: Iterator[pa.RecordBatch], keys: int = 4):
+    """(key, rows of side 0, rows of side 1) of each piece; rows come ordered by their first `keys` columns."""
+    key, sides = None, ([], [])
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != key:
+                if key:
+                    yield key, *sides
+                key, sides = row[:keys], ([], [])
+            sides[row[keys]].append(row[keys + 1 :])
+    if key:
+        yield key, *sides
+
+
+def _columns(side):
+    ids, sizes, components, marks = list(zip(*side))[:4]
+    return np.array(ids), np.array(sizes), np.array(components), np.stack([np.frombuffer(m, np.uint16) for m in marks])
+
+
+_PIECE = ["bucket", "band", "p", "q"]
+
+
+def _active(rows: DataFrame, similarity: int) -> DataFrame:
+    """The rows of pieces that have at least one likely partner; no pairs leave a task."""
+    needed = needed_slots(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, zero, one in _by_piece(batches):
+            if not zero or (key[2] != key[3] and not one):
+                continue
+            left = _columns(zero)
+            right = _columns(one) if one else left
+            used = (set(), set() if one else None)
+            for k, js in _likely(left, right, key[1], similarity, needed):
+                used[0].add(k)
+                (used[1] if one else used[0]).update(js.tolist())
+            for side, (members, chosen) in enumerate(zip((left, right), used)):
+                out += [(*key, side, int(members[0][k])) for k in chosen or ()]
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    def batch_of(out):
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], [*_PIECE, "side", "id"])
+
+    ordered = rows.repartition("bucket", "p", "q").sortWithinPartitions(*_PIECE)
+    return ordered.select(*_PIECE, "side", "id", "n", "component", "signature").mapInArrow(run, "bucket long, band int, p int, q int, side int, id long")
+
+
+def _linked(rows: DataFrame, width: int, similarity: int) -> DataFrame:
+    """(a, b): components joined by a pair of members whose full sets reach the similarity.
+
+    rows: those of _active with n, component, signature and text. Every likely pair of a piece is
+    tested unless its components have met in the piece; sets are made once per member.
+    """
+    needed = needed_slots(similarity)
 
-def _likeliest(candidates: DataFrame, most: int) -> DataFrame:
-    """The `most` pairs of each two components that agree best; the others wait for a later round."""
-    order = Window.partitionBy("c", "d").orderBy(F.desc("agree"), "a", "b")
-    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, links = Shingler(width), []
+        for key, zero, one in _by_piece(batches):
+            if not zero or (key[2] != key[3] and not one):
+                continue
+            left = _columns(zero)
+            right = _columns(one) if one else left
+            sets = [shingles(r[4]) for r in zero]
+            others = [shingles(r[4]) for r in one] if one else sets
+            above: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in above:
+                    x = above[x]
+                return x
+
+            for k, js in _likely(left, right, key[1], similarity, needed):
+                mine = sets[k]
+                for j in js.tolist():
+                    c, e = root(int(left[2][k])), root(int(right[2][j]))
+                    if c == e:
+                        continue
+                    at = np.searchsorted(mine, others[j])
+                    both = int((mine[np.minimum(at, len(mine) - 1)] == others[j]).sum())
+                    if 100 * both >= similarity * (len(mine) + len(others[j]) - both):
+                        above[max(c, e)] = min(c, e)
+                        links.append((min(c, e), max(c, e)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    ordered = rows.repartition("bucket", "p", "q").sortWithinPartitions(*_PIECE)
+    return ordered.select(*_PIECE, "side", "id", "n", "component", "signature", "text").mapInArrow(run, "a long, b long")
 
 
 def _pieces(placed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -246,7 +310,7 @@ def _pieces(placed: DataFrame, classes: DataFrame) -> DataFrame:
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     rows = placed.join(mixed.select("bucket", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")), "bucket")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    spread = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component")
+    spread = rows.select("bucket", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component")
     return spread.join(classes.select("id", "signature"), "id")
 
 
@@ -254,9 +318,9 @@ def link_classes(classes: DataFrame, texts: DataFrame, width: int, similarity: i
     """(id, component) of the classes that are linked, links confirmed on full sets.
 
     First every class is compared with the leader (smallest id) it shares most buckets with. Then
-    buckets that still hold several components are compared whole, in pieces, by signature; for
-    each two components the likeliest pairs are confirmed first, and rounds go on, each with more
-    pairs, until no untested pair of different components is left.
+    buckets that still hold several components are compared whole, in pieces: signatures tell which
+    members have a likely partner in another component, their texts come to the piece, and every
+    likely pair is tested on full sets there. Only links leave a task, at most one per member.
     """
     rows = banded(classes)
     leaders = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
@@ -267,21 +331,14 @@ def link_classes(classes: DataFrame, texts: DataFrame, width: int, similarity: i
     pairs = stored(best.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")), "pairs")
     # texts of the classes that share a bucket with another; no other text can be asked for
     involved = stored(texts.join(members.select("id").distinct(), "id", "left_semi"), "involved")
-    links = stored(verified(pairs, involved, width, similarity), "verified")
-    tested, most = pairs, 4
-    while True:
-        found = stored(connected_components(links), "components")
-        placed = members.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        candidates = stored(_estimated(_pieces(placed, classes), similarity, most), "candidates")
-        fresh = candidates.groupBy("a", "b").agg(F.first("c").alias("c"), F.first("d").alias("d"), F.max("agree").alias("agree")).join(tested, ["a", "b"], "left_anti")
-        chosen = stored(_likeliest(fresh, most), "pairs")
-        most *= 8
-        if chosen.isEmpty():
-            if candidates.where("cut").isEmpty():
-                return found
-            continue
-        links = stored(links.union(verified(chosen, involved, width, similarity)), "verified")
-        tested = stored(tested.union(chosen), "tested")
+    found = stored(connected_components(stored(verified(pairs, involved, width, similarity), "verified")), "components")
+    placed = members.join(found, "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("component"))
+    pieces = stored(_pieces(placed, classes), "pieces")
+    active = stored(_active(pieces, similarity), "active")
+    rows = active.join(pieces, [*_PIECE, "side", "id"]).join(involved, "id")
+    joined = stored(connected_components(_linked(rows, width, similarity)), "merged").select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    # components found so far move to the merged ones; classes linked for the first time come new
+    return found.join(joined, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("merged", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: int = SIMILARITY) -> DataFrame:
