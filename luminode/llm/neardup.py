@@ -306,10 +306,21 @@ def _linked(rows: DataFrame, width: int, similarity: int) -> DataFrame:
 
 
 def _pieces(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members of buckets with several components, laid out so that every two meet in one piece pair."""
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    rows = placed.join(mixed.select("bucket", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces")), "bucket")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    """The members of buckets with several components, laid out so that members of different components meet in one piece pair.
+
+    Members of a bucket's largest component need not meet each other: they are dealt to pieces once
+    for every piece of the other members, which meet all pieces. A large group that is already one
+    component is so repeated no more often than its bucket has pieces of strangers.
+    """
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main")).where("size > main.n")
+    blocks = lambda n: F.ceil(n / PIECE).cast("int")
+    mixed = mixed.select("bucket", F.col("main.component").alias("main"), blocks(F.col("size") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
+    rows = placed.join(mixed, "bucket")
+    is_main = F.col("component") == F.col("main")
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    rows = rows.withColumn("own", F.when(is_main, F.col("others") + deal(F.col("mains"))).otherwise(deal(F.col("others"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
     spread = rows.select("bucket", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component")
     return spread.join(classes.select("id", "signature"), "id")
 
