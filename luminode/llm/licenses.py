@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,16 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license): the lookup table of a fixed, small number of texts."""
-    return spark.createDataFrame(known, "license string, body string").select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license").distinct()
+    """(digest, license, anchor): the lookup table of a fixed, small number of texts.
+
+    The anchor is the longest word of the canonical text that no spelling rule makes: a text with
+    this canonical form must hold it, in whatever case.
+    """
+    made = F.array(*[F.lit(w) for _, usual in EQUIVALENT for w in usual.split(" ")])
+    words = F.filter(F.split("canon", " "), lambda w: ~F.array_contains(made, w))
+    anchor = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    canon = spark.createDataFrame(known, "license string, body string").select("license", canonical(F.col("body")).alias("canon"))
+    return canon.select(F.sha2("canon", 256).alias("digest"), "license", F.coalesce(anchor, F.lit("")).alias("anchor")).distinct()
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,12 +74,21 @@ def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", tex
     whole_license is the licence whose text is the whole document; n_lines counts the lines that
     are, each entire, a known licence text or notice, and licenses lists their identifiers, sorted
     and comma-joined. Null and empty texts match nothing. A licence text known under several names
-    has the smallest. Rows that repeat an id are one document: lines add up.
+    has the smallest. Rows that repeat an id are one document: lines add up. Texts and lines
+    without the anchor of any known text cannot match and are not made canonical.
     """
     table = known.groupBy("digest").agg(F.min("license").alias("license"))
+    # one word per known text, a fixed number
+    anchors = sorted({r.anchor for r in known.select("anchor").distinct().collect()})
+
+    def anchored(c: Column) -> Column:
+        lower = F.lower(c)
+        return reduce(lambda a, b: a | b, [lower.contains(a) for a in anchors])
+
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"), F.lit(0).alias("whole"))
-    units = lines.union(rows.select("doc_id", F.col("text").alias("line"), F.lit(1).alias("whole")))
+    likely = rows.where(anchored(F.col("text")))
+    lines = likely.select("doc_id", F.explode(F.split("text", "\n")).alias("line"), F.lit(0).alias("whole")).where(anchored(F.col("line")))
+    units = lines.union(likely.select("doc_id", F.col("text").alias("line"), F.lit(1).alias("whole")))
     digests = units.select("doc_id", "whole", F.sha2(canonical(F.col("line")), 256).alias("digest"))
     # the lookup table has one row per known text, a fixed number: it goes to every executor
     found = digests.join(F.broadcast(table), "digest").groupBy("doc_id").agg(
