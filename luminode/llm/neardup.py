@@ -1,37 +1,18 @@
-"""Near-duplicate documents: SuperMinHash signatures, banding, verification on full sets, components."""
+"""Near-duplicate documents: sets of word shingles, linked as operators.similar does."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from luminode.llm.common import stored
-from luminode.llm.components import connected_components
+from luminode.operators.similar import _A, SIMILARITY, link_classes, mix, signatures, spread_factor, superminhash  # noqa: F401
 
-SLOTS = 160
-ROWS = 5  # 32 bands of 5: a pair of similarity 0.8 shares none with probability 3e-6
-SIMILARITY = 80  # per cent
-#: A pair goes to verification unless so many standard deviations fewer slots agree than at the limit.
-DEVIATIONS = 4.5
-#: Members compared in one piece; a larger bucket is compared piece by piece.
-PIECE = 256
 CACHE_WORDS = 300_000
-CHUNK = 64
-
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit words (two multiply-xorshift rounds)."""
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
@@ -59,299 +40,6 @@ class Shingler:
         return np.unique(out)
 
 
-def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """Signatures of a list of sets, one row each; rows of empty sets are all ones.
-
-    Element e draws, layer after layer, a fraction and the next place of a random permutation of
-    the slots; slot p keeps the least layer + fraction. A set is done when all of its slots are
-    below the next layer (early stopping), which large sets are after one layer.
-    """
-    sizes = np.array([len(s) for s in sets])
-    top = np.uint64(2**64 - 1)
-    values = np.full(len(sets) * slots, top)
-    elements = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    places = None
-    for layer in range(slots):
-        if not len(elements):
-            break
-        drawn = mix(elements + np.uint64(int(_A) * (layer + 1) % 2**64))
-        swap = layer + ((drawn >> np.uint64(32)) * np.uint64(slots - layer) >> np.uint64(32)).astype(np.int64)
-        if places is None:
-            slot = swap
-        else:
-            at = np.arange(len(elements))
-            slot = places[at, swap].astype(np.int64)
-            places[at, swap] = places[:, layer]
-            places[:, layer] = slot
-        np.minimum.at(values, owner * slots + slot, (drawn & np.uint64(0xFFFFFFFF)) | np.uint64(layer << 32))
-        active = (values.reshape(-1, slots).max(axis=1) >> np.uint64(32)) > layer
-        keep = active[owner]
-        if not keep.all():
-            elements, owner = elements[keep], owner[keep]
-            places = None if places is None else places[keep]
-            first = swap[keep] if layer == 0 else None
-        else:
-            first = swap if layer == 0 else None
-        if layer == 0 and len(elements):
-            places = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int32), (len(elements), 1))
-            at = np.arange(len(elements))
-            places[at, first] = 0
-            places[:, 0] = first
-    return values.reshape(-1, slots)
-
-
-def short_signatures(values: np.ndarray) -> np.ndarray:
-    """16 scrambled bits of each slot: enough to compare and to band."""
-    return (mix(values) >> np.uint64(48)).astype(np.uint16)
-
-
-def signatures(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, digest, signature) of each document; null digest and signature for an empty set."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
-        for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK):
-                ids, texts = batch.column(0).slice(start, CHUNK), batch.column(1).slice(start, CHUNK)
-                sets = [shingles(t.as_py()) for t in texts]
-                short = short_signatures(superminhash(sets))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([row.tobytes() if len(s) else None for s, row in zip(sets, short)], pa.binary()),
-                    ],
-                    ["doc_id", "n", "digest", "signature"],
-                )
-
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(sign, "doc_id long, n long, digest binary, signature binary")
-
-
-def banded(classes: DataFrame) -> DataFrame:
-    """(bucket, band, id, n): a row for each class and band."""
-    step = 2 * ROWS
-    band = F.explode(F.sequence(F.lit(0), F.lit(SLOTS // ROWS - 1))).alias("band")
-    rows = classes.select("id", "n", "signature", band)
-    return rows.select(F.xxhash64(F.expr(f"substring(signature, band * {step} + 1, {step})"), "band").alias("bucket"), "band", "id", "n")
-
-
-def fits(a: str, b: str, similarity: int):
-    """Sizes allow the similarity."""
-    return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets reach the similarity.
-
-    The text of b comes to that of a, which is repeated for every 256 partners, so that a centre
-    with many partners is spread over tasks; a task holds the set of one centre at a time.
-    """
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
-    salted = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    partners = salted.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
-    centres = size.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    rows = partners.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, centre, held = Shingler(width), None, None
-        for batch in batches:
-            left, right = [], []
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                own = shingles(text.as_py())
-                if b is None:
-                    centre, held = a, own
-                elif a == centre:
-                    both = int(np.isin(own, held, assume_unique=True).sum())
-                    if 100 * both >= similarity * (len(own) + len(held) - both):
-                        left.append(a)
-                        right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long")
-
-
-def spread_factor(slots: int, largest: int = 4096) -> np.ndarray:
-    """Variance of a SuperMinHash estimate over that of MinHash, by the size of the union (1 beyond the last)."""
-    u = np.arange(largest + 1, dtype=float)[:, None]
-    level = np.arange(1, slots, dtype=float)[None]
-    power = lambda x: np.exp(u * (np.log(level / slots) + np.log(np.maximum(x, 1e-300) / (slots - 1))))
-    terms = power(level + 1) + power(level - 1) - 2 * power(level)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = 1 - terms.sum(axis=1) * (slots - 1) / (u[:, 0] - 1)
-    out[:2] = 0
-    return np.clip(out, 0.0, 1.0)
-
-
-def needed_slots(similarity: int, slots: int = SLOTS) -> np.ndarray:
-    """Least number of equal slots of a pair worth verifying, by the size of its union at the limit."""
-    limit = similarity / 100
-    deviation = np.sqrt(limit * (1 - limit) / slots * spread_factor(slots))
-    return np.floor(slots * (limit - DEVIATIONS * deviation)).astype(np.int64)
-
-
-def _likely(left, right, band: int, similarity: int, needed: np.ndarray):
-    """(k, js): for each left member the right ones that may be linked with it and are not yet.
-
-    Sides are (ids, set sizes, components, signatures). A pair is seen in the first band it shares only.
-    """
-    (_, na, ca, sa), (_, nb, cb, sb) = left, right
-    for k in range(len(na)):
-        ok = (cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= similarity * np.maximum(nb, na[k]))
-        if left is right:
-            ok[: k + 1] = False
-        js = np.flatnonzero(ok)
-        if len(js):
-            equal = sb[js] == sa[k]
-            union = ((na[k] + nb[js]) * 100 // (100 + similarity)).clip(max=len(needed) - 1)
-            keep = equal.sum(axis=1) >= needed[union]
-            js, equal = js[keep], equal[keep]
-            js = js[equal.reshape(len(js), SLOTS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band]
-        if len(js):
-            yield k, js
-
-
-def _by_piece(batches: Iterator[pa.RecordBatch], keys: int = 4):
-    """(key, rows of side 0, rows of side 1) of each piece; rows come ordered by their first `keys` columns."""
-    key, sides = None, ([], [])
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:keys] != key:
-                if key:
-                    yield key, *sides
-                key, sides = row[:keys], ([], [])
-            sides[row[keys]].append(row[keys + 1 :])
-    if key:
-        yield key, *sides
-
-
-def _columns(side):
-    ids, sizes, components, marks = list(zip(*side))[:4]
-    return np.array(ids), np.array(sizes), np.array(components), np.stack([np.frombuffer(m, np.uint16) for m in marks])
-
-
-_PIECE = ["bucket", "band", "p", "q"]
-
-
-def _active(rows: DataFrame, similarity: int) -> DataFrame:
-    """The rows of pieces that have at least one likely partner; no pairs leave a task."""
-    needed = needed_slots(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for key, zero, one in _by_piece(batches):
-            if not zero or (key[2] != key[3] and not one):
-                continue
-            left = _columns(zero)
-            right = _columns(one) if one else left
-            used = (set(), set() if one else None)
-            for k, js in _likely(left, right, key[1], similarity, needed):
-                used[0].add(k)
-                (used[1] if one else used[0]).update(js.tolist())
-            for side, (members, chosen) in enumerate(zip((left, right), used)):
-                out += [(*key, side, int(members[0][k])) for k in chosen or ()]
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
-        yield batch_of(out)
-
-    def batch_of(out):
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], [*_PIECE, "side", "id"])
-
-    ordered = rows.repartition("bucket", "p", "q").sortWithinPartitions(*_PIECE)
-    return ordered.select(*_PIECE, "side", "id", "n", "component", "signature").mapInArrow(run, "bucket long, band int, p int, q int, side int, id long")
-
-
-def _linked(rows: DataFrame, width: int, similarity: int) -> DataFrame:
-    """(a, b): components joined by a pair of members whose full sets reach the similarity.
-
-    rows: those of _active with n, component, signature and text. Every likely pair of a piece is
-    tested unless its components have met in the piece; sets are made once per member.
-    """
-    needed = needed_slots(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, links = Shingler(width), []
-        for key, zero, one in _by_piece(batches):
-            if not zero or (key[2] != key[3] and not one):
-                continue
-            left = _columns(zero)
-            right = _columns(one) if one else left
-            sets = [shingles(r[4]) for r in zero]
-            others = [shingles(r[4]) for r in one] if one else sets
-            above: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while x in above:
-                    x = above[x]
-                return x
-
-            for k, js in _likely(left, right, key[1], similarity, needed):
-                mine = sets[k]
-                for j in js.tolist():
-                    c, e = root(int(left[2][k])), root(int(right[2][j]))
-                    if c == e:
-                        continue
-                    at = np.searchsorted(mine, others[j])
-                    both = int((mine[np.minimum(at, len(mine) - 1)] == others[j]).sum())
-                    if 100 * both >= similarity * (len(mine) + len(others[j]) - both):
-                        above[max(c, e)] = min(c, e)
-                        links.append((min(c, e), max(c, e)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    ordered = rows.repartition("bucket", "p", "q").sortWithinPartitions(*_PIECE)
-    return ordered.select(*_PIECE, "side", "id", "n", "component", "signature", "text").mapInArrow(run, "a long, b long")
-
-
-def _pieces(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members of buckets with several components, laid out so that members of different components meet in one piece pair.
-
-    Members of a bucket's largest component need not meet each other: they are dealt to pieces once
-    for every piece of the other members, which meet all pieces. A large group that is already one
-    component is so repeated no more often than its bucket has pieces of strangers.
-    """
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main")).where("size > main.n")
-    blocks = lambda n: F.ceil(n / PIECE).cast("int")
-    mixed = mixed.select("bucket", F.col("main.component").alias("main"), blocks(F.col("size") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains"))
-    rows = placed.join(mixed, "bucket")
-    is_main = F.col("component") == F.col("main")
-    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    rows = rows.withColumn("own", F.when(is_main, F.col("others") + deal(F.col("mains"))).otherwise(deal(F.col("others"))))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
-    spread = rows.select("bucket", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component")
-    return spread.join(classes.select("id", "signature"), "id")
-
-
-def link_classes(classes: DataFrame, texts: DataFrame, width: int, similarity: int = SIMILARITY) -> DataFrame:
-    """(id, component) of the classes that are linked, links confirmed on full sets.
-
-    First every class is compared with the leader (smallest id) it shares most buckets with. Then
-    buckets that still hold several components are compared whole, in pieces: signatures tell which
-    members have a likely partner in another component, their texts come to the piece, and every
-    likely pair is tested on full sets there. Only links leave a task, at most one per member.
-    """
-    rows = banded(classes)
-    leaders = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
-    leaders = leaders.select("bucket", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"))
-    members = stored(rows.join(leaders, "bucket"), "members")
-    shared = members.where("id <> leader").where(fits("n", "leader_n", similarity)).groupBy("id", "leader").agg(F.count("*").alias("bands"))
-    best = shared.groupBy("id").agg(F.max(F.struct("bands", (-F.col("leader")).alias("minus"))).alias("best"))
-    pairs = stored(best.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")), "pairs")
-    # texts of the classes that share a bucket with another; no other text can be asked for
-    involved = stored(texts.join(members.select("id").distinct(), "id", "left_semi"), "involved")
-    found = stored(connected_components(stored(verified(pairs, involved, width, similarity), "verified")), "components")
-    placed = members.join(found, "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("component"))
-    pieces = stored(_pieces(placed, classes), "pieces")
-    active = stored(_active(pieces, similarity), "active")
-    rows = active.join(pieces, [*_PIECE, "side", "id"]).join(involved, "id")
-    joined = stored(connected_components(_linked(rows, width, similarity)), "merged").select(F.col("id").alias("component"), F.col("component").alias("merged"))
-    # components found so far move to the merged ones; classes linked for the first time come new
-    return found.join(joined, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("merged", "component").alias("component"))
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document.
 
@@ -362,11 +50,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     that document: each is listed with the id's component. A null id is linked with nothing, has
     a null component and is kept.
     """
-    signed = stored(signatures(docs, width, doc_id, text), "signatures")
+    shingles = partial(Shingler, width)
+    signed = stored(signatures(docs, shingles, doc_id, text), "signatures")
     sets = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    linked = link_classes(classes, texts, width, similarity)
+    linked = link_classes(classes, texts, shingles, similarity)
     member = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(member, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,12 +1,13 @@
 """Hand-made cases for rules that tables seldom reach."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
-from luminode.operators import cells, selection, summaries
+from luminode.operators import cells, models, selection, summaries
 
 
 def one(spark, column, **values):
@@ -58,3 +59,32 @@ def test_t_tail(spark):
     rows = spark.createDataFrame([(2.228, 10), (1.96, 100000), (0.0, 5)], "t double, n int")
     got = [r.p for r in rows.select(cells.t_tail(F.col("t"), F.col("n")).alias("p")).collect()]
     assert got == pytest.approx([0.05, 0.05, 1.0], abs=1e-3)
+
+
+def test_cluster_links_behind_unrelated_leaders(spark):
+    # all shared buckets of a near pair hold a smaller id: windows of the first that are not similar enough themselves
+    draw, seqs = random.Random(5), {}
+    letters = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    for group in range(3):
+        first = letters(1200)
+        for w in range(8):
+            at = 150 * w
+            gone = {x % 1200 for x in range(at, at + 300)}
+            seqs[100 * group + w] = "".join(c for k, c in enumerate(first) if k not in gone)
+        other = list(first)
+        for at in range(70, 1200, 150):
+            other[at] = {"A": "C", "C": "G", "G": "T", "T": "A"}[other[at]]
+        seqs[100 * group + 90], seqs[100 * group + 91] = first, "".join(other)
+    seqs |= {1000: "ACGT", 1001: "ACGT", 1002: "ACG", 1003: seqs[91], 1004: None, 1005: letters(400)}
+    sets = {i: {s[k : k + 12] for k in range(len(s) - 11)} for i, s in seqs.items() if s and len(s) > 11}
+    want = {i: i for i in seqs} | {1001: 1000}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = {m: low if c == high else c for m, c in want.items()}
+    assert (want[91], want[191], want[291], want[1003]) == (90, 190, 290, 90)
+    got = {r.id: r.cluster for r in models.cluster(spark.createDataFrame(list(seqs.items()), "id int, seq string"), "id", "seq", 0.8).collect()}
+    assert got == want
+    named = spark.createDataFrame([(f"m{i:04}", s) for i, s in seqs.items()], "id string, seq string")
+    assert {r.id: r.cluster for r in models.cluster(named, "id", "seq", 0.8).collect()} == {f"m{i:04}": f"m{c:04}" for i, c in want.items()}
