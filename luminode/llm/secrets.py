@@ -22,7 +22,8 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
 # What is a known digest (hex lengths of MD5, SHA-1, SHA-2) or identifier.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 UUID = r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
 MAX_CHARS_PER_TOKEN = 2.25
 
@@ -44,15 +45,29 @@ def load_tiktoken(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def left_over(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that base spans leave: of the run's least length, or of any where a hex or access span goes on in a letter or digit."""
+    parts, at, glued = [], start, False
+    for s, kind, e in [*(b for b in base if b[0] < end and start < b[2]), (end, 0, end)]:
+        if at < s:
+            before = kind > 0 and text[s - 1].isalnum()
+            after = glued and text[at].isalnum()
+            if s - at >= LEAST or before or after:
+                parts.append((at, s))
+        if e > at:
+            at, glued = e, kind > 0
+    return parts
+
+
 def scanner(encode, max_ratio: float):
     """text -> [(start, kind index, end)] in the order of the contract."""
     assign, access, hexa = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
     candidate, uuid = re.compile(CANDIDATE), re.compile(UUID)
-    digit, letter, not_hex = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("[^0-9A-Fa-f]")
+    letter, not_hex = re.compile("[A-Za-z]"), re.compile("[^0-9A-Fa-f]")
 
     def is_known(word: str) -> bool:
-        if not (digit.search(word) and letter.search(word)):
-            return True  # plain words, numbers, rulers
+        if not letter.search(word):
+            return True  # numbers, rulers
         if not not_hex.search(word) and len(word) in DIGEST_LENGTHS:
             return True
         return uuid.fullmatch(word) is not None
@@ -68,13 +83,12 @@ def scanner(encode, max_ratio: float):
         # a run of 24 hex characters lies inside a run of 20 candidate characters
         for start, end in words:
             found += [(m.start(), 2, m.end()) for m in hexa.finditer(text, start, end)]
-        base = list(found)
+        base = sorted(found)
         for start, end in words:
-            word = text[start:end]
-            if is_known(word) or any(s < end and start < e for s, _, e in base):
-                continue
-            if len(word) < max_ratio * len(encode(word)):
-                found.append((start, 3, end))
+            for left, right in left_over(text, start, end, base):
+                word = text[left:right]
+                if not is_known(word) and len(word) < max_ratio * len(encode(word)):
+                    found.append((left, 3, right))
         return sorted(found)
 
     return scan
@@ -85,8 +99,8 @@ def scan_secrets(df: DataFrame, text: str = "text", into: str = "secrets", vocab
 
     Base kinds assign, access and hex come from their patterns. Kind random comes from the
     token-efficiency test: a run of 20 or more base64-like characters with fewer than
-    max_chars_per_token characters per token, unless it is a known digest or identifier or
-    overlaps a base span. Spans are ordered by start, then kind as listed; code points, end
+    max_chars_per_token characters per token, unless it is a known digest or identifier, or has no
+    letter. Of a run that base spans overlap, the parts that they leave over are tested. Spans are ordered by start, then kind as listed; code points, end
     exclusive. Null and empty texts have an empty list; other columns pass; an input column
     named as `into` is replaced. Repeated rows are scanned each for itself.
     """

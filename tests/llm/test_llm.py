@@ -47,6 +47,17 @@ def test_secrets_random_strings_and_redaction(spark):
     assert got[4] == ([], None) and got[5][0] == []
 
 
+def test_secrets_without_digits_and_around_spans(spark):
+    core = "0f1e2d3c4b5a69788796a5b4"
+    data = [(1, "key qzvxkjwqpfhtbnmzlrgcdykw end"), (2, "key QzVxKjWqPfHtBnMzLrGcDyKw end"), (3, "erberbeeinheitkeiter"), (4, f"key ZxQ9Kw{core}XqJ7Rt end"), (5, f"file images-{core}-thumbnail"), (6, "-" * 40), (7, "1234567890" * 4)]
+    out = secrets.redact(secrets.scan_secrets(spark.createDataFrame(data, DOCS)))
+    got = {r.doc_id: ([s.kind for s in r.secrets], r.text) for r in out.collect()}
+    assert got[1] == got[2] == (["random"], "key [SECRET] end")
+    assert got[4] == (["random", "hex", "random"], "key [SECRET][SECRET][SECRET] end")
+    assert got[5] == (["hex"], "file images-[SECRET]-thumbnail")
+    assert got[3][0] == got[6][0] == []
+
+
 def test_quality_holds_out(spark):
     got = {r.doc_id: r for r in queries.op2_quality(spark, "/root/testdata/sf0.01").collect()}
     labels = duckdb.connect().execute("SELECT doc_id, quality FROM '/root/testdata/sf0.01/labels.parquet'").fetchall()
