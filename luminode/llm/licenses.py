@@ -1,8 +1,10 @@
-"""License scans: canonical texts, looked up by digest."""
+"""License scans: canonical texts, looked up by digest; full licence texts, also inside a document."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +47,46 @@ EQUIVALENT = [
 ]
 
 
-def canonical(text: Column) -> Column:
+#: Full texts, a file per licence; where the terms begin and end in it (None: at the end of the file).
+TEXTS = Path(__file__).parent / "license_texts"
+TERMS = {
+    "Apache-2.0": ("TERMS AND CONDITIONS FOR USE", "END OF TERMS AND CONDITIONS"),
+    "BSD-2-Clause": ("Redistribution and use", None),
+    "BSD-3-Clause": ("Redistribution and use", None),
+    "CC-BY-SA-4.0": ("By exercising the Licensed Rights", "=====\n\nCreative Commons is not a party"),
+    "CC0-1.0": ("Statement of Purpose", None),
+    "GFDL-1.2-only": ("0. PREAMBLE", "ADDENDUM: How to use"),
+    "GFDL-1.3-only": ("0. PREAMBLE", "ADDENDUM: How to use"),
+    "GPL-1.0-only": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "GPL-2.0-only": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "GPL-3.0-only": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "ISC": ("Permission to use", None),
+    "LGPL-2.0-only": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "LGPL-2.1-only": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "LGPL-3.0-only": ("This version of the GNU Lesser", None),
+    "MIT": ("Permission is hereby", None),
+    "MPL-1.1": ("1. Definitions", "EXHIBIT A"),
+    "MPL-2.0": ("1. Definitions", "Exhibit A"),
+    "OFL-1.1": ("PREAMBLE", None),
+}
+#: Titles in use besides those of the files.
+TITLES = {
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'],
+    "ISC": ["ISC License", "The ISC License"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+}
+#: Every full text holds one of these, in whatever case.
+GATES = ("warrant", "lesser")
+COPYRIGHT = r"(copyright|\(c\)|©)"
+#: Statements only: terms, too, have lines that begin with the word copyright or with (c).
+STATEMENT = r"(copyright[ \t]*(\(c\)|©|<|\[|[0-9]{4})|(\(c\)|©)[ \t]*[0-9]{4}|<copyright notice>|all rights reserved\.?[ \t\r]*(?=\n|$))"
+
+
+def canonical(text: Column, left_out: str = COPYRIGHT) -> Column:
     """Lower case (A-Z), no copyright lines, signs other than letters and digits as one blank, equal spellings made one."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.regexp_replace(lower, r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n")
+    plain = F.regexp_replace(lower, rf"(^|\n)[ \t]*{left_out}[^\n]*", "\n")
     plain = F.trim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     for spelled, usual in EQUIVALENT:
         plain = F.regexp_replace(plain, rf"(?<![^ ]){spelled}(?![^ ])", usual)
@@ -68,12 +106,42 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return canon.select(F.sha2("canon", 256).alias("digest"), "license", F.coalesce(anchor, F.lit("")).alias("anchor")).distinct()
 
 
+def full_texts(spark: SparkSession) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(licence, canonical terms), and (licence, canonical text) of what a whole document may be."""
+    terms, wholes = [], []
+    for name, (begin, end) in TERMS.items():
+        text = (TEXTS / f"{name}.txt").read_text(encoding="utf-8")
+        start = text.index(begin)
+        stop = len(text) if end is None else text.index(end, start) + len(end) * end.startswith("END")
+        for body in {text[start:stop], re.sub(r"(?m)^[ \t]*[1-9]\. ", "", text[start:stop]) if name.startswith("BSD") else text[start:stop]}:
+            terms.append((name, body))
+            wholes += [(name, body), *((name, f"{title}\n\n{body}") for title in [text[:start], *TITLES.get(name, [])])]
+        wholes.append((name, text))
+    made = lambda rows: [(r.license, r.canon) for r in spark.createDataFrame(rows, "license string, body string").select("license", canonical(F.col("body"), STATEMENT).alias("canon")).distinct().collect()]
+    return made(terms), made(wholes)
+
+
+def full_matches(rows: DataFrame) -> DataFrame:
+    """(doc_id, whole, license): 1 for a full licence text that is the whole document, 2 for each whose terms lie inside."""
+    terms, wholes = full_texts(rows.sparkSession)
+    lower = F.lower("text")
+    likely = rows.where(reduce(lambda a, b: a | b, [lower.contains(g) for g in GATES])).select("doc_id", canonical(F.col("text"), STATEMENT).alias("canon"))
+    spaced = F.concat(F.lit(" "), "canon", F.lit(" "))
+    inside = F.array(*[F.when(spaced.contains(f" {body} "), F.struct(F.lit(2).alias("whole"), F.lit(name).alias("license"))) for name, body in terms])
+    within = likely.select("doc_id", F.explode(F.array_distinct(F.array_compact(inside))).alias("m")).select("doc_id", "m.whole", "m.license")
+    digests = rows.sparkSession.createDataFrame(wholes, "license string, canon string").select(F.sha2("canon", 256).alias("digest"), "license").distinct()
+    # a few rows per known text, a fixed number
+    entire = likely.select("doc_id", F.sha2("canon", 256).alias("digest")).join(F.broadcast(digests), "digest").select("doc_id", F.lit(1).alias("whole"), "license")
+    return within.union(entire)
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, whole_license, n_lines, licenses of each document.
 
     whole_license is the licence whose text is the whole document; n_lines counts the lines that
-    are, each entire, a known licence text or notice, and licenses lists their identifiers, sorted
-    and comma-joined. Null and empty texts match nothing. A licence text known under several names
+    are, each entire, a known licence text or notice, and licenses lists their identifiers and those
+    of the full texts whose terms lie anywhere in the document, however wrapped, sorted and
+    comma-joined. Null and empty texts match nothing. A licence text known under several names
     has the smallest. Rows that repeat an id are one document: lines add up. Texts and lines
     without the anchor of any known text cannot match and are not made canonical.
     """
@@ -91,10 +159,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", tex
     units = lines.union(likely.select("doc_id", F.col("text").alias("line"), F.lit(1).alias("whole")))
     digests = units.select("doc_id", "whole", F.sha2(canonical(F.col("line")), 256).alias("digest"))
     # the lookup table has one row per known text, a fixed number: it goes to every executor
-    found = digests.join(F.broadcast(table), "digest").groupBy("doc_id").agg(
+    matches = digests.join(F.broadcast(table), "digest").select("doc_id", "whole", "license").union(full_matches(rows))
+    found = matches.groupBy("doc_id").agg(
         F.min(F.when(F.col("whole") == 1, F.col("license"))).alias("whole_license"),
         F.count(F.when(F.col("whole") == 0, 1)).alias("n_lines"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("whole") == 0, F.col("license")))), ",").alias("licenses"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("whole") != 1, F.col("license")))), ",").alias("licenses"),
     )
     everyone = rows.groupBy("doc_id").agg(F.lit(1).alias("one"))
     out = everyone.join(found, everyone["doc_id"].eqNullSafe(found["doc_id"]), "left")

@@ -236,6 +236,21 @@ def test_licenses(spark):
     assert got == {1: (None, 1, "MIT"), 2: ("Apache-2.0", 1, "Apache-2.0"), 3: (None, 0, ""), 4: ("LicenseRef-AllRightsReserved", 1, "LicenseRef-AllRightsReserved"), None: (None, 0, "")}
 
 
+def test_full_licenses(spark):
+    import textwrap
+
+    text = {n: (licenses.TEXTS / f"{n}.txt").read_text() for n in licenses.TERMS}
+    mit, holder = text["MIT"], "Copyright (c) 2020 Some One"
+    body = mit[mit.index("Permission") :]
+    wrapped = "\n\n".join(textwrap.fill(p, 70) for p in body.split("\n\n"))
+    data = [(k, t) for k, t in enumerate(text.values())]
+    data += [(100, f"MIT License\n\n{holder}\n\n{wrapped}"), (101, f"some words\n\n{wrapped}\n\nmore words"), (102, body[:-200]), (103, f"{holder}. All rights reserved.\n\n" + text["BSD-3-Clause"].split("\n", 1)[1])]
+    got = {r.doc_id: (r.whole_license, r["licenses"]) for r in licenses.scan_licenses(spark.createDataFrame(data, DOCS), licenses.known_digests(spark)).collect()}
+    # MPL-1.1 has a line that is a notice of its own
+    assert [got[k] for k in range(len(text))] == [(n, n if n != "MPL-1.1" else "LicenseRef-AllRightsReserved,MPL-1.1") for n in text]
+    assert (got[100], got[101], got[102], got[103]) == (("MIT", "MIT"), (None, "MIT"), (None, ""), ("BSD-3-Clause", "BSD-3-Clause"))
+
+
 def test_token_counts_and_prefixes(spark):
     model = tokens.load_sentencepiece(tokens.VOCABULARY)
     texts = [t for _, t in rows("documents", "doc_id, text")] + ["", " ", "  a  b ", "a▁b\n c", "\n\n", "x"]
