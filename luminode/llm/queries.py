@@ -44,9 +44,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = maxent.score_documents(docs, *maxent.train(maxent.learning(docs)))
-    return scored.select("doc_id", (fold(F.col("doc_id"), maxent.FOLDS) == maxent.HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = maxent.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), maxent.learning())
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
