@@ -79,15 +79,13 @@ def short_signatures(values: np.ndarray) -> np.ndarray:
     return (mix(values) >> np.uint64(48)).astype(np.uint16)
 
 
-def signatures(docs: DataFrame, maker, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, sets_of, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, digest, signature) of each document; null digest and signature for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets_of = maker()
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
-                ids, texts = batch.column(0).slice(start, CHUNK), batch.column(1).slice(start, CHUNK)
-                sets = [sets_of(t.as_py()) for t in texts]
+                ids, sets = batch.column(0).slice(start, CHUNK), sets_of(batch.column(1).slice(start, CHUNK))
                 short = short_signatures(superminhash(sets))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -115,7 +113,7 @@ def fits(a: str, b: str, similarity: float):
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, maker, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the similarity.
 
     The text of b comes to that of a, which is repeated for every 256 partners, so that a centre
@@ -128,11 +126,10 @@ def verified(pairs: DataFrame, texts: DataFrame, maker, similarity: float) -> Da
     rows = partners.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets_of, centre, held = maker(), None, None
-        for batch in batches:
+        centre, held = None, None
+        for batch in (whole.slice(k, CHUNK) for whole in batches for k in range(0, whole.num_rows, CHUNK)):
             left, right = [], []
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                own = sets_of(text.as_py())
+            for a, b, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets_of(batch.column(3))):
                 if b is None:
                     centre, held = a, own
                 elif a == centre:
@@ -237,7 +234,7 @@ def _active(rows: DataFrame, similarity: float) -> DataFrame:
     return ordered.select(*_PIECE, "side", "id", "n", "component", "signature").mapInArrow(run, "bucket long, band int, p int, q int, side int, id long")
 
 
-def _linked(rows: DataFrame, maker, similarity: float) -> DataFrame:
+def _linked(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
     """(a, b): components joined by a pair of members whose full sets reach the similarity.
 
     rows: those of _active with n, component, signature and text. Every likely pair of a piece is
@@ -246,14 +243,14 @@ def _linked(rows: DataFrame, maker, similarity: float) -> DataFrame:
     needed = needed_slots(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets_of, links = maker(), []
+        links = []
         for key, zero, one in _by_piece(batches):
             if not zero or (key[2] != key[3] and not one):
                 continue
             left = _columns(zero)
             right = _columns(one) if one else left
-            sets = [sets_of(r[4]) for r in zero]
-            others = [sets_of(r[4]) for r in one] if one else sets
+            sets = sets_of(pa.array([r[4] for r in zero], pa.string()))
+            others = sets_of(pa.array([r[4] for r in one], pa.string())) if one else sets
             above: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -298,7 +295,7 @@ def _pieces(placed: DataFrame, classes: DataFrame) -> DataFrame:
     return spread.join(classes.select("id", "signature"), "id")
 
 
-def link_classes(classes: DataFrame, texts: DataFrame, maker, similarity: float = SIMILARITY) -> DataFrame:
+def link_classes(classes: DataFrame, texts: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component) of the classes that are linked, links confirmed on full sets.
 
     First every class is compared with the leader (smallest id) it shares most buckets with. Then
@@ -306,8 +303,8 @@ def link_classes(classes: DataFrame, texts: DataFrame, maker, similarity: float
     members have a likely partner in another component, their texts come to the piece, and every
     likely pair is tested on full sets there. Only links leave a task, at most one per member.
 
-    classes: (id, n, signature), n the size of the set; texts: (id, text). A task calls maker() for
-    the function that gives the sorted distinct 64-bit hashes of a text; similarity is in per cent.
+    classes: (id, n, signature), n the size of the set; texts: (id, text). sets_of gives
+    the sorted distinct 64-bit hashes of each of some texts (an Arrow array); similarity is in per cent.
     """
     rows = banded(classes)
     leaders = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
@@ -318,11 +315,14 @@ def link_classes(classes: DataFrame, texts: DataFrame, maker, similarity: float
     pairs = stored(best.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")), "pairs")
     # texts of the classes that share a bucket with another; no other text can be asked for
     involved = stored(texts.join(members.select("id").distinct(), "id", "left_semi"), "involved")
-    found = stored(connected_components(stored(verified(pairs, involved, maker, similarity), "verified")), "components")
+    found = stored(connected_components(stored(verified(pairs, involved, sets_of, similarity), "verified")), "components")
     placed = members.join(found, "id", "left").select("bucket", "band", "id", "n", F.coalesce("component", "id").alias("component"))
     pieces = stored(_pieces(placed, classes), "pieces")
     active = stored(_active(pieces, similarity), "active")
     rows = active.join(pieces, [*_PIECE, "side", "id"]).join(involved, "id")
-    joined = stored(connected_components(_linked(rows, maker, similarity)), "merged").select(F.col("id").alias("component"), F.col("component").alias("merged"))
-    # components found so far move to the merged ones; classes linked for the first time come new
-    return found.join(joined, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("merged", "component").alias("component"))
+    joined = stored(connected_components(_linked(rows, sets_of, similarity)), "merged").select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    # components found so far move to the merged ones; a large one is split by Spark, as a left join allows
+    moved = found.join(joined, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+    # classes linked for the first time come new
+    fresh = joined.join(found.select("component").distinct(), "component", "left_anti")
+    return moved.union(fresh.select(F.col("component").alias("id"), F.col("merged").alias("component")))
