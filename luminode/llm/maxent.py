@@ -18,20 +18,17 @@ n(before): that closed form takes the place of gradient steps.
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from luminode.llm.common import fold, stored
+from luminode.llm.words import Lookup, pieces, split
 
 FOLDS, HELD_OUT = 5, 1
 #: Frequent words; with the endings and the start sign, codes fill 16 bits.
@@ -51,49 +48,49 @@ DAMPING = 1.0
 #: Tokens of rarer words in a cell; bounds the arrays of the task that reads it.
 CELL_TOKENS = 2_000_000
 DISCOUNT = 0.75
-END = b"\n"
-CACHE_WORDS = 300_000
+#: Key of the end of a text; the low bits of a word's key tell its ending.
+END_KEY = np.uint64(1)
+COUNT_TOKENS = 4_000_000
 CHUNK_TOKENS = 20_000
 #: Weights summed up together.
 PART = 8192
 _ODD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Blank-separated words with A-Z in lower case, then one end."""
-    words = text.encode().lower().split() if text else []
-    words.append(END)
-    return words
+def keyed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tokens of some texts, and the first token of each text (and the number of all).
 
-
-def word_key(word: bytes) -> int:
-    """64 bits that stand for a word."""
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % ENDINGS
+    Tokens are blank-separated words with A-Z in lower case, then one end. The lowest bits of a
+    word's key are replaced by a number of its last two bytes, its ending.
+    """
+    words = split(texts)
+    last, short = words.data[words.stop - 1].astype(np.uint32), words.stop - words.start < 2
+    before = np.where(short, 0, words.data[np.maximum(words.stop, 2) - 2]).astype(np.uint32)
+    end = ((last * np.uint32(_ODD[0]) ^ before * np.uint32(_ODD[1])) >> np.uint32(25)).astype(np.uint64)
+    keys = words.keys() & ~np.uint64(ENDINGS - 1) | end
+    return np.insert(keys, words.first[1:], END_KEY), words.first + np.arange(len(words.first))
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, ending, n) of every distinct token of the documents, stored."""
+    """(key, n) of every distinct token of the documents, stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(seen: Counter) -> pa.RecordBatch:
-            keys = np.array([word_key(w) for w in seen], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([ending(w) for w in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["key", "ending", "n"])
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-        seen: Counter = Counter()
+        held: list[np.ndarray] = []
         for batch in batches:
-            for value in batch.column(0):
-                seen.update(tokens_of(value.as_py()))
-                if len(seen) > CACHE_WORDS:
-                    yield out(seen)
-                    seen = Counter()
-        yield out(seen)
+            for texts in pieces(batch.column(0)):
+                held.append(keyed(texts)[0])
+                if sum(map(len, held)) > COUNT_TOKENS:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
 
-    partial = docs.select(text).mapInArrow(count, "key long, ending int, n long")
-    return stored(partial.groupBy("key", "ending").agg(F.sum("n").alias("n")), "words")
+    partial = docs.select(text).mapInArrow(count, "key long, n long")
+    return stored(partial.groupBy("key").agg(F.sum("n").alias("n")), "words")
 
 
 @dataclass
@@ -103,7 +100,7 @@ class Model:
     Everything that grows with the corpus stays in the table of encoded documents.
     """
 
-    hot: dict[int, int]  # word key -> code
+    hot: Lookup  # word key -> code
     hot_log: np.ndarray  # log10(count + 0.5) by code; 0 for rarer words
     leaf: np.ndarray  # leaf of each code
     inside: np.ndarray  # log10 share in the leaf; of rarer words what is left of it beside the cell
@@ -123,7 +120,7 @@ class Model:
 def build(words: DataFrame) -> Model:
     """Collects totals, at most HOT_WORDS counts and two numbers per ending from the word table."""
     totals = np.zeros((2, ENDINGS))
-    for r in words.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+    for r in words.groupBy(F.col("key").bitwiseAND(F.lit(ENDINGS - 1)).cast("int").alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         totals[:, r.ending] = r.n, r.words
     level = F.floor(8 * F.log2("n")).cast("int")
     least, room = None, HOT_WORDS
@@ -132,9 +129,10 @@ def build(words: DataFrame) -> Model:
         if room < 0:
             break
         least = r.level
-    found = [] if least is None else sorted(((r.n, r.key, r.ending) for r in words.where(level >= least).collect()), key=lambda r: (-r[0], r[1]))
-    n = np.array([x for x, _, _ in found], np.float64)
-    ends = np.array([e for _, _, e in found], np.int64)
+    found = [] if least is None else sorted(((r.n, r.key) for r in words.where(level >= least).collect()), key=lambda r: (-r[0], r[1]))
+    n = np.array([x for x, _ in found], np.float64)
+    keys = np.array([k for _, k in found], np.int64).view(np.uint64)
+    ends = (keys & np.uint64(ENDINGS - 1)).astype(np.int64)
     single, grouped = slice(0, SINGLE_WORDS), slice(SINGLE_WORDS, None)
     rare = totals - np.stack([np.bincount(ends, n, ENDINGS), np.bincount(ends, minlength=ENDINGS)])
     cells = np.maximum(1, np.ceil(rare[0] / CELL_TOKENS)).astype(np.int64)
@@ -165,34 +163,7 @@ def build(words: DataFrame) -> Model:
         bias = [np.log(shares.sum(axis=1) / shares.sum()), np.log(shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-30))]
     bias = [np.maximum(b, -60).astype(np.float32) for b in bias]
     weights = [[np.zeros((size, CLASSES), np.float32) for _, size in CLASS_FEATURES], [np.zeros((size * CLASSES, PLACES), np.float32) for _, size in LEAF_FEATURES]]
-    hot = {k & (1 << 64) - 1: i for i, (_, k, _) in enumerate(found)}
-    return Model(hot, hot_log, number[leaf].astype(np.int32), inside, context, cells, bias, weights, int(totals[0].sum()), int(totals[1].sum()))
-
-
-class Reader:
-    """Texts as 16-bit codes: number of a frequent word, else HOT_WORDS + its ending; and word keys."""
-
-    def __init__(self, model: Model):
-        self.hot, self.known = model.hot, {}
-        self.codes, self.keys = np.empty(2 * CACHE_WORDS, np.uint16), np.empty(2 * CACHE_WORDS, np.uint64)
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if len(ids) and ids.min() < 0:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                ids[:] = -1
-            missing = np.flatnonzero(ids < 0)
-            new = {words[k] for k in missing.tolist()}
-            if len(self.known) + len(new) > len(self.codes):
-                wider = len(self.known) + 2 * len(new)
-                self.codes, self.keys = np.resize(self.codes, wider), np.resize(self.keys, wider)
-            for w in new:
-                at = self.known[w] = len(self.known)
-                self.keys[at] = key = word_key(w)
-                self.codes[at] = self.hot[key] if key in self.hot else HOT_WORDS + ending(w)
-            ids[missing] = [self.known[words[k]] for k in missing.tolist()]
-        return self.codes[ids], self.keys[ids]
+    return Model(Lookup(keys), hot_log, number[leaf].astype(np.int32), inside, context, cells, bias, weights, int(totals[0].sum()), int(totals[1].sum()))
 
 
 def encode(docs: DataFrame, model: Model, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,21 +175,22 @@ def encode(docs: DataFrame, model: Model, learn: Column, doc_id: str = "doc_id",
     names = ["row", "doc_id", "learn", "codes", "keys", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, row = Reader(model), TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                codes, keys, before = [], [], []
-                for value in part.column(2):
-                    own, key = reader(tokens_of(value.as_py()))
-                    at = np.flatnonzero(own >= HOT_WORDS)
-                    last = np.where(at > 0, key[at - 1] >> np.uint64(32), np.uint64(0)).astype(np.uint32)
-                    codes.append(own.tobytes())
-                    keys.append(key[at].tobytes())
-                    before.append(last.tobytes())
-                rows = np.arange(row, row + part.num_rows)
-                row += part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column(0), part.column(1), *[pa.array(x, pa.binary()) for x in (codes, keys, before)]], names)
+            start = 0
+            for texts in pieces(batch.column(2)):
+                keys, first = keyed(texts)
+                code = model.hot(keys)
+                rare = np.flatnonzero(code < 0)
+                code[rare] = HOT_WORDS + (keys[rare] & np.uint64(ENDINGS - 1)).astype(np.int32)
+                # 0 stands before the first word
+                before = np.where(np.isin(rare, first), 0, keys[rare - 1] >> np.uint64(32)).astype(np.uint32)
+                cuts, rares = first, np.searchsorted(rare, first)
+                cut = lambda x, at, size: pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((at * size).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+                columns = [cut(code.astype(np.uint16), cuts, 2), cut(keys[rare], rares, 8), cut(before, rares, 4)]
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0).slice(start, n), batch.column(1).slice(start, n), *columns], names)
+                row, start = row + n, start + n
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), learn.alias("learn"), F.col(text))
     return stored(chosen.mapInArrow(run, "row long, doc_id long, learn boolean, codes binary, keys binary, before binary"), "encoded")

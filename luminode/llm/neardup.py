@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from luminode.llm.common import stored
-from luminode.operators.similar import _A, SIMILARITY, link_classes, mix, signatures, spread_factor, superminhash  # noqa: F401
+from luminode.llm.words import pieces, split
+from luminode.operators.similar import _A, SIMILARITY, link_classes, mix, signatures
+
 
-CACHE_WORDS = 300_000
+def shingles(width: int):
+    """A function of texts: each one's distinct shingles of `width` words, as sorted 64-bit hashes.
 
+    A text of fewer words, but not none, has its whole sequence as one shingle.
+    """
 
-class Shingler:
-    """Distinct w-word shingles of texts as sorted 64-bit hashes."""
+    def chain(keys: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(keys) - size + 1, np.uint64)
+        for k in range(size):
+            out = mix(out * _A + keys[k : k + len(out)] + _A)
+        return out
 
-    def __init__(self, width: int):
-        self.width, self.known = width, {}
+    def sets_of(texts: pa.Array) -> list[np.ndarray]:
+        out = []
+        for part in pieces(texts):
+            words = split(part)
+            keys = words.keys()
+            grams = chain(keys, width) if len(keys) >= width else keys[:0]
+            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                out.append(np.unique(grams[a : b - width + 1]) if b - a >= width else chain(keys[a:b], b - a) if b > a else keys[:0])
+        return out
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII blanks only
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(words))
-        out = np.zeros(len(words) - width + 1, np.uint64)
-        for k in range(width):
-            out = mix(out * _A + hashes[k : k + len(out)] + _A)
-        return np.unique(out)
+    return sets_of
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: int = SIMILARITY) -> DataFrame:
@@ -50,19 +47,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     that document: each is listed with the id's component. A null id is linked with nothing, has
     a null component and is kept.
     """
-    shingles = partial(Shingler, width)
-    signed = stored(signatures(docs, shingles, doc_id, text), "signatures")
+    sets_of = shingles(width)
+    signed = stored(signatures(docs, sets_of, doc_id, text), "signatures")
     sets = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    linked = link_classes(classes, texts, shingles, similarity)
+    linked = link_classes(classes, texts, sets_of, similarity)
     member = classes.join(linked, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(member, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents of which near_duplicates keeps the id; of rows that repeat an id one stays."""
+    """The documents of which near_duplicates keeps the id; of rows with equal id and text one stays."""
     kept = near_duplicates(docs, doc_id, text, width, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.where(F.col(doc_id).isNotNull())
-    return named.join(kept, named[doc_id].cast("long") == kept["__id"], "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    chosen = named.join(kept, named[doc_id].cast("long") == kept["__id"], "left_semi")
+    # repeated rows meet by id and a hash of the text; rows with a null id all stay
+    once = chosen.withColumn("__text", F.xxhash64(text)).dropDuplicates([doc_id, "__text"]).drop("__text")
+    return once.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from luminode.llm.common import fold, replaced
-from luminode.llm.neardup import mix
+from luminode.llm.words import hashed, pieces, raw, split
+from luminode.operators.similar import mix
 
 DIMENSIONS = 1 << 18
 FOLDS, HELD_OUT = 3, 1
@@ -23,49 +22,51 @@ FOLDS, HELD_OUT = 3, 1
 FIT_ROWS = 3000
 #: Labels up to this many rows are sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-CACHE_WORDS = 300_000
 SMOOTHING = 1.0
 
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class Features:
-    """Distinct hashed indicators of a text: words, word pairs, and 1- to 3-grams of word shapes.
+#: Shape of each byte: upper-case letter, other letter, digit, or the sign itself.
+_SHAPE = np.array([65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
+
+
+def shapes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Keys of the words' shapes: letter case, digits and other signs, runs shortened (of signs to three)."""
+    kind, at = _SHAPE[data], np.arange(len(data))
+    fresh = np.ones(len(data), bool)
+    fresh[1:] = kind[1:] != kind[:-1]
+    fresh[start] = True
+    run = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    kept = (run == 0) | ((run < 3) & (kind != 65) & (kind != 97) & (kind != 48))
+    place = np.concatenate([[0], np.cumsum(kept)])
+    return mix(hashed(kind[kept], place[start], place[stop]) + np.uint64(7))
 
-    A shape tells letter case, digits and other signs of a word, runs shortened; a word that
-    repeats the one before has a shape of its own.
-    """
 
-    def __init__(self, dimensions: int = DIMENSIONS):
-        self.mask, self.known = np.uint64(dimensions - 1), {}
-        self.runs = re.compile(r"(A)A+|(a)a+|(0)0+|(.)\4{2,}", re.S)
-
-    def shape(self, word: str) -> str:
-        classes = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-        return self.runs.sub(lambda m: m[1] or m[2] or m[3] or m[4] * 3, classes)[:12]
-
-    def learn(self, word: str) -> tuple[int, int]:
-        return xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(self.shape(word), seed=7)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.split() if text else []
-        if not words:
-            return np.empty(0, np.int32)
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = set(words)
-            self.known.update((w, self.learn(w)) for w in new)
-        pairs = np.array(list(map(self.known.__getitem__, words)), np.uint64)
-        word, shape = pairs[:, 0], pairs[:, 1].copy()
-        shape[1:][word[1:] == word[:-1]] = _STEP
-        grams = [word, mix(word[:-1] * _ODD + word[1:])]
-        run = shape
+def features(texts: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, owner, feature): the distinct hashed indicators of some texts at a time, ascending by owner.
+
+    Indicators are words, word pairs, and 1- to 3-grams of word shapes; a word that repeats the one
+    before has a shape of its own.
+    """
+    mask, width = np.uint64(dimensions - 1), np.uint64(dimensions.bit_length() - 1)
+    for part in pieces(texts):
+        words = split(part)
+        n_words = np.diff(words.first)
+        word, owner = words.keys(), np.repeat(np.arange(len(part), dtype=np.uint64), n_words)
+        left = np.repeat(words.first[1:], n_words) - np.arange(len(word))  # words from here to the text's end
+        run = shapes(raw(part)[0], words.start, words.stop)
+        repeats = np.zeros(len(word), bool)
+        repeats[1:] = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
+        run[repeats] = _STEP
+        shape = run
+        grams = [(word, 1), (mix(word[:-1] * _ODD + word[1:]), 2)]
         for n in (1, 2, 3):
-            grams.append(mix(run + np.uint64(n)))
+            grams.append((mix(run + np.uint64(n)), n))
             run = mix(run[:-1] * _ODD + shape[n:])
-        return np.unique(np.concatenate(grams) & self.mask).astype(np.int32)
+        marks = [((owner[: len(g)] << width) | (g & mask))[left[: len(g)] >= n] for g, n in grams]
+        marks = np.unique(np.concatenate(marks))
+        yield len(part), (marks >> width).astype(np.int64), (marks & mask).astype(np.int64)
 
 
 @dataclass
@@ -78,12 +79,13 @@ class Model:
     constant: float | None = None
     steepness: float = 3.0
 
-    def score(self, features: np.ndarray) -> float:
+    def score(self, n: int, owner: np.ndarray, feature: np.ndarray) -> np.ndarray:
+        """Scores of n texts from their features."""
         if self.constant is not None:
-            return self.constant
-        norm = math.sqrt(float(np.square(self.ratios[features]).sum())) or 1.0
-        margin = float(self.weights[features].sum()) / norm + self.bias
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.steepness * margin))))
+            return np.full(n, self.constant)
+        norm = np.sqrt(np.bincount(owner, np.square(self.ratios[feature].astype(np.float64)), n))
+        margin = np.bincount(owner, self.weights[feature], n) / np.where(norm > 0, norm, 1.0) + self.bias
+        return 1.0 / (1.0 + np.exp(-np.clip(self.steepness * margin, -30.0, 30.0)))
 
 
 def log_count_ratios(labelled: DataFrame, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, int, int]:
@@ -94,11 +96,15 @@ def log_count_ratios(labelled: DataFrame, dimensions: int = DIMENSIONS) -> tuple
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, total, rows = Features(dimensions), np.zeros((2, dimensions), np.int64), [0, 0]
+        total, rows = np.zeros((2, dimensions), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                total[label][features(text.as_py())] += 1
-                rows[label] += 1
+            labels, at = batch.column(1).to_numpy(), 0
+            rows += np.bincount(labels, minlength=2)
+            for n, owner, feature in features(batch.column(0), dimensions):
+                own = labels[at + owner]
+                at += n
+                for k in (0, 1):
+                    total[k] += np.bincount(feature[own == k], minlength=dimensions)
         (used,) = np.nonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, dimensions), pa.int32()), pa.array(np.append(total[0][used], rows[0])), pa.array(np.append(total[1][used], rows[1]))], ["feature", "n0", "n1"])
 
@@ -161,14 +167,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = known.where("label = 0").orderBy(order, "__id").limit(fit_rows).union(known.where("label = 1").orderBy(order, "__id").limit(fit_rows))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(dimensions)
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(0)]
+            found = []
+            for n, owner, feature in features(batch.column(0), dimensions):
+                found += np.split(feature.astype(np.int32), np.searchsorted(owner, np.arange(1, n)))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["id", "label", "features"])
 
-    sample = body.join(F.broadcast(chosen), "__id").select("text", "__id", "label").mapInArrow(featured, "id long, label int, features array<int>")
-    # documents that repeat an id are bounded too
-    picked = sample.limit(4 * fit_rows).toArrow().sort_by("id")
+    # one row per chosen id: the smallest text where rows repeat it
+    sample = body.join(F.broadcast(chosen), "__id").groupBy("__id", "label").agg(F.min("text").alias("text")).select("text", "__id", "label")
+    picked = sample.mapInArrow(featured, "id long, label int, features array<int>").toArrow().sort_by("id")
     rows = [x.values.to_numpy() for x in picked.column("features").combine_chunks()]
     scaled = [ratios[r] for r in rows]
     values = [v / (math.sqrt(float(v @ v)) or 1.0) for v in scaled]
@@ -184,9 +191,9 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", into: str =
     """
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        features = Features(dimensions)
         for texts in batches:
-            yield pa.array([model.score(features(t.as_py())) for t in texts], pa.float64())
+            scores = [model.score(*found) for found in features(texts, dimensions)]
+            yield pa.array(np.concatenate(scores) if scores else np.empty(0))
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return replaced(docs, **{into: F.arrow_udf(score, "double")(F.col(text))})
