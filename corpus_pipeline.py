@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from luminode.llm import decontam, neardup, packing, quality, secrets
-from luminode.llm.common import stored, table
+from luminode.llm.common import free_names, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects (score below one half)."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, into="__score").where("__score >= 0.5").select(*docs.columns)
+    (score,) = free_names(docs.columns, "score")
+    return quality.score_quality(docs, model, into=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +27,16 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of which a twentieth or more of the words repeat benchmark passages."""
-    judged = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=True)
-    return judged.where(~decontam.contaminated()).select(*docs.columns)
+    prefix = free_names(docs.columns, *decontam.ADDED)[0].removesuffix(decontam.ADDED[0])
+    judged = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=True, prefix=prefix)
+    return judged.where(~decontam.contaminated(f"{prefix}n_words", f"{prefix}n_hit")).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret found; n_chars follows the text."""
-    masked = secrets.redact(secrets.scan_secrets(docs, into="__secrets"), spans="__secrets")
-    changed = F.when(F.size("__secrets") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    (spans,) = free_names(docs.columns, "secrets")
+    masked = secrets.redact(secrets.scan_secrets(docs, into=spans), spans=spans)
+    changed = F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return masked.withColumn("n_chars", changed).select(*docs.columns)
 
 

@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text handled at once inside a task; bounds the Python objects alive together.
-CHUNK_ROWS = 256
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,3 +53,11 @@ def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns; input columns whose names clash (in any case) give way."""
     names = {c.lower() for c in columns}
     return df.select(*[df[c] for c in df.columns if c.lower() not in names], *[c.alias(n) for n, c in columns.items()])
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Names for columns that clash with none of the taken ones, in any case."""
+    lower, sign = {t.lower() for t in taken}, "__"
+    while any((sign + n).lower() in lower for n in names):
+        sign += "_"
+    return [sign + n for n in names]
