@@ -20,16 +20,15 @@ def default_cost(capacity: int) -> float:
 
 
 class Packer:
-    """Best-fit decreasing with a choice of bin sizes.
+    """Best-fit decreasing under a plan: for each permitted size, the size that opens where it would do.
 
     Pieces come longest first. Each goes to the open bin with the least room that still takes it;
-    else a bin opens, of the permitted size that is cheapest per place among those that take it
-    (the smaller of equals). At the end each bin shrinks to the least size that holds its contents.
+    else a bin opens, of the size that the plan has for the smallest one that takes the piece. At
+    the end each bin shrinks to the least size that holds its contents.
     """
 
-    def __init__(self, capacities: tuple[int, ...], cost):
-        self.capacities = sorted(capacities)
-        self.rate = {c: cost(c) / c for c in self.capacities}
+    def __init__(self, capacities: tuple[int, ...], plan: tuple[int, ...]):
+        self.capacities, self.plan = capacities, plan
         self.rooms: list[int] = []  # distinct rooms of open bins, ascending
         self.bins_with: dict[int, list[int]] = {}
         self.used: list[int] = []
@@ -45,7 +44,7 @@ class Packer:
                 del self.bins_with[room]
                 del self.rooms[k]
         else:
-            room = min((c for c in self.capacities if c >= length), key=lambda c: (self.rate[c], c))
+            room = self.capacities[self.plan[bisect_left(self.capacities, length)]]
             number = len(self.used)
             self.used.append(0)
         offset = self.used[number]
@@ -62,6 +61,39 @@ class Packer:
         return self.capacities[bisect_left(self.capacities, self.used[number])]
 
 
+def plan_cost(lengths: list[int], capacities: tuple[int, ...], plan: tuple[int, ...], cost) -> float:
+    """Cost of all bins, shrunk to their contents, of lengths (longest first) packed under a plan."""
+    packer = Packer(capacities, plan)
+    for n in lengths:
+        packer.place(n)
+    return sum(cost(packer.size(b)) for b in range(len(packer.used)))
+
+
+def best_plan(lengths: list[int], capacities: tuple[int, ...], cost) -> tuple[int, ...]:
+    """The plan of least cost found for these lengths (longest first), the permitted sizes taken together.
+
+    Plans that open one common size, or the smallest that fits beyond it, come first; then each
+    size's choice is tried anew, given all others, until no change of one choice saves anything.
+    Every trial packs all lengths. Of equal plans the one with smaller sizes stays.
+    """
+    sizes = range(len(capacities))
+    known: dict[tuple[int, ...], float] = {}
+
+    def tried(plan: tuple[int, ...]) -> tuple[float, tuple[int, ...]]:
+        if plan not in known:
+            known[plan] = plan_cost(lengths, capacities, plan, cost)
+        return known[plan], plan
+
+    best = min(tried(tuple(max(k, least) for k in sizes)) for least in sizes)
+    # no piece asks for a choice of a size that none needs
+    asked = sorted({bisect_left(capacities, n) for n in set(lengths)})
+    while True:
+        found = min((tried((*best[1][:k], other, *best[1][k + 1 :])) for k in asked for other in sizes if other >= k), default=best)
+        if found[0] >= best[0]:
+            return best[1]
+        best = found
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length=None, capacities: tuple[int, ...] = CAPACITIES, cost=default_cost, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, bin_id, capacity, bin_offset, bin_used.
 
@@ -69,10 +101,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length=Non
     text, as a byte-level model reads them. A document longer than the largest capacity is cut
     into pieces of that capacity and a rest. Every document has a row: null or empty ones have
     piece 0 of length 0 in no bin (null bin). Pieces are dealt to shards of about shard_pieces by
-    a hash, and each shard is packed on its own, which costs at most its last open bins. Rows that
-    repeat a document are packed each for itself.
+    a hash, and each shard is planned and packed on its own, which costs at most its last open
+    bins. Rows that repeat a document are packed each for itself; columns other than the named
+    ones are not read.
     """
-    top = max(capacities)
+    capacities = tuple(sorted(capacities))
+    top = capacities[-1]
     size = F.coalesce(F.col(length) if isinstance(length, str) else length if length is not None else F.octet_length(text), F.lit(0)).cast("long")
     sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), size.alias("total"))
     last = F.greatest(F.lit(0), F.ceil(F.col("total") / top).cast("int") - 1)
@@ -88,8 +122,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length=Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(number: int, rows: list[tuple]) -> pa.RecordBatch:
-            packer = Packer(capacities, cost)
-            placed = [packer.place(r[3]) for r in rows]
+            lengths = [r[3] for r in rows]
+            packer = Packer(capacities, best_plan(lengths, capacities, cost))
+            placed = [packer.place(n) for n in lengths]
             columns = [
                 *[pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
                 pa.array([(number << 32) | b for b, _ in placed], pa.int64()),

@@ -157,11 +157,41 @@ def test_packing(spark):
 
 
 def test_best_fit_takes_the_tightest_bin():
-    packer = packing.Packer((10, 20), lambda c: c + 1)
+    packer = packing.Packer((10, 20), (1, 1))
     assert [packer.place(n)[0] for n in (15, 12, 8, 5, 3)] == [0, 1, 1, 0, 2]
     assert [packer.size(b) for b in range(3)] == [20, 20, 10]
 
 
+def test_plans_against_all_plans_and_all_packings():
+    draw, worst = np.random.default_rng(4), 1.0
+    sizes, cost = (8, 16, 32), lambda c: 3 + c + c * c / 64
+
+    def least(lengths):
+        """Cheapest of all ways to deal the lengths to bins."""
+        if not lengths:
+            return 0.0
+        head, rest = lengths[0], lengths[1:]
+        best = float("inf")
+        for mask in range(1 << len(rest)):
+            own = head + sum(n for k, n in enumerate(rest) if mask >> k & 1)
+            if own <= sizes[-1]:
+                size = min(c for c in sizes if c >= own)
+                best = min(best, cost(size) + least([n for k, n in enumerate(rest) if not mask >> k & 1]))
+        return best
+
+    for _ in range(40):
+        lengths = sorted(draw.integers(1, 33, 7).tolist(), reverse=True)
+        got = packing.plan_cost(lengths, sizes, packing.best_plan(lengths, sizes, cost), cost)
+        plans = [packing.plan_cost(lengths, sizes, (a, b, 2), cost) for a in range(3) for b in (1, 2)]
+        assert got == min(plans)
+        worst = max(worst, got / least(lengths))
+    assert worst < 1.2
+    # sizes chosen together save over the smallest that fits
+    lengths = sorted(draw.integers(1, 33, 400).tolist(), reverse=True)
+    best = packing.best_plan(lengths, sizes, cost)
+    assert packing.plan_cost(lengths, sizes, best, cost) < packing.plan_cost(lengths, sizes, (0, 1, 2), cost)
+
+
 def test_near_duplicates_against_brute_force(spark):
     sets = {}
     for i, text in rows("documents", "doc_id, text"):
