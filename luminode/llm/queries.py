@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from luminode.llm import decontam, fingerprints, licenses, maxent, neardup, packing, quality, secrets, tokens, warc
-from luminode.llm.common import fold, table
+from luminode.llm.common import fold, stored, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"))
+    docs = tokens.prefix_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    prefixes = stored(docs.select("doc_id", n_bytes.alias("n_bytes"), "prefixes"), "prefixes")
+    counted = prefixes.select("doc_id", "n_bytes", tokens.tokens_in(F.col("prefixes")).alias("n_tokens"), tokens.prefix_within(F.col("prefixes"), tokens.LIMIT).alias("chars_in_limit"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"), "chars_in_limit")
 
 
 QUERIES = {

@@ -1,29 +1,33 @@
-"""Token counts: a prefix table of exact counts, kept at word boundaries and refined inside words.
+"""Token counts: a stored table of the exact count of every prefix of a text.
 
 The vocabulary has no piece that holds a word separator after another character, so no merge
-crosses the start of a word. The count of a prefix that ends there is therefore the count of the
-prefix before it plus that of one word: a dynamic program over words, whose per-word costs are
-encoded once per distinct word and task.
+crosses the start of a word: a prefix that ends inside a word has the tokens of all words before it
+and those of the piece of that word. Inside a word the counts come from a dynamic program: the
+tokens of a prefix are those of a shorter prefix and one more piece, and of the pieces that end
+here the right one is that which the model does not merge or cut differently after the last token
+of the shorter prefix. Words are worked out once per task, and held against the library's count.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from luminode.llm.common import replaced
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Distinct words remembered by a task; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words, and pairs of pieces, remembered by a task; beyond them the memory starts anew.
+CACHE_WORDS, CACHE_PAIRS = 300_000, 1_000_000
 #: The model writes a blank as this sign and reads the sign as a blank.
 BLANK = "▁"
+#: A letter of no piece, so that nothing merges with it: what follows is encoded as after a border.
+BORDER = "\U000f0000"
 
 
 def load_sentencepiece(name: str):
@@ -38,14 +42,21 @@ def load_sentencepiece(name: str):
 
 
 class PrefixCounter:
-    """Exact token counts of the prefixes of a text."""
+    """Exact token counts of all prefixes of a text, as one small number per code point."""
 
     split = re.compile(f"[ {BLANK}]+[^ {BLANK}]*")
-    #: A single blank at the end of a text: nothing is left to encode, yet it is one token.
-    alone = {"": 1}
 
-    def __init__(self, encode):
-        self.encode, self.cost = encode, dict(self.alone)
+    def __init__(self, model):
+        self.model = model
+        plain = (i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)))
+        self.ids = {model.id_to_piece(i): i for i in plain}
+        self.longest = max(map(len, self.ids))
+        self.size = [0] * model.get_piece_size()
+        for piece, i in self.ids.items():
+            self.size[i] = len(piece)
+        self.after_border = len(model.encode(BORDER))
+        self.steps: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def words(self, text: str) -> list[str]:
         """Words without their first blank, which the model adds by itself to what it encodes."""
@@ -55,82 +66,136 @@ class PrefixCounter:
             return [w[1:] for w in self.split.findall(f" {text}")]
         return text.split(" ")
 
+    def stay(self, left: str, right: str) -> bool:
+        """Whether the model leaves two neighbouring pieces as they are."""
+        known = self.pairs[left, right] = self.model.EncodeAsIds(BORDER + left + right)[self.after_border :] == [self.ids[left], self.ids[right]]
+        return known
+
+    def program(self, word: str, whole: list[int]) -> bytes:
+        """Changes of the count over the prefixes of a blank and a word, whose own tokens are known.
+
+        A prefix that ends with one of the word's tokens has the tokens up to there. One that ends
+        inside a token mostly has the token's first letters as its last piece; else all pieces
+        that end there are tried.
+        """
+        ids, pairs, size = self.ids, self.pairs, self.size
+        word, cells, last, steps = BLANK + word.replace(" ", BLANK), [0], [""], []
+        for k, token in enumerate(whole, 1):
+            begin = len(steps)
+            stop, before = begin + size[token], last[begin]
+            if stop == begin:  # a letter spelled in bytes: the word is worked out without its tokens
+                return self.search(word, [0], [""], len(word))
+            for end in range(begin + 1, stop + 1):
+                piece = word[begin:end]
+                if end == stop or piece in ids and (not before or (pairs[before, piece] if (before, piece) in pairs else self.stay(before, piece))):
+                    steps.append(k - cells[-1] & 255)
+                    cells.append(k)
+                    last.append(piece)
+                else:
+                    steps.append(self.search(word, cells, last, end)[-1])
+        return bytes(steps) if steps else b"\1"
+
+    def search(self, word: str, cells: list[int], last: list[str], stop: int) -> bytes:
+        """Extends cells and last up to a prefix of the word; the changes of the count."""
+        known = len(cells)
+        for end in range(known, stop + 1):
+            for start in range(max(0, end - self.longest), end):
+                piece = word[start:end]
+                if piece in self.ids:
+                    before = last[start]
+                    if not before or (self.pairs[before, piece] if (before, piece) in self.pairs else self.stay(before, piece)):
+                        cells.append(cells[start] + 1)
+                        last.append(piece)
+                        break
+            else:  # no piece ends here: the letter is spelled in bytes, and nothing merges with them
+                cells.append(cells[-1] + len(word[end - 1].encode()))
+                last.append("")
+        return bytes([cells[k] - cells[k - 1] & 255 for k in range(known, stop + 1)])
+
     def learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self.cost))
-        if new:
-            if len(self.cost) + len(new) > CACHE_WORDS:
-                self.cost = dict(self.alone)
-                new = list(set(words) - {""})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                self.cost.update(zip(part, map(len, self.encode(part))))
-
-    def total(self, text: str) -> int:
+        new = list(set(words).difference(self.steps))
+        if not new:
+            return
+        if len(self.steps) + len(new) > CACHE_WORDS:
+            self.steps.clear()
+            new = list(set(words))
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for word, whole in zip(part, self.model.encode(part, num_threads=1)):
+                steps = self.program(word, whole)
+                # a lone blank is a token, though nothing is left to encode
+                if word and sum(steps) - 256 * sum(x > 127 for x in steps) != len(whole):
+                    cells = [0, 1, *(len(self.model.encode(word[:k])) for k in range(1, len(word) + 1))]
+                    steps = bytes([b - a & 255 for a, b in zip(cells, cells[1:])])
+                self.steps[word] = steps
+
+    def table(self, text: str) -> bytes:
+        """The change of the count with each code point of the text (8 bits, signed)."""
         words = self.words(text)
+        if not words:
+            return b""
         self.learn(words)
-        return sum(map(self.cost.__getitem__, words))
+        steps = np.frombuffer(b"".join(map(self.steps.__getitem__, words)), np.int8)
+        out = steps[1:].copy()  # the model's own blank before the text is no code point of it
+        out[:1] += steps[0]
+        return out.tobytes()
 
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends (code points) of the prefixes that stop before a word start, and their counts."""
-        words = self.words(text)
-        self.learn(words)
-        ends, counts, end, count = [], [], -1, 0
-        for w in words:
-            end += len(w) + 1
-            count += self.cost[w]
-            ends.append(end)
-            counts.append(count)
-        return ends, counts
-
-    def cut(self, text: str, budget: int) -> int:
-        """Length of the longest prefix that has at most budget tokens."""
-        ends, counts = self.table(text)
-        if not counts or counts[-1] <= budget:
-            return len(text)
-        k = bisect_right(counts, budget)  # the word in which the budget ends
-        start, base = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        inside = text[start : ends[k]]
-        lead = 1 if k else 0  # the blank before the word is not encoded: the model adds it
-        for size in range(len(inside), lead - 1, -1):
-            if base + len(self.encode(inside[lead:size])) + (lead and size == lead) <= budget:
-                return start + size
-        return start
-
-
-def _column(df: DataFrame, text: str, into: str, returns: str, vocabulary: str, make) -> DataFrame:
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load_sentencepiece(vocabulary)
-        counter = PrefixCounter(lambda x: model.encode(x, num_threads=1) if isinstance(x, list) else model.encode(x))
-        for texts in batches:
-            yield make(counter, texts)
 
+def counts(table: bytes | None) -> np.ndarray:
+    """Exact tokens of all prefixes, the empty one first, from a text's table."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(table or b"", np.int8), dtype=np.int64)])
+
+
+def _udf(run, returns: str, argument: Column) -> Column:
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return replaced(df, **{into: F.arrow_udf(run, returns)(F.col(text))})
+    return F.arrow_udf(run, returns)(argument)
 
 
-def count_tokens(df: DataFrame, text: str = "text", into: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds `into`: the exact token count of the whole text, the last cell of its prefix table.
+def prefix_table(df: DataFrame, text: str = "text", into: str = "prefixes", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Adds `into`: for each code point of the text, by how much it changes the number of tokens.
 
-    Null and empty texts have 0 tokens; other columns pass; a column named as `into` is replaced.
+    Running sums are the exact token counts of all prefixes: tokens_in, prefix_within and
+    tokens_between answer from the stored column, without encoding again. Null and empty texts
+    have an empty table; other columns pass; a column named as `into` is replaced; repeated rows
+    have equal tables.
     """
-    return _column(df, text, into, "long", vocabulary, lambda c, texts: pa.array([c.total(x.as_py() or "") for x in texts], pa.int64()))
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = PrefixCounter(load_sentencepiece(vocabulary))
+        for texts in batches:
+            yield pa.array([counter.table(x.as_py() or "") for x in texts], pa.binary())
 
-def prefix_table(df: DataFrame, text: str = "text", into: str = "prefixes", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds `into`: struct(ends, counts), exact counts of all prefixes that stop at a word start or the end.
+    return replaced(df, **{into: _udf(run, "binary", F.col(text))})
 
-    tokens_within and fits answer budget questions from it without encoding again.
-    """
-    kind = pa.struct([("ends", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-    return _column(df, text, into, "struct<ends:array<int>,counts:array<int>>", vocabulary, lambda c, texts: pa.array([dict(zip(("ends", "counts"), c.table(x.as_py() or ""))) for x in texts], kind))
+
+def tokens_in(prefixes: Column) -> Column:
+    """Tokens of the whole text, the last cell of its table; 0 for null."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for tables in batches:
+            yield pa.array([int(np.frombuffer(x.as_py() or b"", np.int8).sum(dtype=np.int64)) for x in tables], pa.int64())
+
+    return _udf(run, "long", prefixes)
 
 
-def truncation(df: DataFrame, budget: int, text: str = "text", into: str = "cut", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds `into`: code points of the longest prefix of at most `budget` tokens (0 for null or empty)."""
-    return _column(df, text, into, "int", vocabulary, lambda c, texts: pa.array([c.cut(x.as_py() or "", budget) for x in texts], pa.int32()))
+def prefix_within(prefixes: Column, budget: int) -> Column:
+    """Code points of the longest prefix of at most `budget` tokens; 0 for null."""
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for tables in batches:
+            yield pa.array([int(np.flatnonzero(counts(x.as_py()) <= budget)[-1]) for x in tables], pa.int64())
+
+    return _udf(run, "long", prefixes)
+
+
+def tokens_between(prefixes: Column, start: int, stop: int) -> Column:
+    """Tokens that the code points start..stop add to the prefix before them; a text may end earlier."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for tables in batches:
+            cells = [counts(x.as_py()) for x in tables]
+            yield pa.array([int(c[min(stop, len(c) - 1)] - c[min(start, len(c) - 1)]) for c in cells], pa.int64())
 
-def words_within(prefixes, budget: int):
-    """Column: code points of the longest prefix at a word start within budget, from a stored prefix table."""
-    fitting = F.size(F.filter(prefixes["counts"], lambda n: n <= budget))
-    return F.when(fitting > 0, F.element_at(prefixes["ends"], fitting)).otherwise(F.lit(0))
+    return _udf(run, "long", prefixes)

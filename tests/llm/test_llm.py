@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from luminode.operators import similar
 from luminode.llm import components, decontam, fingerprints, licenses, maxent, neardup, packing, quality, queries, secrets, tokens, warc
@@ -282,19 +283,32 @@ def test_full_licenses(spark):
     assert (got[100], got[101], got[102], got[103]) == (("MIT", "MIT"), (None, "MIT"), (None, ""), ("BSD-3-Clause", "BSD-3-Clause"))
 
 
-def test_token_counts_and_prefixes(spark):
+def test_token_counts_at_every_prefix(spark):
     model = tokens.load_sentencepiece(tokens.VOCABULARY)
-    texts = [t for _, t in rows("documents", "doc_id, text")] + ["", " ", "  a  b ", "a▁b\n c", "\n\n", "x"]
-    counter = tokens.PrefixCounter(lambda x: model.encode(x, num_threads=1) if isinstance(x, list) else model.encode(x))
-    assert [counter.total(t) for t in texts] == [len(x) for x in model.encode(texts)]
-    for text in texts[:3] + texts[-5:]:
-        for end, n in zip(*counter.table(text)):
-            assert n == len(model.encode(text[:end]))
-    text = texts[0][:300]
+    draw = np.random.default_rng(8)
+    noise = ["".join(map(chr, draw.choice([*range(32, 127), 9, 10, 0xE9, 0x416, 0x4E2D, 0x2581, 0x1F600, 0x301], 200))) for _ in range(20)]
+    texts = [t for _, t in rows("documents", "doc_id, text")] + noise + ["", " ", "  a  b ", "a▁b\n c", "\n\n", "x", "<0x0A> <s> <unk>"]
+    counter = tokens.PrefixCounter(model)
+    assert [tokens.counts(counter.table(t))[-1] for t in texts] == [len(x) for x in model.encode(texts)]
+    for text in [t[:400] for t in texts[:6]] + texts[-27:]:
+        want = [len(x) for x in model.encode([text[:k] for k in range(len(text) + 1)])]
+        assert tokens.counts(counter.table(text)).tolist() == want
+    long = "".join(draw.choice(list("etaoinshr"), 30_000))
+    assert tokens.counts(counter.table(long))[-1] == len(model.encode(long))
+
+
+def test_budget_questions(spark):
+    model = tokens.load_sentencepiece(tokens.VOCABULARY)
+    text = rows("documents", "text")[0][0][:300]
+    docs = edge_docs(spark).unionByName(spark.createDataFrame([(6, text)], DOCS)).withColumn("prefixes", F.lit(1))
+    made = tokens.prefix_table(docs)
+    assert made.columns == ["doc_id", "text", "prefixes"]
     for budget in (0, 1, 7, 40):
-        assert counter.cut(text, budget) == max(k for k in range(len(text) + 1) if len(model.encode(text[:k])) <= budget)
-    got = tokens.count_tokens(edge_docs(spark)).collect()
-    assert [r.n_tokens for r in got[:2]] == [0, 0]
+        col = F.col("prefixes")
+        got = {r.doc_id: r for r in made.select("doc_id", tokens.tokens_in(col).alias("n"), tokens.prefix_within(col, budget).alias("cut"), tokens.tokens_between(col, 10, 50).alias("part")).collect()}
+        assert got[6].cut == max(k for k in range(len(text) + 1) if len(model.encode(text[:k])) <= budget)
+        assert got[6].part == len(model.encode(text[:50])) - len(model.encode(text[:10]))
+        assert [got[k].n for k in (1, 2)] == [got[k].cut for k in (1, 2)] == [0, 0]
 
 
 def test_pipeline_stages_keep_columns(spark):
