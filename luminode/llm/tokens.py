@@ -5,7 +5,7 @@ crosses the start of a word: a prefix that ends inside a word has the tokens of
 and those of the piece of that word. Inside a word the counts come from a dynamic program: the
 tokens of a prefix are those of a shorter prefix and one more piece, and of the pieces that end
 here the right one is that which the model does not merge or cut differently after the last token
-of the shorter prefix. Words are worked out once per task, and held against the library's count.
+of the shorter prefix. The program's count of each word is held against the library's; words are worked out once per task.
 """
 
 from __future__ import annotations
@@ -23,7 +23,13 @@ from luminode.llm.common import replaced
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Distinct words, and pairs of pieces, remembered by a task; beyond them the memory starts anew.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
+#: Texts whose words are worked out together.
+TEXTS = 512
+#: Times that a word may wait for the pairs of pieces it meets, which are asked for together.
+WAITS = 12
+#: More than any number of a piece: two of them make one key.
+PIECES = 1 << 20
 #: The model writes a blank as this sign and reads the sign as a blank.
 BLANK = "▁"
 #: A letter of no piece, so that nothing merges with it: what follows is encoded as after a border.
@@ -50,13 +56,14 @@ class PrefixCounter:
         self.model = model
         plain = (i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)))
         self.ids = {model.id_to_piece(i): i for i in plain}
-        self.longest = max(map(len, self.ids))
-        self.size = [0] * model.get_piece_size()
+        self.sizes = sorted(range(1, max(map(len, self.ids)) + 1), key=lambda n: (n > 3, (2, 3, 1).index(n) if n < 4 else n))
+        self.pieces = [""] * model.get_piece_size()
         for piece, i in self.ids.items():
-            self.size[i] = len(piece)
+            self.pieces[i] = piece
         self.after_border = len(model.encode(BORDER))
         self.steps: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.wanted: set[int] = set()
 
     def words(self, text: str) -> list[str]:
         """Words without their first blank, which the model adds by itself to what it encodes."""
@@ -66,77 +73,105 @@ class PrefixCounter:
             return [w[1:] for w in self.split.findall(f" {text}")]
         return text.split(" ")
 
-    def stay(self, left: str, right: str) -> bool:
-        """Whether the model leaves two neighbouring pieces as they are."""
-        known = self.pairs[left, right] = self.model.EncodeAsIds(BORDER + left + right)[self.after_border :] == [self.ids[left], self.ids[right]]
-        return known
-
-    def program(self, word: str, whole: list[int]) -> bytes:
-        """Changes of the count over the prefixes of a blank and a word, whose own tokens are known.
-
-        A prefix that ends with one of the word's tokens has the tokens up to there. One that ends
-        inside a token mostly has the token's first letters as its last piece; else all pieces
-        that end there are tried.
+    def settle(self) -> None:
+        """Asks the library, for all pairs of pieces that came up, whether it leaves them as they are."""
+        pairs = [divmod(p, PIECES) for p in self.wanted]
+        self.wanted.clear()
+        for (left, right), out in zip(pairs, self.model.encode([BORDER + self.pieces[a] + self.pieces[b] for a, b in pairs], num_threads=1)):
+            self.pairs[left * PIECES + right] = out[self.after_border :] == [left, right]
+
+    def stays(self, left: int, right: int, wait: bool) -> bool | None:
+        """Whether two neighbouring pieces stay as they are; None, where it may wait, for a pair not met before."""
+        if left < 0:  # nothing merges with the start or with a letter spelled in bytes
+            return True
+        found = self.pairs.get(left * PIECES + right)
+        if found is None and wait:
+            self.wanted.add(left * PIECES + right)
+        elif found is None:
+            found = self.pairs[left * PIECES + right] = self.model.EncodeAsIds(BORDER + self.pieces[left] + self.pieces[right])[self.after_border :] == [left, right]
+        return found
+
+    def extend(self, word: str, tokens: list[int], cells: list[int], last: list[int], steps: bytearray, wait: bool) -> int | None:
+        """The program: goes on with the counts and last pieces of a word's prefixes, from those known.
+
+        A prefix that ends with one of the word's tokens has the tokens up to there. Of the pieces
+        that end at another place, the one that stays beside the last piece before it is the right
+        one; mostly it is the first letters of the token. A pair of pieces not met before is taken to
+        stay where it may wait: given back is the place from which on nothing is sure, if there is
+        one. Words with letters spelled in bytes are worked out without tokens.
         """
-        ids, pairs, size = self.ids, self.pairs, self.size
-        word, cells, last, steps = BLANK + word.replace(" ", BLANK), [0], [""], []
-        for k, token in enumerate(whole, 1):
-            begin = len(steps)
-            stop, before = begin + size[token], last[begin]
-            if stop == begin:  # a letter spelled in bytes: the word is worked out without its tokens
-                return self.search(word, [0], [""], len(word))
-            for end in range(begin + 1, stop + 1):
-                piece = word[begin:end]
-                if end == stop or piece in ids and (not before or (pairs[before, piece] if (before, piece) in pairs else self.stay(before, piece))):
-                    steps.append(k - cells[-1] & 255)
-                    cells.append(k)
-                    last.append(piece)
+        sure = None
+        piece_id, pieces, known = self.ids.get, self.pieces, len(cells) - 1
+        lengths = [len(pieces[t]) for t in tokens]
+        if 0 in lengths or not tokens:
+            tokens, lengths = [-1], [len(word) + 1]
+        begin = 0
+        for k, (token, length) in enumerate(zip(tokens, lengths), 1):
+            stop = begin + length
+            for end in range(max(begin, known) + 1, min(stop, len(word)) + 1):
+                if end == stop:
+                    i, count = token, k
                 else:
-                    steps.append(self.search(word, cells, last, end)[-1])
-        return bytes(steps) if steps else b"\1"
-
-    def search(self, word: str, cells: list[int], last: list[str], stop: int) -> bytes:
-        """Extends cells and last up to a prefix of the word; the changes of the count."""
-        known = len(cells)
-        for end in range(known, stop + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = word[start:end]
-                if piece in self.ids:
-                    before = last[start]
-                    if not before or (self.pairs[before, piece] if (before, piece) in self.pairs else self.stay(before, piece)):
-                        cells.append(cells[start] + 1)
-                        last.append(piece)
-                        break
-            else:  # no piece ends here: the letter is spelled in bytes, and nothing merges with them
-                cells.append(cells[-1] + len(word[end - 1].encode()))
-                last.append("")
-        return bytes([cells[k] - cells[k - 1] & 255 for k in range(known, stop + 1)])
-
-    def learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self.steps))
-        if not new:
-            return
+                    for size in (end - begin, *self.sizes) if token >= 0 else self.sizes:
+                        if size <= end:
+                            i = piece_id(word[end - size : end])
+                            if i is not None:
+                                left = last[end - size]
+                                fine = left < 0 or self.pairs.get(left * PIECES + i)
+                                if fine is None:
+                                    fine = self.stays(left, i, wait)
+                                    if fine is None:
+                                        sure, fine = end - 1 if sure is None else sure, True
+                                if fine:
+                                    count = cells[end - size] + 1
+                                    break
+                    else:  # no piece ends here: the letter is spelled in bytes
+                        i, count = -1, cells[-1] + len(word[end - 1].encode())
+                steps.append(count - cells[-1] & 255)
+                cells.append(count)
+                last.append(i)
+            begin = stop
+        return sure
+
+    def learn(self, words: set[str]) -> None:
+        """Works words out in their order, so that each goes on from the letters it shares with the one before."""
+        new = words.difference(self.steps)
         if len(self.steps) + len(new) > CACHE_WORDS:
             self.steps.clear()
-            new = list(set(words))
+            new = words
         if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, whole in zip(part, self.model.encode(part, num_threads=1)):
-                steps = self.program(word, whole)
-                # a lone blank is a token, though nothing is left to encode
-                if word and sum(steps) - 256 * sum(x > 127 for x in steps) != len(whole):
-                    cells = [0, 1, *(len(self.model.encode(word[:k])) for k in range(1, len(word) + 1))]
-                    steps = bytes([b - a & 255 for a, b in zip(cells, cells[1:])])
-                self.steps[word] = steps
-
-    def table(self, text: str) -> bytes:
-        """The change of the count with each code point of the text (8 bits, signed)."""
-        words = self.words(text)
+        left = sorted(new)
+        whole = dict(zip(left, self.model.encode(left, num_threads=1))) if left else {}
+        for wait in (*[True] * WAITS, False):
+            before, cells, last, steps, waiting = "", [0], [-1], bytearray(), []
+            for word in left:
+                full = BLANK + word.replace(" ", BLANK)
+                n, most = 0, min(len(full), len(before))
+                while n < most and full[n] == before[n]:
+                    n += 1
+                del cells[n + 1 :], last[n + 1 :], steps[n:]
+                sure = self.extend(full, whole[word], cells, last, steps, wait)
+                before = full[:sure]
+                if sure is not None:
+                    waiting.append(word)
+                elif word and cells[-1] != len(whole[word]):
+                    raise AssertionError(f"counts of {word[:80]!r} differ from the library's")
+                else:
+                    self.steps[word] = bytes(steps)
+            left = waiting
+            if self.wanted:
+                self.settle()
+
+    def tables(self, texts: list[str]) -> list[bytes]:
+        """For each text the change of the count with each of its code points (8 bits, signed)."""
+        words = [self.words(t) for t in texts]
+        self.learn(set().union(*words))
+        return [self.table(w) for w in words]
+
+    def table(self, words: list[str]) -> bytes:
         if not words:
             return b""
-        self.learn(words)
         steps = np.frombuffer(b"".join(map(self.steps.__getitem__, words)), np.int8)
         out = steps[1:].copy()  # the model's own blank before the text is no code point of it
         out[:1] += steps[0]
@@ -165,7 +200,8 @@ def prefix_table(df: DataFrame, text: str = "text", into: str = "prefixes", voca
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = PrefixCounter(load_sentencepiece(vocabulary))
         for texts in batches:
-            yield pa.array([counter.table(x.as_py() or "") for x in texts], pa.binary())
+            made = [t for k in range(0, len(texts), TEXTS) for t in counter.tables([x or "" for x in texts.slice(k, TEXTS).to_pylist()])]
+            yield pa.array(made, pa.binary())
 
     return replaced(df, **{into: _udf(run, "binary", F.col(text))})
 

@@ -328,12 +328,12 @@ def test_token_counts_at_every_prefix(spark):
     noise = ["".join(map(chr, draw.choice([*range(32, 127), 9, 10, 0xE9, 0x416, 0x4E2D, 0x2581, 0x1F600, 0x301], 200))) for _ in range(20)]
     texts = [t for _, t in rows("documents", "doc_id, text")] + noise + ["", " ", "  a  b ", "a▁b\n c", "\n\n", "x", "<0x0A> <s> <unk>"]
     counter = tokens.PrefixCounter(model)
-    assert [tokens.counts(counter.table(t))[-1] for t in texts] == [len(x) for x in model.encode(texts)]
+    assert [tokens.counts(t)[-1] for t in counter.tables(texts)] == [len(x) for x in model.encode(texts)]
     for text in [t[:400] for t in texts[:6]] + texts[-27:]:
         want = [len(x) for x in model.encode([text[:k] for k in range(len(text) + 1)])]
-        assert tokens.counts(counter.table(text)).tolist() == want
+        assert tokens.counts(counter.tables([text])[0]).tolist() == want
     long = "".join(draw.choice(list("etaoinshr"), 30_000))
-    assert tokens.counts(counter.table(long))[-1] == len(model.encode(long))
+    assert tokens.counts(counter.tables([long])[0])[-1] == len(model.encode(long))
 
 
 def test_budget_questions(spark):
