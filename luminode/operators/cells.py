@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from luminode.operators import joins as J
 
 
-def measure_regions(pixels: DataFrame, keys: tuple[str, ...] = ("image_id", "label"), intensity: str | None = None) -> DataFrame:
-    """Area, centroid, axes, eccentricity and orientation of every region, from second moments; mean and total intensity."""
+def measure_regions(pixels: DataFrame, keys: tuple[str, ...] = ("image_id", "label"), intensity: str | None = None, spectrum: str | None = None) -> DataFrame:
+    """Area, centroid, axes, eccentricity and orientation of every region, from second moments.
+
+    With intensity its mean and total; with spectrum (an array column) its mean in each channel.
+    """
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     more = [F.avg(intensity).alias("mean_intensity"), F.sum(intensity).alias("total_intensity")] if intensity else []
     m = pixels.groupBy(*keys).agg(F.count("*").alias("area"), F.avg(x).alias("centroid_x"), F.avg(y).alias("centroid_y"), F.var_pop(x).alias("__xx"), F.var_pop(y).alias("__yy"), F.covar_pop(x, y).alias("__xy"), *more)
@@ -20,7 +23,8 @@ def measure_regions(pixels: DataFrame, keys: tuple[str, ...] = ("image_id", "lab
     root = F.sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)
     out = m.withColumns({"major_axis": 4 * F.sqrt((xx + yy + root) / 2), "minor_axis": 4 * F.sqrt((xx + yy - root) / 2), "orientation": 0.5 * F.atan2(2 * xy, xx - yy)})
     ratio = F.col("minor_axis") / F.col("major_axis")
-    return out.withColumn("eccentricity", F.sqrt(F.greatest(F.lit(0.0), 1 - ratio * ratio))).drop("__xx", "__yy", "__xy")
+    out = out.withColumn("eccentricity", F.sqrt(F.greatest(F.lit(0.0), 1 - ratio * ratio))).drop("__xx", "__yy", "__xy")
+    return out.join(mean_array(pixels, list(keys), spectrum), list(keys)) if spectrum else out
 
 
 def mean_array(df: DataFrame, keys: list[str], v: str) -> DataFrame:
@@ -152,8 +156,11 @@ def pair_ttest(df: DataFrame, keys: list[str], group: str, value: str, groups: t
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
     s = s.withColumn("t", (F.col("m1") - F.col("m2")) / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))).withColumn("df", F.col("n1") + F.col("n2") - 2)
     s = s.withColumns({"fold_change": F.col("m1") / F.col("m2"), "p_value": t_tail(F.col("t"), F.col("df"))})
-    total = F.lit(hypotheses) if hypotheses else F.count("*").over(Window.partitionBy(F.lit(1)))
-    return s.withColumn("significant", F.col("p_value") < 0.05 / total)
+    if hypotheses:
+        return s.withColumn("significant", F.col("p_value") < 0.05 / hypotheses)
+    # one row
+    total = F.broadcast(s.agg(F.count("*").alias("__total")))
+    return s.crossJoin(total).withColumn("significant", F.col("p_value") < 0.05 / F.col("__total")).drop("__total")
 
 
 def t_tail(t: Column, df: Column) -> Column:
@@ -225,7 +232,7 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, id: str, replicat
     w = Window.partitionBy(*keys)
     numbered = df.select(*keys, value, F.row_number().over(w.orderBy(id)).alias("i"), F.count("*").over(w).alias("n"))
     draws = numbered.select(*keys, "n", "i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draws = draws.select(*keys, "replicate", (F.pmod(F.xxhash64("replicate", "i", F.lit(seed)), F.col("n")) + 1).alias("i"))
+    draws = draws.select(*keys, "replicate", (F.pmod(F.xxhash64(*keys, "replicate", "i", F.lit(seed)), F.col("n")) + 1).alias("i"))
     means = draws.join(numbered, [*keys, "i"]).groupBy(*keys, "replicate").agg(F.avg(value).alias("m"))
     return means.groupBy(*keys).agg(F.avg("m").alias("mean"), F.percentile("m", 0.25).alias("q25"), F.percentile("m", 0.75).alias("q75"))
 

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
+from luminode.sources.shared import stored
 
+#: Positions that meet in one bucket of an overlap join.
+BUCKET = 64
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
 
 
@@ -85,13 +88,22 @@ def interference(hits: DataFrame, probes: DataFrame, key: str = "taxon", thresho
     p_start, ln. For a blocker and probe: share of its distinct hits that overlap by more than each
     threshold; averaged over probes, then the largest over keys.
     """
+    if min(thresholds) < 0:
+        raise ValueError("thresholds below 0 would count pairs that do not overlap")
     h = hits.select(key, "blocker_id", "hit_start", "hit_end").distinct()
     p = probes.select(key, "p_start", "ln").distinct()
+    # overlapping pairs meet in the buckets that both cover, and count in the first of them
+    inside = lambda low, high: F.explode(F.sequence(F.floor(low / BUCKET), F.floor(high / BUCKET)))
+    left = h.withColumn("bucket", inside(F.least("hit_end", "hit_start"), F.greatest("hit_end", "hit_start")))
+    right = p.where("ln > 0").withColumn("bucket", inside(F.col("p_start"), F.col("p_start") + F.col("ln")))
     overlap = F.least("hit_start", F.col("p_start") + F.col("ln")) - F.greatest("hit_end", F.col("p_start"))
-    joined = h.join(p, key).withColumn("overlap", overlap)
-    each = joined.groupBy(key, "blocker_id", "p_start", "ln").agg(*[F.avg((F.col("overlap") > t).cast("double")).alias(f"o{t}") for t in thresholds])
-    mean = each.groupBy(key, "blocker_id").agg(*[F.avg(f"o{t}").alias(f"o{t}") for t in thresholds])
-    return mean.groupBy("blocker_id").agg(*[F.max(f"o{t}").alias(f"over_{t}") for t in thresholds])
+    met = left.join(right, [key, "bucket"]).where(F.col("bucket") == F.floor(F.greatest("hit_end", "p_start") / BUCKET)).withColumn("overlap", overlap)
+    pairs = met.groupBy(key, "blocker_id").agg(*[F.count(F.when(F.col("overlap") > t, 1)).alias(f"o{t}") for t in thresholds])
+    # pairs that do not overlap only count below the line
+    all_pairs = h.groupBy(key, "blocker_id").agg(F.count("*").alias("hits")).join(p.groupBy(key).agg(F.count("*").alias("probes")), key)
+    mean = all_pairs.join(pairs, [key, "blocker_id"], "left")
+    share = lambda t: F.coalesce(f"o{t}", F.lit(0)) / (F.col("hits") * F.col("probes"))
+    return mean.groupBy("blocker_id").agg(*[F.max(share(t)).alias(f"over_{t}") for t in thresholds])
 
 
 def interference_by_molecule(hits: DataFrame, probes: DataFrame, min_qcov: float = 99.9, thresholds: tuple[int, ...] = (0, 5, 10)) -> DataFrame:
@@ -136,19 +148,46 @@ def pairs_within(cells: DataFrame, radius: float, keys: tuple[str, ...] = ("imag
 
 
 def knn_points(points: DataFrame, cells: DataFrame, k: int, image: str = "image_id", id: str = "cell") -> DataFrame:
-    """The k cells of a point's image nearest to it, ranked from 1; ties by id.
+    """The k cells of a point's image nearest to it, ranked from 1; ties by id; all where there are fewer.
 
-    points: image, point_id, px, py. Points are a stated query set of an image.
+    points: image, point_id, px, py. A point meets the cells of the squares around it, the square's
+    side from the cells' density; points whose k-th cell may not be the k-th nearest (it is farther
+    than the searched squares reach) search twice as far, until all cells of an image are reached.
     """
+    extent = cells.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     distance = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
-    ranked = points.join(cells, image).withColumn("distance", distance)
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(image, "point_id").orderBy("distance", id))).where(F.col("rank") <= k)
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(Window.partitionBy(image, "point_id").orderBy("distance", id))).where(F.col("rank") <= k)
+    if not extent.n:
+        return ranked(points.join(cells, image).withColumn("distance", distance))
+    far = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    spread = [max(x for x in (a, b) if x is not None) - min(x for x in (c, d) if x is not None) for a, b, c, d in ((extent[2], far[1], extent[1], far[0]), (extent[4], far[3], extent[3], far[2]))]
+    side = max((max(spread[0], 1e-9) * max(spread[1], 1e-9) * k / extent.n) ** 0.5, max(spread) / 1e6, 1e-9)
+    tiled, left, reach, done = _grid(cells, side, "x", "y"), _grid(points, side, "px", "py"), 1, None
+    while True:
+        last = reach * side > max(spread)
+        span = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
+        # a ring at a time would do less, but squares keep a round a single join
+        asked = left if last else left.withColumn("gx", span("gx")).withColumn("gy", span("gy"))
+        met = asked.drop("gx", "gy").join(tiled.drop("gx", "gy"), image) if last else asked.join(tiled, [image, "gx", "gy"]).drop("gx", "gy")
+        found = ranked(met.withColumn("distance", distance))
+        if last:
+            return found if done is None else done.unionByName(found)
+        found = stored(found, "near")
+        sure = found.where((F.col("rank") == k) & (F.col("distance") <= reach * side)).select(image, "point_id").distinct()
+        kept = found.join(sure, [image, "point_id"], "left_semi")
+        done = kept if done is None else done.unionByName(kept)
+        left = stored(left.join(sure, [image, "point_id"], "left_anti"), "unsure")
+        if left.isEmpty():
+            return done
+        reach *= 2
 
 
 def min_distance(cells: DataFrame, boundary: DataFrame, image: str = "image_id", id: str = "cell") -> DataFrame:
     """Distance of every cell to the nearest boundary point (bx, by) of its image."""
-    distance = F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
-    return cells.join(boundary, image).groupBy(image, id).agg(F.min(distance).alias("distance"))
+    asked = cells.select(image, F.col(id).alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py")).distinct()
+    edge = boundary.select(image, F.col("bx").alias("x"), F.col("by").alias("y"), F.lit(0).alias("__edge")).distinct()
+    near = knn_points(asked, edge, 1, image, "__edge")
+    return near.groupBy(image, F.col("point_id").alias(id)).agg(F.min("distance").alias("distance"))
 
 
 def adjacency(pixels: DataFrame, image: str = "image_id", both: bool = True) -> DataFrame:
@@ -196,16 +235,18 @@ def seed_hits(probes: DataFrame, targets: DataFrame, k: int, max_targets_per_see
 def lineage(ids: DataFrame, taxonomy: DataFrame, ranks: tuple[str, ...] = RANKS, depth: int = 40) -> DataFrame:
     """The ancestor of each id at each rank, null where there is none.
 
-    taxonomy: taxid, parent, rank. All walks go up one level per join until none is left, at most
-    `depth` levels; the root is its own parent or has none.
+    taxonomy: taxid, parent, rank. All walks go up one level per join until none is left; more than
+    `depth` levels are an error; the root is its own parent or has none.
     """
     tree = taxonomy.select("taxid", "parent", "rank")
     walk = ids.select(F.col("taxid").alias("id"), F.col("taxid").alias("at")).distinct()
     found = None
-    for _ in range(depth):
+    for level in range(depth + 1):
+        if level == depth:
+            raise ValueError(f"the tree is deeper than {depth} levels, or has a ring")
         step = walk.join(tree, walk["at"] == tree["taxid"]).select("id", "at", "rank", "parent")
         found = step.select("id", "at", "rank") if found is None else found.union(step.select("id", "at", "rank"))
-        walk = step.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("at"))).select("id", F.col("parent").alias("at"))
+        walk = stored(step.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("at"))).select("id", F.col("parent").alias("at")), "walk")
         if walk.isEmpty():
             break
     return found.groupBy("id").agg(*[F.max(F.when(F.col("rank") == r, F.col("at"))).alias(r) for r in ranks])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +65,9 @@ def min_cover(cover: DataFrame, key: str, element: str, choice: str, store, max_
     table). Gives key, choice and the round in which it was taken.
     """
     left, chosen = store(cover.select(key, element, choice).distinct()), None
-    for k in range(max_rounds):
+    for k in range(max_rounds + 1):
+        if k == max_rounds:
+            raise RuntimeError(f"elements are left after {max_rounds} rounds")
         counts = left.groupBy(key, choice).agg(F.count("*").alias("n"))
         best = store(counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("less"), F.col(choice).alias("c"))).alias("b")).select(key, F.col("b.c").alias(choice), F.lit(k + 1).alias("round")))
         if best.isEmpty():
@@ -115,13 +118,30 @@ def smoothing_weights(half: int = 20) -> list[float]:
     return [3 * (3 * m * m + 3 * m - 1 - 5 * k * k) / scale for k in range(-m, m + 1)]
 
 
+def smoothing_table(half: int = 20) -> list[list[float]]:
+    """For each place of a window the weights that give there the cubic fitted to the whole window."""
+    t = np.arange(-half, half + 1, dtype=float)
+    basis, _ = np.linalg.qr(np.stack([t**k for k in range(4)], axis=1))
+    return (basis @ basis.T).tolist()
+
+
 def smooth(df: DataFrame, keys: list[str], order: list[Column], value: str, half: int = 20) -> DataFrame:
-    """Running cubic smoothing, clipped to 0..1; the first and last `half` rows of a group are null."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
-    around = F.collect_list(value).over(w)
-    weights = F.array(*map(F.lit, smoothing_weights(half)))
-    fitted = F.aggregate(F.zip_with(around, weights, lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x)
-    return df.withColumn("smoothed", F.when(F.size(around) == 2 * half + 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), fitted))))
+    """Running cubic smoothing, clipped to 0..1, of values without nulls.
+
+    The first and last `half` rows of a group lie on the cubic fitted to its first or last window;
+    groups smaller than a window have null.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    size = 2 * half + 1
+    at, n = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(*keys))
+    around = F.collect_list(value).over(w.rowsBetween(-2 * half, 2 * half))
+    rows = df.withColumns({"__at": at, "__n": n, "__around": around})
+    place = F.when(F.col("__at") < half, F.col("__at")).when(F.col("__n") - 1 - F.col("__at") < half, 2 * half - (F.col("__n") - 1 - F.col("__at"))).otherwise(half).cast("int")
+    begin = F.col("__at") - place - F.greatest(F.lit(0), F.col("__at") - 2 * half)
+    weights = F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in smoothing_table(half)]), place + 1)
+    terms = F.zip_with(F.slice("__around", (begin + 1).cast("int"), F.lit(size)), weights, lambda x, k: x * k)
+    fitted = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn("smoothed", F.when(F.col("__n") >= size, F.greatest(F.lit(0.0), F.least(F.lit(1.0), fitted)))).drop("__at", "__n", "__around")
 
 
 def name_rows(df: DataFrame, prefix: str, keys: list[str], order: list[Column]) -> DataFrame:

@@ -112,6 +112,34 @@ def diversity(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return p.groupBy(*keys).agg(F.sum(F.when(F.col(n) > 0, 1).otherwise(0)).alias("richness"), (-F.sum(plogp)).alias("shannon"), (1 / F.sum(F.col("__p") * F.col("__p"))).alias("inverse_simpson"), gini.alias("gini"))
 
 
+def richness_fraction(counts: DataFrame, keys: list[str], category: str, n: str = "n") -> DataFrame:
+    """Categories met within keys over all categories that any key has."""
+    met = counts.where(F.col(n) > 0)
+    whole = F.broadcast(met.agg(F.count_distinct(category).alias("__all")))
+    return met.groupBy(*keys).agg(F.count_distinct(category).alias("__own")).crossJoin(whole).select(*keys, (F.col("__own") / F.col("__all")).alias("richness_fraction"))
+
+
+def value_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows, mean and sample deviation of a value (signal to noise, intensity) per class."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+
+def rollup_counts(df: DataFrame, ranks: list[str]) -> DataFrame:
+    """Rows at each rank and under each higher one, from the highest down; null stands for all."""
+    return df.rollup(*ranks).agg(F.count("*").alias("n"))
+
+
+def sample_quality(cells: DataFrame, sample: str, category: str) -> DataFrame:
+    """Cells and classes of each sample."""
+    return cells.groupBy(sample).agg(F.count("*").alias("cells"), F.count_distinct(category).alias("classes"))
+
+
+def compare_sources(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str] = ("imaging", "sequencing")) -> DataFrame:
+    """Rows per key in two sources; keys of the first, 0 where the second has none."""
+    of = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    return of(a, names[0]).join(of(b, names[1]), key, "left").na.fill(0, [names[1]])
+
+
 def pool_report(pool: DataFrame, kept: Column, encoding: Column) -> DataFrame:
     """Oligos, encoding oligos and their share, before and after a filter."""
     return pool.agg(F.count("*").alias("n"), F.sum(encoding.cast("long")).alias("n_encoding"), share(encoding).alias("encoding_fraction"), F.sum(kept.cast("long")).alias("n_kept"), F.sum((kept & encoding).cast("long")).alias("n_kept_encoding"))

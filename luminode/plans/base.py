@@ -64,14 +64,19 @@ CELLS = "(SELECT vec_id % 4 AS image_id, vec_id AS cell, label AS code, embeddin
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, x, y, label (region), v: each event is a pixel of a 40 x 40 grid; a place has one label."""
-    e = table(spark, sf_dir, "events")
-    k = F.col("user_id")
-    place = e.select((F.col("event_id") % 3).alias("image_id"), (F.col("event_id") % 41).cast("int").alias("x"), (F.floor(F.col("event_id") / 41) % 40).cast("int").alias("y"), (k % 12 + 1).cast("int").alias("label"), "event_id", "value")
+    """image_id, x, y, label (region), v: every event is a pixel of one of three images, 41 wide and as high as the table needs.
+
+    Each stripe of eight rows has labels of its own, so regions grow in number with the table.
+    """
+    k = F.col("event_id")
+    y = F.floor(k / 123).cast("int")
+    label = (F.col("user_id") % 12 + 1 + 12 * F.floor(y / 8)).cast("int")
+    place = table(spark, sf_dir, "events").select((k % 3).alias("image_id"), (F.floor(k / 3) % 41).cast("int").alias("x"), y.alias("y"), label.alias("label"), "event_id", "value")
     return place.groupBy("image_id", "x", "y").agg(F.min_by("label", "event_id").alias("label"), F.min_by("value", "event_id").alias("v"))
 
 
-PIXELS = "(SELECT event_id % 3 AS image_id, (event_id % 41)::INT AS x, ((event_id // 41) % 40)::INT AS y, arg_min((user_id % 12 + 1)::INT, event_id) AS label, arg_min(value, event_id) AS v FROM events GROUP BY ALL)"
+PIXELS = """(SELECT event_id % 3 AS image_id, ((event_id // 3) % 41)::INT AS x, (event_id // 123)::INT AS y,
+  arg_min((user_id % 12 + 1 + 12 * (event_id // 984))::INT, event_id) AS label, arg_min(value, event_id) AS v FROM events GROUP BY ALL)"""
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

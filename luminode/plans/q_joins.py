@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
+from luminode.operators import cells as C
 from luminode.operators import joins as J
+from luminode.operators import selection
 from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, pixels, query, rnd, spectra, table
 from luminode.plans.q_functions import GATE, GATE_SQL, THRESHOLDS, _cos_sql
 
@@ -60,8 +62,9 @@ def c06_drop_problem(spark, d):
     return exact.withColumn("exact_kept", F.lit(True)).union(compat.select("l_suppkey", "l_partkey").join(exact, ["l_suppkey", "l_partkey"], "left_anti").withColumn("exact_kept", F.lit(False)))
 
 
-_EDGES = f"""(WITH p AS {PIXELS}, t AS (SELECT DISTINCT a.image_id, least(a.label, b.label) AS l1, greatest(a.label, b.label) AS l2 FROM p a JOIN p b
-  ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE a.label <> b.label)
+_EDGES = f"""(WITH p AS {PIXELS}, t AS (SELECT DISTINCT a.image_id, least(a.label, b.label) AS l1, greatest(a.label, b.label) AS l2
+  FROM (SELECT p.*, x + dx AS nx, y + dy AS ny FROM p, (VALUES (1, 0), (0, 1), (1, 1), (1, -1)) n(dx, dy)) a JOIN p b
+  ON a.image_id = b.image_id AND a.nx = b.x AND a.ny = b.y WHERE a.label <> b.label)
   SELECT image_id, l1 AS label_1, l2 AS label_2 FROM t UNION ALL SELECT image_id, l2, l1 FROM t)"""
 
 
@@ -73,14 +76,18 @@ def c07_keep_edges(spark, d):
 
 @query(
     """WITH s AS (SELECT DISTINCT l_suppkey AS taxon, l_orderkey AS id, l_orderkey % 1500 AS st, l_orderkey % 1500 + 19 AS en FROM lineitem),
-b AS (SELECT * FROM s WHERE id % 50 = 0)
+r AS (SELECT l_suppkey AS taxon, l_orderkey AS id, row_number() OVER (PARTITION BY l_suppkey, (l_orderkey % 1500) // 100 ORDER BY l_discount DESC, l_extendedprice, l_orderkey, l_partkey) AS k FROM lineitem),
+b AS (SELECT s.* FROM s JOIN (SELECT DISTINCT taxon, id FROM r WHERE k = 1) USING (taxon, id))
 SELECT b.taxon, b.id AS source_id, c.id AS helper_id, CASE WHEN c.en < b.st - 3 THEN '5' ELSE '3' END AS side, trunc((c.st - b.st) / 20)::INT AS helper_group
 FROM b JOIN s c ON b.taxon = c.taxon WHERE (c.st > b.st - 103 AND c.en < b.st - 3) OR (c.st > b.en + 3 AND c.en < b.en + 103)"""
 )
 def c08_helpers(spark, d):
     start = F.col("l_orderkey") % 1500
     s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("taxon"), F.col("l_orderkey").alias("helper_id"), start.alias("start"), (start + 19).alias("end")).distinct()
-    best = s.where("helper_id % 50 = 0").withColumnRenamed("helper_id", "source_id")
+    # the sources are the best probes of each taxon's position bins
+    rows = table(spark, d, "lineitem").withColumns({"taxon": F.col("l_suppkey"), "p_start": start})
+    chosen = selection.best_per_bin(rows, "taxon", "p_start", 100, [F.desc("l_discount"), F.asc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_partkey")])
+    best = chosen.select("taxon", F.col("l_orderkey").alias("source_id"), F.col("p_start").alias("start"), (F.col("p_start") + 19).alias("end")).distinct()
     return J.helpers(best, s).select("taxon", "source_id", "helper_id", "side", "helper_group")
 
 
@@ -133,11 +140,11 @@ def c12_pairs_within(spark, d):
     return J.pairs_within(cells(spark, d), 60).select("image_id", "code", "id_1", "id_2", rnd("distance").alias("distance"))
 
 
-POINTS = "(SELECT c_custkey % 4 AS image_id, c_custkey AS point_id, (c_acctbal % 400) - 200 AS px, (c_custkey * 37 % 400)::DOUBLE - 200 AS py FROM customer WHERE c_mktsegment = 'BUILDING')"
+POINTS = "(SELECT c_custkey % 4 AS image_id, c_custkey AS point_id, (c_acctbal % 400) - 200 AS px, (c_custkey * 37 % 400)::DOUBLE - 200 AS py FROM customer)"
 
 
 def points(spark, d):
-    c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    c = table(spark, d, "customer")
     return c.select((F.col("c_custkey") % 4).alias("image_id"), F.col("c_custkey").alias("point_id"), (F.col("c_acctbal") % 400 - 200).alias("px"), ((F.col("c_custkey") * 37 % 400).cast("double") - 200).alias("py"))
 
 
@@ -157,14 +164,23 @@ def c15_adjacency(spark, d):
     return J.adjacency(pixels(spark, d)).select("image_id", "label_1", "label_2")
 
 
-_REF = f"(SELECT label AS code, {GATE_SQL} AS f, v AS w, vec_id % 2 AS replicate FROM {SPECTRA} WHERE vec_id % 10 = 0)"
+_MEANS = f"(SELECT label, replicate, list(m ORDER BY k) AS v FROM (SELECT label, vec_id % 2 AS replicate, k, round(avg(x), 9) AS m FROM (SELECT label, vec_id, unnest(range(64)) AS k, unnest(v) AS x FROM {SPECTRA}) GROUP BY ALL) GROUP BY ALL)"
+_REF = f"(SELECT label AS code, {GATE_SQL} AS f, v AS w, replicate FROM {_MEANS})"
+
+
+def references(spark, d):
+    """label, replicate, v: mean spectra over all spectra of a class, two replicates each."""
+    means = C.mean_array(spectra(spark, d).withColumn("replicate", F.col("vec_id") % 2), ["label", "replicate"], "v")
+    return means.withColumn("v", F.transform("v", lambda x: F.round(x, 9)))
+
+
 _WHOLE = _cos_sql(1, 64).replace("a[", "v[").replace("b[", "w[")
 
 
 @query(f"SELECT vec_id, replicate, code, round(round(dist, 9), 6) + 0.0 AS distance FROM (SELECT vec_id, replicate, code, {_WHOLE} AS dist, row_number() OVER (PARTITION BY vec_id, replicate ORDER BY round({_WHOLE}, 9), code) AS r FROM (SELECT vec_id, v, {GATE_SQL} AS f FROM {SPECTRA}) JOIN {_REF} USING (f)) WHERE r = 1")
 def c16_nearest_spectrum(spark, d):
     s = spectra(spark, d).withColumn("flags", S.gate("v", GATE, THRESHOLDS))
-    ref = s.where("vec_id % 10 = 0").select(F.col("label").alias("code"), "flags", F.col("v").alias("ref_v"), (F.col("vec_id") % 2).alias("replicate"))
+    ref = references(spark, d).select(F.col("label").alias("code"), S.gate("v", GATE, THRESHOLDS).alias("flags"), F.col("v").alias("ref_v"), "replicate")
     out = J.nn_classify(s.select("vec_id", "flags", "v"), ref, lambda a, b: F.round(S.cosine(a, b), 9), "vec_id")
     return out.select("vec_id", "replicate", "code", rnd("distance").alias("distance"))
 
@@ -173,8 +189,8 @@ _SEED = 16
 
 
 @query(
-    f"""WITH p0 AS (SELECT item_id AS probe_id, substr({dna_sql('text')}, 1, 30) AS q FROM benchmark), p AS (SELECT probe_id, '+' AS strand, q FROM p0 UNION ALL SELECT probe_id, '-', reverse(translate(q, 'ACGTN', 'TGCAN')) FROM p0),
-t AS (SELECT doc_id AS molecule_id, any_value({dna_sql('text')}) AS t FROM documents GROUP BY 1),
+    f"""WITH p0 AS (SELECT item_id AS probe_id, {dna_sql('text')} AS q FROM benchmark), p AS (SELECT probe_id, '+' AS strand, q FROM p0 UNION ALL SELECT probe_id, '-', reverse(translate(q, 'ACGTN', 'TGCAN')) FROM p0),
+t AS (SELECT doc_id AS molecule_id, min({dna_sql('text')}) AS t FROM documents GROUP BY 1),
 ps AS (SELECT probe_id, strand, i, substr(q, i, {_SEED}) AS seed FROM (SELECT *, unnest(range(1, length(q) - {_SEED} + 2)) AS i FROM p)),
 ts AS (SELECT molecule_id, j, substr(t, j, {_SEED}) AS seed FROM (SELECT *, unnest(range(1, length(t) - {_SEED} + 2)) AS j FROM t)),
 g AS (SELECT DISTINCT probe_id, strand, molecule_id, j - i AS diag FROM ps JOIN ts USING (seed)),
@@ -184,8 +200,8 @@ SELECT probe_id, strand, molecule_id, st AS molecule_start, n AS length,
   CASE WHEN len(mm) = 0 THEN n ELSE list_max(list_concat(list_transform(range(1, len(mm)), lambda k: mm[k + 1] - mm[k]), [mm[1], n - 1 - mm[-1]])) END AS mch FROM m"""
 )
 def c17_seed_hits(spark, d):
-    p = table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), F.left(dna("text"), F.lit(30)).alias("seq"))
-    t = table(spark, d, "documents").groupBy(F.col("doc_id").alias("molecule_id")).agg(F.first(dna("text")).alias("seq"))
+    p = table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), dna("text").alias("seq"))
+    t = table(spark, d, "documents").groupBy(F.col("doc_id").alias("molecule_id")).agg(F.min(dna("text")).alias("seq"))
     h = J.seed_hits(p, t, _SEED)
     return h.select("probe_id", "strand", "molecule_id", *[F.col(c).cast("long").alias(c) for c in ("molecule_start", "length", "mch")])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from luminode.functions import scalars as S
 from luminode.operators import joins as J
 from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, pixels, query, rnd, spectra, table
-from luminode.plans.q_joins import tree
+from luminode.plans.q_joins import _MEANS, references, tree
 from luminode.sources import files
 from luminode.sources.shared import new_path
 
@@ -88,10 +88,12 @@ def a10_pool(spark, d):
     return spark.read.text(path).groupBy(F.col("value").alias("seq")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT 'BP_' || p_partkey AS name, {dna_sql('p_name')} AS sequence, CASE WHEN p_size <= 25 THEN '25nm' ELSE '100nm' END AS amount, CASE WHEN p_size <= 25 THEN 'STD' ELSE 'PAGE' END AS purification FROM part")
+@query(f"SELECT 'BP_' || p_partkey AS name, {dna_sql('p_name')} AS sequence, CASE WHEN p_size <= 25 THEN '25nm' ELSE '100nm' END AS amount, CASE WHEN p_size <= 25 THEN 'STD' ELSE 'PAGE' END AS purification, length({dna_sql('p_name')})::INT AS length FROM part")
 def a11_order_form(spark, d):
     p = table(spark, d, "part").select(F.concat(F.lit("BP_"), F.col("p_partkey").cast("string")).alias("id"), dna("p_name").alias("seq"), "p_size")
-    return files.order_form(p, "id", "seq", *S.order_tier("p_size", 25))
+    path = new_path(spark, "order")
+    files.write_order_form(p, path, "id", "seq", *S.order_tier("p_size", 25))
+    return spark.read.schema("name STRING, sequence STRING, amount STRING, purification STRING, length INT").option("header", True).csv(path)
 
 
 @query(f"SELECT vec_id, list_transform(v, lambda x: round(x, 6)) AS v FROM {SPECTRA}")
@@ -119,7 +121,10 @@ def a14_pixels(spark, d):
 @query("SELECT code AS code, " + ", ".join(f"count(*) FILTER (image_id = {k}) AS i{k}" for k in range(4)) + f" FROM {CELLS} GROUP BY code")
 def a15_matrix(spark, d):
     long = cells(spark, d).groupBy("code", "image_id").agg(F.count("*").alias("n"))
-    return files.to_matrix(long, "code", "image_id", "n", [0, 1, 2, 3]).select("code", *[F.col(str(k)).alias(f"i{k}") for k in range(4)])
+    path = new_path(spark, "matrix")
+    files.write_matrix(long, path, "code", "image_id", "n", [0, 1, 2, 3])
+    back = spark.read.schema("code INT, " + ", ".join(f"i{k} LONG" for k in range(4))).option("header", True).option("enforceSchema", True).csv(path)
+    return back
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -191,12 +196,16 @@ def u06_class_probability(spark, d):
     return models.probability_summary(models.classify(models.train(_features(spark, d), "label", "v", "forest"), _features(spark, d), "v"), ["label"])
 
 
-@query("SELECT vec_id, label AS code FROM embeddings WHERE vec_id % 10 = 0")
+@query(
+    f"""WITH d AS (SELECT vec_id, r.label AS code, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN s.v[i] + r.v[i] = 0 THEN 0.0 ELSE (s.v[i] - r.v[i]) * (s.v[i] - r.v[i]) / (s.v[i] + r.v[i]) END)), 9) AS dist FROM {SPECTRA} s, {_MEANS} r WHERE r.replicate = 0)
+SELECT vec_id, arg_min(code, (dist, code)) AS code, round(min(dist), 6) AS distance FROM d GROUP BY vec_id"""
+)
 def u03_metric_hook(spark, d):
-    """A user's metric in the nearest-neighbour classifier: a reference spectrum is nearest to itself."""
-    s = spectra(spark, d).where("vec_id % 10 = 0").withColumn("flags", F.lit(1))
-    ref = s.select(F.col("label").alias("code"), "flags", F.col("v").alias("ref_v"))
-    return J.nn_classify(s, ref, lambda a, b: S.chi2_distance(a, b), "vec_id").select("vec_id", "code")
+    """A user's metric (chi-square) in the nearest-neighbour classifier: all spectra against the class means."""
+    s = spectra(spark, d).withColumn("flags", F.lit(1))
+    ref = references(spark, d).where("replicate = 0").select(F.col("label").alias("code"), F.lit(1).alias("flags"), F.col("v").alias("ref_v"))
+    out = J.nn_classify(s, ref, lambda a, b: F.round(S.chi2_distance(a, b), 9), "vec_id")
+    return out.select("vec_id", "code", rnd("distance").alias("distance"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -212,10 +221,10 @@ def s01_classify_stream(spark, d):
     from luminode.streaming import incremental
 
     path = new_path(spark, "arrivals")
-    s = spectra(spark, d).withColumn("flags", S.gate("v", GATE, THRESHOLDS))
-    s.select("vec_id", "v", "flags").repartition(4).write.parquet(path)
-    ref = s.where("vec_id % 10 = 0").select(F.col("label").alias("code"), "flags", F.col("v").alias("ref_v"))
-    return incremental.classify_stream(spark, path, ref, lambda a, b: F.round(S.cosine(a, b), 9))
+    spectra(spark, d).select("vec_id", "v").repartition(4).write.parquet(path)
+    gate = S.gate("v", GATE, THRESHOLDS)
+    ref = references(spark, d).where("replicate = 0").select(F.col("label").alias("code"), gate.alias("flags"), F.col("v").alias("ref_v"))
+    return incremental.classify_stream(spark, path, ref, lambda a, b: F.round(S.cosine(a, b), 9), gate)
 
 
 @query()

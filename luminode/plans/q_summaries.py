@@ -95,11 +95,11 @@ def d09_distinct(spark, d):
     return table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag").dropDuplicates()
 
 
-@query(f"SELECT taxon, round(coalesce(count(DISTINCT CASE WHEN probe_id % 10 = 0 THEN molecule_id END), 0) / count(DISTINCT molecule_id), 6) AS coverage FROM {HITS} GROUP BY taxon")
+@query(f"SELECT taxon, round(coalesce(count(DISTINCT CASE WHEN chosen THEN molecule_id END), 0) / count(DISTINCT molecule_id), 6) AS coverage FROM (SELECT *, bool_or(mch >= 48) OVER (PARTITION BY taxon, probe_id) AS chosen FROM {HITS}) GROUP BY taxon")
 def d10_union_coverage(spark, d):
     h = hits(spark, d)
     whole = h.groupBy("taxon").agg(F.count_distinct("molecule_id").alias("abundance"))
-    return summaries.union_coverage(h, h.where("probe_id % 10 = 0").select("taxon", "probe_id").distinct(), whole).select("taxon", rnd("coverage").alias("coverage"))
+    return summaries.union_coverage(h, h.where("mch >= 48").select("taxon", "probe_id").distinct(), whole).select("taxon", rnd("coverage").alias("coverage"))
 
 
 @query(f"SELECT DISTINCT molecule_id, probe_id FROM {HITS} WHERE mch >= 40 AND qcovhsp >= 80")
@@ -115,11 +115,12 @@ def d12_detectability(spark, d):
 
 @query(
     """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p, n + 1e-7 AS v, row_number() OVER (PARTITION BY user_id ORDER BY n) AS i FROM c)
-SELECT user_id, count(*)::INT AS richness, round(-sum(p * ln(p)), 6) + 0.0 AS shannon, round(1 / sum(p * p), 6) AS inverse_simpson, round(sum(2 * i * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*), 6) + 0.0 AS gini FROM p GROUP BY user_id"""
+SELECT user_id, count(*)::INT AS richness, round(count(*) / (SELECT count(DISTINCT event_type) FROM events), 6) AS richness_fraction, round(-sum(p * ln(p)), 6) + 0.0 AS shannon, round(1 / sum(p * p), 6) AS inverse_simpson, round(sum(2 * i * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*), 6) + 0.0 AS gini FROM p GROUP BY user_id"""
 )
 def d13_d14_d15_d16_diversity(spark, d):
     c = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return summaries.diversity(c, ["user_id"]).select("user_id", F.col("richness").cast("int").alias("richness"), *[rnd(x).alias(x) for x in ("shannon", "inverse_simpson", "gini")])
+    both = summaries.diversity(c, ["user_id"]).join(summaries.richness_fraction(c, ["user_id"], "event_type"), "user_id")
+    return both.select("user_id", rnd("richness_fraction").alias("richness_fraction"), F.col("richness").cast("int").alias("richness"), *[rnd(x).alias(x) for x in ("shannon", "inverse_simpson", "gini")])
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS n_encoding, round(avg((l_returnflag = 'A')::INT), 6) AS encoding_fraction, count(*) FILTER (l_tax < 0.05) AS n_kept, count(*) FILTER (l_tax < 0.05 AND l_returnflag = 'A') AS n_kept_encoding FROM lineitem")
@@ -153,11 +154,11 @@ _REGIONS = f"""(SELECT *, sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) AS rt FROM (
 
 @query(
     f"""SELECT image_id, label, area, round(cx, 6) AS centroid_x, round(cy, 6) AS centroid_y, round(4 * sqrt((xx + yy + rt) / 2), 6) AS major_axis, round(4 * sqrt((xx + yy - rt) / 2), 6) AS minor_axis, round(0.5 * atan2(2 * xy, xx - yy), 6) + 0.0 AS orientation,
-  round(sqrt(greatest(0, 1 - (xx + yy - rt) / (xx + yy + rt))), 6) AS eccentricity, round(mi, 6) AS mean_intensity, round(ti, 4) AS total_intensity FROM {_REGIONS}"""
+  round(sqrt(greatest(0, 1 - (xx + yy - rt) / (xx + yy + rt))), 6) AS eccentricity, round(mi, 9) AS mean_intensity, round(ti, 4) AS total_intensity FROM {_REGIONS}"""
 )
 def d22_d23_regions(spark, d):
     m = C.measure_regions(pixels(spark, d), intensity="v")
-    return m.select("image_id", "label", "area", *[rnd(c).alias(c) for c in ("centroid_x", "centroid_y", "major_axis", "minor_axis", "orientation", "eccentricity", "mean_intensity")], rnd("total_intensity", 4).alias("total_intensity"))
+    return m.select("image_id", "label", "area", *[rnd(c).alias(c) for c in ("centroid_x", "centroid_y", "major_axis", "minor_axis", "orientation", "eccentricity")], rnd("mean_intensity", 9).alias("mean_intensity"), rnd("total_intensity", 4).alias("total_intensity"))
 
 
 _PX3 = f"(SELECT image_id, x, y, label, [v, v * (x + 1), v * (y + 2)] AS w FROM {PIXELS})"
@@ -168,6 +169,12 @@ def _px3(spark, d):
     return pixels(spark, d).withColumn("intensity", F.array(v, v * (F.col("x") + 1), v * (F.col("y") + 2)))
 
 
+@query(f"SELECT image_id, label, list(m ORDER BY k) AS spectrum FROM (SELECT image_id, label, k, round(avg(i), 9) AS m FROM (SELECT image_id, label, unnest([1, 2, 3]) AS k, unnest(w) AS i FROM {_PX3}) GROUP BY ALL) GROUP BY ALL")
+def d22_mean_spectrum(spark, d):
+    m = C.measure_regions(_px3(spark, d), spectrum="intensity")
+    return m.select("image_id", "label", F.transform("intensity", lambda x: F.round(x, 9)).alias("spectrum"))
+
+
 def _centroid_sql(keys: str, rows: str) -> str:
     return f"""WITH p AS ({rows}), g AS (SELECT {keys}, avg(x) AS gx, avg(y) AS gy FROM p GROUP BY ALL),
 c AS (SELECT {keys}, k, sum(x * i) / sum(i) AS wx, sum(y * i) / sum(i) AS wy FROM (SELECT {keys}, x, y, unnest([1, 2, 3]) AS k, unnest(w) AS i FROM p) GROUP BY ALL)
@@ -195,8 +202,8 @@ def d26_separation_rate(spark, d):
 
 @query(f"SELECT label, count(*) AS n, round(avg(t), 6) AS mean, round(stddev_samp(t), 6) AS std FROM (SELECT label, list_max(v) AS t FROM {SPECTRA}) GROUP BY label")
 def d27_snr_summary(spark, d):
-    s = spectra(spark, d).withColumn("t", F.array_max("v"))
-    return s.groupBy("label").agg(F.count("*").alias("n"), rnd(F.avg("t")).alias("mean"), rnd(F.stddev_samp("t")).alias("std"))
+    s = summaries.value_summary(spectra(spark, d).withColumn("t", F.array_max("v")), ["label"], "t")
+    return s.select("label", "n", rnd("mean").alias("mean"), rnd("std").alias("std"))
 
 
 @query(f"SELECT label, list(m ORDER BY k) AS v FROM (SELECT label, k, round(avg(x), 6) AS m FROM (SELECT label, unnest(range(64)) AS k, unnest(v) AS x FROM {SPECTRA}) GROUP BY ALL) GROUP BY label")
@@ -239,7 +246,7 @@ def d31_compare_groups(spark, d):
 @query("SELECT n_regionkey AS region, c_nationkey AS nation, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (n_regionkey, c_nationkey)")
 def d32_rollup_rank(spark, d):
     j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.rollup(F.col("n_regionkey").alias("region"), F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    return summaries.rollup_counts(j.select(F.col("n_regionkey").alias("region"), F.col("c_nationkey").alias("nation")), ["region", "nation"])
 
 
 @query("SELECT vec_id % 20 AS sample, count(*) AS n, round(CASE WHEN avg((label > 8)::INT) = 0 THEN 1 / count(*) ELSE avg((label > 8)::INT) END, 6) AS error_rate, avg((label > 8)::INT) = 0 AS at_limit FROM embeddings GROUP BY 1")
@@ -344,32 +351,29 @@ def d44_pair_correlation(spark, d):
     return C.pair_correlation(cells(spark, d), 30, 4, 550, 1210000).withColumn("g", rnd("g"))
 
 
-_POINTS20 = f"(SELECT * FROM {POINTS} WHERE point_id % 7 = 0)"
-
-
 @query(
-    f"""WITH r AS (SELECT image_id, point_id, code, row_number() OVER (PARTITION BY image_id, point_id ORDER BY sqrt((x - px) * (x - px) + (y - py) * (y - py)), cell) AS r FROM {_POINTS20} JOIN {CELLS} USING (image_id)),
+    f"""WITH r AS (SELECT image_id, point_id, code, row_number() OVER (PARTITION BY image_id, point_id ORDER BY sqrt((x - px) * (x - px) + (y - py) * (y - py)), cell) AS r FROM {POINTS} JOIN {CELLS} USING (image_id)),
 c AS (SELECT image_id, point_id, s AS n_cell, code, count(*) AS n FROM r JOIN (SELECT unnest([10, 40])::INT AS s) ON r <= s GROUP BY ALL),
 a AS (SELECT image_id, point_id, n_cell, -sum(p * ln(p)) AS alpha FROM (SELECT *, n / sum(n) OVER (PARTITION BY image_id, point_id, n_cell) AS p FROM c) GROUP BY ALL),
 g AS (SELECT image_id, -sum(p * ln(p)) AS gamma FROM (SELECT *, n / sum(n) OVER (PARTITION BY image_id) AS p FROM (SELECT image_id, code, count(*) AS n FROM {CELLS} GROUP BY ALL)) GROUP BY 1)
 SELECT image_id, n_cell, round(any_value(gamma) / avg(alpha), 6) AS beta FROM a JOIN g USING (image_id) GROUP BY ALL"""
 )
 def d45_beta_diversity(spark, d):
-    return C.beta_diversity(cells(spark, d), points(spark, d).where("point_id % 7 = 0"), [10, 40]).withColumn("beta", rnd("beta"))
+    return C.beta_diversity(cells(spark, d), points(spark, d), [10, 40]).withColumn("beta", rnd("beta"))
 
 
 @query(
-    f"""WITH r AS (SELECT image_id, point_id, code, x, y, cell % 5 + 1 AS area, row_number() OVER (PARTITION BY image_id, point_id ORDER BY sqrt((x - px) * (x - px) + (y - py) * (y - py)), cell) AS r FROM {_POINTS20} JOIN {CELLS} USING (image_id)),
+    f"""WITH r AS (SELECT image_id, point_id, code, x, y, cell % 5 + 1 AS area, row_number() OVER (PARTITION BY image_id, point_id ORDER BY sqrt((x - px) * (x - px) + (y - py) * (y - py)), cell) AS r FROM {POINTS} JOIN {CELLS} USING (image_id)),
 k AS (SELECT * FROM r WHERE r <= 25), c AS (SELECT point_id, code, count(*) AS n FROM k GROUP BY ALL), m AS (SELECT point_id, sum(x * area) / sum(area) AS cx, sum(y * area) / sum(area) AS cy FROM k GROUP BY 1),
-q AS (SELECT a.point_id AS p1, b.point_id AS p2 FROM m a JOIN m b ON b.point_id = a.point_id + 28),
+q AS (SELECT a.point_id AS p1, b.point_id AS p2 FROM m a JOIN m b ON b.point_id = a.point_id + 4),
 u AS (SELECT p1, p2, code, sum(a) AS a, sum(b) AS b FROM (SELECT p1, p2, code, n AS a, 0 AS b FROM q JOIN c ON c.point_id = p1 UNION ALL SELECT p1, p2, code, 0, n FROM q JOIN c ON c.point_id = p2) GROUP BY ALL)
 SELECT p1 AS patch_1, p2 AS patch_2, round(sum(abs(a - b)) / sum(a + b), 6) AS dissimilarity, round(any_value(sqrt((x.cx - y.cx) * (x.cx - y.cx) + (x.cy - y.cy) * (x.cy - y.cy))), 6) AS distance FROM u JOIN m x ON x.point_id = p1 JOIN m y ON y.point_id = p2 GROUP BY p1, p2"""
 )
 def d46_bray_curtis(spark, d):
-    near = J.knn_points(points(spark, d).where("point_id % 7 = 0"), cells(spark, d), 25)
+    near = J.knn_points(points(spark, d), cells(spark, d), 25)
     patches = near.select(F.col("point_id").alias("patch_id"), "code", "x", "y", (F.col("cell") % 5 + 1).alias("area"))
     ids = patches.select("patch_id").distinct()
-    pairs = ids.select(F.col("patch_id").alias("patch_1"), (F.col("patch_id") + 28).alias("patch_2")).join(ids.select(F.col("patch_id").alias("patch_2")), "patch_2", "left_semi")
+    pairs = ids.select(F.col("patch_id").alias("patch_1"), (F.col("patch_id") + 4).alias("patch_2")).join(ids.select(F.col("patch_id").alias("patch_2")), "patch_2", "left_semi")
     out = C.bray_curtis(patches, pairs)
     return out.select("patch_1", "patch_2", rnd("dissimilarity").alias("dissimilarity"), rnd("distance").alias("distance"))
 
@@ -382,15 +386,13 @@ def d47_alignment_order(spark, d):
 
 @query("SELECT user_id, count(*) AS cells, count(DISTINCT event_type) AS classes FROM events GROUP BY 1")
 def d48_sample_quality(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("cells"), F.count_distinct("event_type").alias("classes"))
+    return summaries.sample_quality(table(spark, d, "events"), "user_id", "event_type")
 
 
 @query("SELECT source, a.n AS imaging, coalesce(b.n, 0) AS sequencing FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1) a LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1) b USING (source)")
 def d49_compare_sources(spark, d):
     docs = table(spark, d, "documents")
-    of = lambda df, name: df.groupBy("source").agg(F.count("*").alias(name))
-    both = of(docs, "imaging").join(of(docs.join(table(spark, d, "labels"), "doc_id"), "sequencing"), "source", "left")
-    return both.select("source", "imaging", F.coalesce("sequencing", F.lit(0)).alias("sequencing"))
+    return summaries.compare_sources(docs, docs.join(table(spark, d, "labels"), "doc_id"), "source")
 
 
 @query(
@@ -420,7 +422,8 @@ def b23_flat_field(spark, d):
 
 @query("SELECT l_linenumber, round(avg(l_extendedprice), 4) AS intensity, count(*) AS n FROM lineitem GROUP BY 1")
 def d52_intensity_abundance(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_linenumber").agg(rnd(F.avg("l_extendedprice"), 4).alias("intensity"), F.count("*").alias("n"))
+    s = summaries.value_summary(table(spark, d, "lineitem"), ["l_linenumber"], "l_extendedprice")
+    return s.select("l_linenumber", rnd("mean", 4).alias("intensity"), "n")
 
 
 @query(
@@ -484,13 +487,13 @@ def e02_with_fallback(spark, d):
 
 
 @query(
-    f"""WITH w AS (SELECT *, unnest([120, 100, 80, 60, 40, 20])::INT AS bin_width FROM (SELECT * FROM {_LI} WHERE q > 35)), b AS (SELECT *, p_start // bin_width AS bin FROM w WHERE p_start // bin_width < 1500 // bin_width),
+    f"""WITH w AS (SELECT *, unnest([120, 100, 80, 60, 40, 20])::INT AS bin_width FROM (SELECT * REPLACE (part % 500 AS taxon) FROM {_LI})), b AS (SELECT *, p_start // bin_width AS bin FROM w WHERE p_start // bin_width < 1500 // bin_width),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY taxon, bin_width, bin ORDER BY {_ORDER}) AS r FROM b) WHERE r = 1),
 n AS (SELECT taxon, bin_width, count(*) AS n FROM f GROUP BY ALL), c AS (SELECT taxon, coalesce(max(bin_width) FILTER (n > 15 AND bin_width <= 100) + 20, 20) AS bin_width FROM n GROUP BY taxon)
 SELECT taxon, bin_width, bin, id, part FROM f JOIN c USING (taxon, bin_width)"""
 )
 def e03_adaptive_bins(spark, d):
-    return selection.adaptive_bins(li(spark, d).where("q > 35"), "taxon", "p_start", order()).select("taxon", "bin_width", "bin", "id", "part")
+    return selection.adaptive_bins(li(spark, d).withColumn("taxon", F.col("part") % 500), "taxon", "p_start", order()).select("taxon", "bin_width", "bin", "id", "part")
 
 
 @query(f"WITH a AS (SELECT *, rate > 0.09 AND q > 49 AS ok, bool_or(rate > 0.09 AND q > 49) OVER (PARTITION BY taxon) AS any_ok, row_number() OVER (PARTITION BY taxon ORDER BY {_ORDER}) AS r FROM {_LI}) SELECT taxon, id, part FROM a WHERE ok OR (NOT any_ok AND r = 1)")
@@ -513,13 +516,21 @@ def e07_first_per_group(spark, d):
     return selection.first_of(table(spark, d, "lineitem"), ["l_suppkey", "l_linenumber"], [F.asc("l_orderkey"), F.asc("l_partkey"), F.asc("l_extendedprice")]).select("l_suppkey", "l_linenumber", "l_orderkey")
 
 
-@query("SELECT key, count(DISTINCT l_linenumber) AS elements, count(DISTINCT l_linenumber) AS covered FROM (SELECT l_partkey % 200 AS key, l_linenumber FROM lineitem) GROUP BY key")
+@query(
+    """WITH r AS (SELECT DISTINCT l_partkey % 200 AS key, l_linenumber AS e, l_suppkey AS c FROM lineitem),
+g AS (SELECT key, c, count(*) AS n FROM r GROUP BY ALL), f AS (SELECT key, arg_min(c, (-n, c)) AS c FROM g GROUP BY key),
+l AS (SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM r x JOIN f ON f.key = x.key AND f.c = x.c WHERE x.key = r.key AND x.e = r.e)),
+h AS (SELECT key, arg_min(c, (-n, c)) AS c FROM (SELECT key, c, count(*) AS n FROM l GROUP BY ALL) GROUP BY key)
+SELECT r.key, count(DISTINCT e) AS elements, count(DISTINCT e) AS covered, any_value(f.c) AS first_choice, any_value(h.c) AS second_choice FROM r JOIN f ON f.key = r.key LEFT JOIN h ON h.key = r.key GROUP BY r.key"""
+)
 def e08_min_cover(spark, d):
-    """Validity of the greedy cover: every element of a key is covered by a chosen supplier."""
+    """The greedy cover: every element of a key is covered by a chosen supplier; its first two choices."""
     rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 200).alias("key"), F.col("l_linenumber").alias("element"), F.col("l_suppkey").alias("choice"))
     chosen = selection.min_cover(rows, "key", "element", "choice", stored)
     covered = rows.join(chosen, ["key", "choice"]).groupBy("key").agg(F.count_distinct("element").alias("covered"))
-    return rows.groupBy("key").agg(F.count_distinct("element").alias("elements")).join(covered, "key").select("key", "elements", "covered")
+    taken = lambda k: F.max(F.when(F.col("round") == k, F.col("choice")))
+    first = chosen.groupBy("key").agg(taken(1).alias("first_choice"), taken(2).alias("second_choice"))
+    return rows.groupBy("key").agg(F.count_distinct("element").alias("elements")).join(covered, "key").join(first, "key").select("key", "elements", "covered", "first_choice", "second_choice")
 
 
 @query("WITH t AS (SELECT DISTINCT p_partkey::VARCHAR AS taxon FROM part ORDER BY 1 LIMIT 127), r AS (SELECT taxon, row_number() OVER (ORDER BY taxon) AS k FROM t), c AS (SELECT n, row_number() OVER (ORDER BY bit_count(n), n) AS k FROM (SELECT unnest(range(1, 128))::BIGINT AS n)) SELECT taxon, n AS number, lpad(bin(n), 7, '0') AS code FROM r JOIN c USING (k)")
@@ -550,10 +561,14 @@ def e13_top_cells(spark, d):
     return selection.first_of(s, ["label"], [F.desc("top"), F.asc("vec_id")], 8).select("label", "vec_id")
 
 
+_WEIGHTS = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in selection.smoothing_table()) + "]"
+
+
 @query(
-    """WITH w AS (SELECT list_transform(range(-20, 21), lambda k: 3 * (3 * 400 + 60 - 1 - 5 * k * k) / (43.0 * 41 * 39)) AS w),
-a AS (SELECT event_id, list(CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS x FROM events)
-SELECT event_id, CASE WHEN len(x) = 41 THEN round(greatest(0, least(1, list_dot_product(x, w::DOUBLE[]))), 6) + 0.0 END AS smoothed FROM a, w"""
+    f"""WITH w AS (SELECT {_WEIGHTS} AS w), a AS (SELECT event_id, list(CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS x,
+  row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+p AS (SELECT *, CASE WHEN i < 20 THEN i WHEN n - 1 - i < 20 THEN 40 - (n - 1 - i) ELSE 20 END AS p FROM a), b AS (SELECT *, i - p - greatest(0, i - 40) AS s FROM p)
+SELECT event_id, CASE WHEN n >= 41 THEN round(greatest(0, least(1, list_dot_product(x[s + 1:s + 41], w[p + 1]))), 6) + 0.0 END AS smoothed FROM b, w"""
 )
 def e14_smooth(spark, d):
     e = table(spark, d, "events").withColumn("hit", (F.col("event_type") == "click").cast("double"))

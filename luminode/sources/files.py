@@ -35,7 +35,8 @@ def design_parameters(designs: DataFrame, design_id: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """molecule_id (first word of the title) and sequence; records may span lines."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    # a record begins at a line that starts with >; titles may hold the sign too
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     parts = F.split("value", "\n", 2)
     return records.select(F.element_at(F.split(F.element_at(parts, 1), r"\s"), 1).alias("molecule_id"), F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), r"\s", "").alias("seq"))
 
@@ -87,7 +88,18 @@ def write_pool(path: str, *parts: DataFrame, seq: str = "seq") -> None:
 
 
 def order_form(df: DataFrame, name: str, seq: str, amount: Column, purification: Column) -> DataFrame:
-    return df.select(F.col(name).alias("name"), F.col(seq).alias("sequence"), amount.alias("amount"), purification.alias("purification"))
+    """Order lines, the shortest first."""
+    lines = df.select(F.col(name).alias("name"), F.col(seq).alias("sequence"), amount.alias("amount"), purification.alias("purification"), F.length(seq).alias("length"))
+    return lines.orderBy("length", "name")
+
+
+def write_order_form(df: DataFrame, path: str, name: str, seq: str, amount: Column, purification: Column) -> None:
+    order_form(df, name, seq, amount, purification).write.option("header", True).csv(path)
+
+
+def write_matrix(long: DataFrame, path: str, row: str, column: str, value: str, columns: list) -> None:
+    """A wide matrix as CSV with the row's name first."""
+    to_matrix(long, row, column, value, columns).write.option("header", True).csv(path)
 
 
 def read_spectra(spark: SparkSession, path: str, channels: int, keys: str = "") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from luminode.operators import joins as J
@@ -22,21 +22,26 @@ def run_abundance(spark: SparkSession, path: str, keys: list[str], category: str
     out = new_path(spark, "abundance")
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        # a batch that is tried again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     run = abundance_stream(events, keys, category).writeStream.outputMode("update").option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
     return spark.read.parquet(out).groupBy(*keys, category).agg(F.max_by("n", "epoch").alias("n"))
 
 
-def classify_stream(spark: SparkSession, path: str, reference: DataFrame, metric, id: str = "vec_id") -> DataFrame:
-    """Classifies spectra as their files arrive at path and appends code and distance; each file once."""
+def classify_stream(spark: SparkSession, path: str, reference: DataFrame, metric, flags: Column, id: str = "vec_id", v: str = "v") -> DataFrame:
+    """Gates and classifies spectra as their files arrive at path: code and distance of each, each file once.
+
+    flags is the gate, a column over a spectrum v; spectra meet the references with equal flags.
+    """
     arrivals = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
     out = new_path(spark, "classified")
 
     def classify(batch: DataFrame, epoch: int) -> None:
-        J.nn_classify(batch, reference, metric, id).write.mode("append").parquet(out)
+        J.nn_classify(batch, reference, metric, id).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
+    arrivals = arrivals.withColumn("flags", flags)
     run = arrivals.writeStream.option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(classify).start()
     run.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("epoch")

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
-from luminode.operators import cells, models, selection, summaries
+from luminode import plans
+from luminode.operators import cells, joins, models, selection, summaries
+from luminode.sources import files
+from luminode.sources.shared import stored
 
 
 def one(spark, column, **values):
@@ -88,3 +91,104 @@ def test_cluster_links_behind_unrelated_leaders(spark):
     assert got == want
     named = spark.createDataFrame([(f"m{i:04}", s) for i, s in seqs.items()], "id string, seq string")
     assert {r.id: r.cluster for r in models.cluster(named, "id", "seq", 0.8).collect()} == {f"m{i:04}": f"m{c:04}" for i, c in want.items()}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_fasta_titles_may_hold_the_sign(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">m1 a->b >c\nAC\nGT\n>m2\nGG\n\n>m3 empty\n")
+    got = {r.molecule_id: r.seq for r in files.read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {"m1": "ACGT", "m2": "GG", "m3": ""}
+
+
+@pytest.mark.parametrize("kind", sorted(files.HITS))
+def test_hits_of_all_kinds(spark, tmp_path, kind):
+    fields = files.schema_of(files.HITS[kind]).fields
+    line = "\t".join("7" if f.dataType.typeName() != "string" else f"{f.name}_x" for f in fields)
+    (tmp_path / "a.tsv").write_text(line + "\n")
+    (tmp_path / "b.tsv").write_text("")
+    (row,) = files.read_hits(spark, str(tmp_path), kind).collect()
+    assert len(row) == len(fields) == {"molecule": 14, "probe": 16, "probe_slim": 15}[kind] and row[0] == f"{fields[0].name}_x" and row.bitscore == 7.0
+
+
+def test_walks_and_covers_do_not_stop_early(spark):
+    tree = spark.createDataFrame([(f"t{k}", f"t{k - 1}" if k else None, "species" if k == 5 else "phylum") for k in range(6)], "taxid string, parent string, rank string")
+    ids = spark.createDataFrame([("t5",)], "taxid string")
+    assert joins.lineage(ids, tree, ("species",)).first().species == "t5"
+    with pytest.raises(ValueError):
+        joins.lineage(ids, tree, ("species",), depth=3).collect()
+    cover = spark.createDataFrame([(1, e, e) for e in range(5)], "key int, element int, choice int")
+    assert selection.min_cover(cover, "key", "element", "choice", stored).count() == 5
+    with pytest.raises(RuntimeError):
+        selection.min_cover(cover, "key", "element", "choice", stored, max_rounds=2)
+
+
+def test_nearest_cells_against_all_pairs(spark):
+    draw = random.Random(2)
+    at = [(i % 3, i, draw.choice([draw.gauss(0, 1), draw.uniform(-500, 500)]), draw.gauss(0, 30)) for i in range(300)] + [(5, 900, 0.0, 0.0)]
+    asked = [(i % 3, i, draw.uniform(-900, 900), draw.uniform(-90, 90)) for i in range(60)] + [(5, 99, 1e4, 0.0), (7, 98, 0.0, 0.0)]
+    cells_, points = spark.createDataFrame(at, "image_id int, cell int, x double, y double"), spark.createDataFrame(asked, "image_id int, point_id int, px double, py double")
+    got = {(r.point_id, r["rank"]): r.cell for r in joins.knn_points(points, cells_, 7).collect()}
+    want = {}
+    for image, p, px, py in asked:
+        near = sorted((math.hypot(x - px, y - py), c) for i, c, x, y in at if i == image)[:7]
+        want |= {(p, k): c for k, (_, c) in enumerate(near, 1)}
+    assert got == want
+    assert joins.knn_points(points, cells_.limit(0), 7).count() == 0
+
+
+def test_smoothing_fits_edges(spark):
+    cubic = lambda k: 0.5 + 0.3 * ((k - 30) / 30) ** 3 - 0.1 * ((k - 30) / 30)
+    rows = spark.createDataFrame([(1, k, cubic(k)) for k in range(61)] + [(2, k, 0.5) for k in range(40)], "g int, k int, v double")
+    got = selection.smooth(rows, ["g"], [F.asc("k")], "v").collect()
+    assert all(r.smoothed == pytest.approx(cubic(r.k)) for r in got if r.g == 1)
+    assert all(r.smoothed is None for r in got if r.g == 2)
+
+
+def test_melting_temperature_by_hand(spark):
+    def by_hand(seq):
+        ends = sum(x in "AT" for x in (seq[0], seq[-1]))
+        h, s = (sum(S.STEPS[seq[k : k + 2]][i] for k in range(len(seq) - 1)) + ends * S.END_AT[i] + (2 - ends) * S.END_GC[i] for i in (0, 1))
+        kelvin, ion, gc = 1000 * h / (s + S.GAS_CONSTANT * math.log(74.5e-9)), math.log(0.39), sum(x in "GC" for x in seq) / len(seq)
+        return 1 / (1 / kelvin + (4.29 * gc - 3.95) * 1e-5 * ion + 9.40e-6 * ion * ion) - 273.15
+
+    draw = random.Random(9)
+    seqs = ["".join(draw.choice("ACGT") for _ in range(n)) for n in (2, 3, 20, 400)]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate([*seqs, "A", "", None, "ACGNT", "ACGé"])], "k int, seq string").repartition(1)
+    got = {r.k: r.tm for r in rows.select("k", S.melting_temperature("seq").alias("tm")).collect()}
+    assert [got[k] for k in range(4)] == pytest.approx([by_hand(s) for s in seqs])
+    assert [got[k] for k in range(4, 9)] == [None] * 5
+
+
+def test_bootstrap_draws_differ_by_key(spark):
+    rows = spark.createDataFrame([(g, k, float(k)) for g in (1, 2) for k in range(30)], "g int, k int, v double")
+    got = {r.g: r for r in cells.bootstrap_mean(rows, ["g"], "v", "k", 50).collect()}
+    assert got[1].mean != got[2].mean and all(abs(r.mean - 14.5) < 1.5 and r.q25 <= r.mean <= r.q75 + 1 for r in got.values())
+
+
+def test_learned_classes(spark):
+    for name in ("u04_forest", "u04_linear_margin"):
+        rows = plans.QUERIES[name](spark, SF).collect()
+        # better than the most frequent of ten classes
+        assert sum(r.label == r.prediction for r in rows) / len(rows) > 0.2
+    for r in plans.QUERIES["u06_class_probability"](spark, SF).collect():
+        assert 0 < r.mean_probability <= 1 and r.n > 0
+
+
+def test_stream_classifies_as_the_batch_does(spark):
+    got = {r.vec_id: (r.code, r.distance) for r in plans.QUERIES["s01_classify_stream"](spark, SF).collect()}
+    batch = {r.vec_id: r.code for r in plans.QUERIES["c16_nearest_spectrum"](spark, SF).where("replicate = 0").collect()}
+    assert {k: v[0] for k, v in got.items()} == batch
+
+
+def test_best_probes(spark):
+    got = plans.best_probes(spark, SF).collect()
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    methods = {}
+    for r in got:
+        methods.setdefault(r.taxon, []).append(r.selection_method)
+        assert 56 <= r.tm <= 64 and r.gc >= 9 and 0 <= r.on_target_rate <= 1 and r.taxon in texts
+    # bins of an item differ; the fallback is one probe
+    assert len({(r.taxon, r.bin) for r in got}) == len(got)
+    assert all(m == ["single"] or set(m) == {"bins"} for m in methods.values())

@@ -7,7 +7,6 @@ from luminode import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"c17_seed_hits", "b34_candidates"}
 
 
 def plain(v):
@@ -26,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_matches_sql(spark, duck, name):
     df = plans.QUERIES[name](spark, SF)
     names = sorted(df.columns)
