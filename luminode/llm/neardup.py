@@ -45,7 +45,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     union are linked. Documents with an equal set form a class and are linked through it. Empty
     and null texts have no shingles and are linked with nothing. Rows that repeat an id belong to
     that document: each is listed with the id's component. A null id is linked with nothing, has
-    a null component and is kept.
+    a null component and is kept. Only the two named columns are read.
     """
     sets_of = shingles(width)
     signed = stored(signatures(docs, sets_of, doc_id, text), "signatures")

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,94 @@ def test_decontamination_edges(spark):
     assert len(none) == 7 and all(r.n_hit == 0 for r in none)
 
 
+def test_proximity_against_brute_force(spark):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda s: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), s))
+    docs = {i: words(t) for i, t in rows("documents", "doc_id, text")}
+    count = Counter(w for ws in docs.values() for w in ws)
+    rare = {}
+    for i, text in rows("benchmark", "item_id, text"):
+        w = words(text)
+        for k in range(max(1, len(w) - 12)):
+            terms = w[k : k + 13]
+            terms = [terms[j] for j in sorted(range(len(terms)), key=lambda j: count[terms[j]])][: decontam.RARE]
+            if terms:
+                rare.setdefault(terms[0], set()).add((str(i), *terms[1:]))
+    body, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {r.doc_id: r for r in decontam.find_contamination(body, items).collect()}
+    for i, w in docs.items():
+        near = set()
+        for at, x in enumerate(w):
+            around = set(w[max(0, at - decontam.WITHIN) : at + decontam.WITHIN + 1])
+            near |= {name for name, *others in rare.get(x, ()) if around.issuperset(others)}
+        assert got[i].near == sorted(near)
+        assert set(got[i]["items"]) <= near
+
+
+def test_clashing_columns_pass(spark):
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    names = ["__row", "__words", "__term", "__shard", "__places", "__r", "n_near"]
+    docs = edge_docs(spark).select("doc_id", "text", *[F.lit(k).alias(n) for k, n in enumerate(names)], F.lit("x").alias("items"))
+    got = decontam.find_contamination(docs, items, keep_text=True).collect()
+    assert len(got) == 7 and all([r[n] for n in names] == list(range(7)) for r in got)
+    assert sorted(len(r["items"]) for r in got) == [0] * 6 + [1]  # a column of that name gives way, unless a prefix is set
+    kept = decontam.find_contamination(docs, items, prefix="own_").collect()
+    assert {r["items"] for r in kept} == {"x"} and sum(r.own_n_hit for r in kept) == 2
+
+
+def test_language_model_sums_to_one():
+    draw = np.random.default_rng(6)
+    keys, before = draw.integers(0, 40, 4000).astype(np.uint64), draw.integers(0, 5, 4000).astype(np.uint32)
+    keys[-200:], before[-200:] = np.repeat(np.arange(40), 5), np.tile(np.arange(5), 40)  # every word after every word
+    unknown = np.full(5, 99, np.uint64)
+    keys, before = np.concatenate([keys, unknown]), np.concatenate([before, np.arange(5).astype(np.uint32)])
+    learned = np.arange(len(keys)) < 3800
+    n, log = maxent.cell_logs(keys, before, learned)
+    mass = 3800 + 0.5 * 40 + 0.5
+    for b in range(5):
+        ask = np.concatenate([np.flatnonzero(before[-205:-5] == b) + len(keys) - 205, [len(keys) - 5 + b]])
+        assert (10 ** log[ask]).sum() / mass == pytest.approx(1)
+    assert n[-1] == 0 and n[0] == (keys[:3800] == keys[0]).sum()
+
+
+def test_language_model_slices_agree(spark):
+    docs = spark.createDataFrame([(k, f"{'a b c d e'.split()[k % 5]} word{k % 7} " * 30) for k in range(40)], DOCS)
+    model = maxent.build(maxent.count_words(docs))
+    encoded = maxent.encode(docs, model, F.lit(True))
+    maxent.train(encoded, model)
+    flat = maxent._flat(encoded.select("codes").toArrow().column(0).combine_chunks())
+    context, places = model.context[flat], np.flatnonzero(flat != maxent.START)
+    whole = maxent.predict(model, flat, context, places)
+    assert np.allclose(whole[4].sum(axis=1), 1, atol=1e-5) and np.allclose(whole[5].sum(axis=1), 1, atol=1e-5)
+    cut = [maxent.predict(model, flat, context, places[k : k + 17]) for k in range(0, len(places), 17)]
+    assert np.allclose(np.concatenate([c[4] for c in cut]), whole[4], atol=1e-6)
+
+
+def test_language_model_edges(spark):
+    got = maxent.score_documents(edge_docs(spark), maxent.learning()).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter([(1, 1), (2, 1), (3, 1), (4, 2), (4, 2), (None, 4), (5, 30001)])
+    assert all(r.score < 0 for r in got)
+    assert maxent.score_documents(spark.createDataFrame([], DOCS), F.lit(True)).count() == 0
+
+
+def test_word_keys_do_not_depend_on_neighbours():
+    from luminode.llm import words
+
+    texts = [t for (t,) in rows("documents", "text")][:60] + ["", None, "A b", "\n", "é\u00a0x"]
+    whole = words.split(pa.array(texts))
+    keys = whole.keys()
+    seen = {}
+    for k, text in enumerate(texts):
+        own = (text or "").encode().lower().split()
+        mine = keys[whole.first[k] : whole.first[k + 1]].tolist()
+        assert len(mine) == len(own) and mine == words.split(pa.array([text], pa.string())).keys().tolist()
+        for w, key in zip(own, mine):
+            assert seen.setdefault(w, key) == key
+    assert len(set(seen.values())) == len(seen)
+    table = words.Lookup(np.unique(keys))
+    assert (np.unique(keys)[table(keys)] == keys).all() and (table(keys + np.uint64(1)) == -1).all()
+
+
 def test_language_model_base_and_normalisation(spark):
     docs = rows("documents", "doc_id, text")
     words = {i: (t or "").encode().lower().split() + [b"\n"] for i, t in docs}
@@ -354,8 +443,50 @@ def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # names that operators add, and those they use inside
+    clash = {"items": "a", "spans": "b", "n_words": "c", "n_hit": "d", "secrets": "e", "__secrets": "f", "__score": "g"}
+    docs = docs.select("*", *[F.lit(v).alias(k) for k, v in clash.items()])
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        names = docs.columns
         docs = stage(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert 0.5 * before < docs.count() < before
+        assert docs.columns == names
+    got = docs.collect()
+    assert 0.5 * before < len(got) < before
+    assert all(r[k] == v for r in got for k, v in clash.items())
+    packed = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    total = Counter()
+    for r in packed:
+        total[r.doc_id] += r.length
+    assert total == Counter({r.doc_id: len(r.text.encode()) for r in got})
+
+
+def test_pipeline_filters_against_brute_force(spark):
+    """What near-duplicate removal and decontamination keep, worked out pair by pair and word by word."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets, above = {}, {}
+    for i, text in sorted(rows("documents", "doc_id, text")):
+        w = text.encode().lower().split()
+        sets[i], above[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set(), i
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                above[b] = a
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect()} == {i for i in sets if root(i) == i}
+    judged = {r.doc_id: r.contaminated for r in queries.op4_decontamination(spark, SF).collect()}
+    assert {r.doc_id for r in corpus_pipeline.decontamination_stage(spark, docs, SF).collect()} == {i for i, bad in judged.items() if not bad}
+
+
+def test_repeated_ids_keep_their_texts(spark):
+    one, other = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, one), (1, other), (2, one), (3, other + " x"), (1, one)], DOCS)
+    assert sorted((r.doc_id, r.text) for r in neardup.deduplicate(docs).collect()) == [(1, other), (1, one)]
