@@ -102,34 +102,37 @@ def gc_count(seq):
 
 
 def step_sums(seq):
-    """Struct of enthalpy h and entropy s, summed over all steps of two neighbouring letters.
-
-    Steps with another letter than A, C, G, T count nothing; null counts as empty.
+    """Struct of n, gc, at_ends (ends that are A or T), plain (no letter but A, C, G, T), and h and s:
+    enthalpy and entropy summed over all steps of two neighbouring letters. Null counts as empty.
     """
     letter = np.full(256, 4, np.int64)
     letter[[ord(x) for x in "ACGT"]] = range(4)
     tenths = np.zeros((2, 25), np.int64)  # whole tenths: running sums are exact
     for step, values in STEPS.items():
         tenths[:, 5 * letter[ord(step[0])] + letter[ord(step[1])]] = [round(10 * v) for v in values]
+    names = ["n", "gc", "at_ends", "plain", "h", "s"]
 
     def run(seqs: pa.Array) -> pa.Array:
         seqs = pc.fill_null(seqs, "").cast(pa.large_string())
-        if not len(seqs):
-            return pa.array([], pa.struct([("h", pa.float64()), ("s", pa.float64())]))
         _, offsets, data = seqs.buffers()
-        edges = np.frombuffer(offsets, np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+        edges = np.frombuffer(offsets, np.int64)[seqs.offset : seqs.offset + len(seqs) + 1] if len(seqs) else np.zeros(1, np.int64)
         codes = letter[np.frombuffer(data, np.uint8)[edges[0] : edges[-1]]] if data else np.empty(0, np.int64)
         edges = edges - edges[0]
-        first, last = edges[:-1], np.maximum(edges[1:] - 1, edges[:-1])
-        sums = []
-        for values in tenths:
-            running = np.concatenate([[0], np.cumsum(values[5 * codes[:-1] + codes[1:]])]) if len(codes) > 1 else np.zeros(1, np.int64)
-            at = lambda k: running[np.minimum(k, len(running) - 1)]  # noqa: E731, B023
-            sums.append(pa.array((at(last) - at(first)) / 10))
-        return pa.StructArray.from_arrays(sums, ["h", "s"])
+        first, stop = edges[:-1], edges[1:]
+
+        def summed(values: np.ndarray, stop: np.ndarray) -> np.ndarray:
+            running = np.concatenate([[0], np.cumsum(values)])
+            return running[np.minimum(stop, len(values))] - running[np.minimum(first, len(values))]
+
+        n = stop - first
+        padded = np.append(codes, 4)  # a place to look at for empty sequences
+        at = lambda x: np.isin(padded[x], (0, 3)) & (n > 0)
+        steps, last = 5 * codes[:-1] + codes[1:], np.maximum(stop - 1, first)
+        columns = [n, summed(np.isin(codes, (1, 2)).astype(np.int64), stop), at(first).astype(np.int64) + at(last), summed((codes == 4).astype(np.int64), stop) == 0]
+        return pa.StructArray.from_arrays([pa.array(x) for x in (*columns, *(summed(v[steps], last) / 10 for v in tenths))], names)
 
     run.__annotations__ = {"seqs": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<h:double,s:double>")(col(seq))
+    return F.arrow_udf(run, "struct<n:long,gc:long,at_ends:long,plain:boolean,h:double,s:double>")(col(seq))
 
 
 def melting_temperature(seq, sodium: float = 390.0, oligo: float = 5.0, partner: float = 1.0):
@@ -138,19 +141,16 @@ def melting_temperature(seq, sodium: float = 390.0, oligo: float = 5.0, partner:
     sodium in mM; oligo, times 15, and partner in nM; salt correction of Owczarzy et al. 2004/2008
     for monovalent ions. Null where a letter is not A, C, G or T, or fewer than two stand there.
     """
-    seq = col(seq)
-    ends = F.array(F.left(seq, F.lit(1)), F.right(seq, F.lit(1)))
-    at_ends = F.size(F.filter(ends, lambda e: e.isin("A", "T")))
-    gc_ends = F.lit(2) - at_ends
     sums = step_sums(seq)
+    at_ends, gc_ends = sums["at_ends"], F.lit(2) - sums["at_ends"]
     h = sums["h"] + at_ends * F.lit(END_AT[0]) + gc_ends * F.lit(END_GC[0])
     s = sums["s"] + at_ends * F.lit(END_AT[1]) + gc_ends * F.lit(END_GC[1])
     strands = (oligo * 15 - partner / 2) * 1e-9
     kelvin = 1000 * h / (s + F.lit(GAS_CONSTANT) * F.log(F.lit(strands)))
     ion = F.log(F.lit(sodium * 1e-3))
-    gc = gc_count(seq) / F.length(seq)
+    gc = sums["gc"] / sums["n"]
     corrected = 1 / (1 / kelvin + (4.29 * gc - 3.95) * F.lit(1e-5) * ion + F.lit(9.40e-6) * ion * ion)
-    return F.when((F.length(seq) >= 2) & (F.length(F.translate(seq, "ACGT", "")) == 0), corrected - 273.15)
+    return F.when((sums["n"] >= 2) & sums["plain"], corrected - 273.15)
 
 
 def kmers(seq, k: int):
