@@ -300,6 +300,19 @@ def alignment_order(cells: DataFrame, tile: float, image: str = "image_id", angl
     return g.select(image, "tx", "ty", ((a + b) / 2 + F.sqrt((a - b) * (a - b) / 4 + o * o)).alias("order"))
 
 
+def background_ratio(pixels: DataFrame, images: DataFrame, v: str = "v", mask: str = "mask", channels: int = 32, image: str = "image_id", key: str = "experiment", ts: str = "ts", flag: str = "flag") -> DataFrame:
+    """The factor that background_factor starts from: an image's background level over that of the image with flag 1 nearest in time.
+
+    The level is the mean, where it is above 0, of the largest of the leading channels of pixels
+    with mask 1. Flagged images have factor 1; it is null where no image of the experiment is flagged.
+    """
+    top = F.array_max(F.slice(v, 1, channels)) * F.col(mask)
+    level = pixels.groupBy(image).agg(F.avg(F.when(top > 0, top)).alias("level"))
+    near = J.nearest_flagged(images, key, ts, flag, image).join(level, image, "left")
+    near = near.join(level.select(F.col(image).alias("nearest_id"), F.col("level").alias("nearest_level")), "nearest_id", "left")
+    return near.select(image, "nearest_id", F.when(F.col(flag) == 1, 1.0).otherwise(F.col("level") / F.col("nearest_level")).alias("factor"))
+
+
 def background_factor(mean: Column, background: Column, factor: Column, step: float = 0.01, floor: float = 0.005) -> Column:
     """factor lowered in steps until no channel of mean - factor * background is below -floor."""
     excess = F.zip_with(mean, background, lambda m, b: F.when(b > 0, (factor * b - m - floor) / b))

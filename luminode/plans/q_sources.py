@@ -196,6 +196,15 @@ def u06_class_probability(spark, d):
     return models.probability_summary(models.classify(models.train(_features(spark, d), "label", "v", "forest"), _features(spark, d), "v"), ["label"])
 
 
+@query()
+def u06_probability_profile(spark, d):
+    """Class probability against a cell's largest intensity."""
+    from luminode.operators import models
+
+    rows = models.classify(models.train(_features(spark, d), "label", "v", "forest"), _features(spark, d), "v")
+    return models.probability_profile(rows.withColumn("max_intensity", F.array_max("v")), "max_intensity", 0.02)
+
+
 @query(
     f"""WITH d AS (SELECT vec_id, r.label AS code, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN s.v[i] + r.v[i] = 0 THEN 0.0 ELSE (s.v[i] - r.v[i]) * (s.v[i] - r.v[i]) / (s.v[i] + r.v[i]) END)), 9) AS dist FROM {SPECTRA} s, {_MEANS} r WHERE r.replicate = 0)
 SELECT vec_id, arg_min(code, (dist, code)) AS code, round(min(dist), 6) AS distance FROM d GROUP BY vec_id"""
@@ -215,6 +224,30 @@ def s02_running_abundance(spark, d):
     return incremental.run_abundance(spark, f"{d}/events.parquet", ["user_id"], "event_type")
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def s02_daily_abundance(spark, d):
+    """Counts by day: a day's state is freed once the stream is a day past it."""
+    from luminode.streaming import incremental
+
+    counts = incremental.run_abundance(spark, f"{d}/events.parquet", [], "event_type", "ts")
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c)
+SELECT user_id, count(*)::INT AS richness, round(-sum(p * ln(p)), 6) + 0.0 AS shannon, round(1 / sum(p * p), 6) AS inverse_simpson FROM p GROUP BY user_id"""
+)
+def s02_running_diversity(spark, d):
+    """Diversity after each batch of arriving files; here after the last."""
+    from luminode.streaming import incremental
+
+    path = new_path(spark, "arriving_events")
+    table(spark, d, "events").select("user_id", "event_type").repartition(4).write.parquet(path)
+    each = incremental.run_diversity(spark, path, ["user_id"], "event_type", files_per_batch=2)
+    last = each.groupBy("user_id").agg(F.max_by(F.struct("richness", "shannon", "inverse_simpson"), "batch").alias("s"))
+    return last.select("user_id", F.col("s.richness").cast("int").alias("richness"), rnd("s.shannon").alias("shannon"), rnd("s.inverse_simpson").alias("inverse_simpson"))
+
+
 @query()
 def s01_classify_stream(spark, d):
     from luminode.plans.q_functions import GATE, THRESHOLDS

@@ -408,6 +408,20 @@ def d50_background_factor(spark, d):
     return mean.crossJoin(F.broadcast(all_)).select("label", rnd(C.background_factor(F.col("m"), F.col("b"), F.lit(1.2))).alias("factor"))
 
 
+@query(
+    f"""WITH p AS (SELECT vec_id // 50 AS image_id, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE list_max(v[1:32]) END AS top FROM {SPECTRA}),
+l AS (SELECT image_id, avg(top) FILTER (top > 0) AS level FROM p GROUP BY 1),
+s AS (SELECT DISTINCT image_id, image_id // 20 AS experiment, (image_id * 37) % 101 AS ts, image_id % 4 = 1 AS flag FROM p),
+n AS (SELECT a.image_id, b.image_id AS nearest_id, row_number() OVER (PARTITION BY a.image_id ORDER BY abs(a.ts - b.ts), b.ts) AS r FROM s a JOIN s b ON a.experiment = b.experiment AND b.flag)
+SELECT s.image_id, nearest_id, round(CASE WHEN s.flag THEN 1 ELSE l.level / o.level END, 6) AS factor FROM s JOIN l ON l.image_id = s.image_id LEFT JOIN n ON n.image_id = s.image_id AND r = 1 LEFT JOIN l o ON o.image_id = nearest_id"""
+)
+def d50_background_ratio(spark, d):
+    s = spectra(spark, d).select(F.floor(F.col("vec_id") / 50).alias("image_id"), "v", (F.col("vec_id") % 3 != 0).cast("int").alias("mask"))
+    k = F.col("image_id")
+    images = s.select("image_id").distinct().select("image_id", F.floor(k / 20).alias("experiment"), (k * 37 % 101).alias("ts"), (k % 4 == 1).cast("int").alias("flag"))
+    return C.background_ratio(s, images).withColumn("factor", rnd("factor"))
+
+
 @query(f"SELECT x, y, round(m / max(m) OVER (), 6) AS calibration FROM (SELECT x, y, avg(v) AS m FROM {PIXELS} GROUP BY ALL)")
 def d51_average_frames(spark, d):
     return C.average_frames(pixels(spark, d)).withColumn("calibration", rnd("calibration"))

@@ -4,30 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from luminode.operators import joins as J
+from luminode.operators import summaries
 from luminode.sources.shared import new_path
 
 
-def abundance_stream(events: DataFrame, keys: list[str], category: str) -> DataFrame:
-    """Streaming counts of categories within keys (update mode)."""
-    return events.groupBy(*keys, category).agg(F.count("*").alias("n"))
+def arrivals(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files at path (a file or a folder): all in one batch, or so many a batch."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", True)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    # a single file is only taken by a pattern; this one fits no other name
+    return stream.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_abundance(spark: SparkSession, path: str, keys: list[str], category: str) -> DataFrame:
-    """Runs abundance_stream over all files at path; the last state of each group equals the batch result."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    events = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/{name.replace('.parquet', '')}.parquet*")
+def _run(spark: SparkSession, stream: DataFrame, mode: str, keep) -> None:
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "progress"))
+    writer.trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+def abundance_stream(events: DataFrame, keys: list[str], category: str, time: str | None = None, window: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """Streaming counts of categories within keys: of all time, or of each window of a time column.
+
+    A window closes once the latest time of earlier batches is `delay` past its end: its state is
+    freed, and rows that come in a later batch than that are left out. Without a time column there
+    is a state for every key and category. A time without zone is taken as UTC's.
+    """
+    if not time:
+        return events.groupBy(*keys, category).agg(F.count("*").alias("n"))
+    if isinstance(events.schema[time].dataType, TimestampNTZType):
+        events = events.withColumn(time, F.concat(F.col(time).cast("string"), F.lit("Z")).cast("timestamp"))
+    return events.withWatermark(time, delay).groupBy(F.window(time, window), *keys, category).agg(F.count("*").alias("n"))
+
+
+def run_abundance(spark: SparkSession, path: str, keys: list[str], category: str, time: str | None = None, window: str = "1 day", delay: str = "1 day", files_per_batch: int | None = None) -> DataFrame:
+    """Runs abundance_stream over all files at path; the last state of each group equals the batch result.
+
+    With a time column the start of a group's window is in `window_start`.
+    """
     out = new_path(spark, "abundance")
+    events = arrivals(spark, path, files_per_batch)
+    counts, groups = abundance_stream(events, keys, category, time, window, delay), [*keys, category]
+    if time:
+        start = F.col("window.start")
+        if isinstance(events.schema[time].dataType, TimestampNTZType):
+            start = F.convert_timezone(None, F.lit("UTC"), start.cast("timestamp_ntz"))
+        counts, groups = counts.withColumn("window_start", start).drop("window"), ["window_start", *groups]
 
     def keep(batch: DataFrame, epoch: int) -> None:
         # a batch that is tried again replaces what it wrote
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    run = abundance_stream(events, keys, category).writeStream.outputMode("update").option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
-    return spark.read.parquet(out).groupBy(*keys, category).agg(F.max_by("n", "epoch").alias("n"))
+    _run(spark, counts, "update", keep)
+    return spark.read.parquet(out).groupBy(*groups).agg(F.max_by("n", "epoch").alias("n"))
+
+
+def run_diversity(spark: SparkSession, path: str, keys: list[str], category: str, files_per_batch: int | None = None) -> DataFrame:
+    """Diversity of the running counts of each key after every batch of files: a row per batch and key.
+
+    Every batch is given all counts so far, so the rows of the last one equal the batch result.
+    """
+    out = new_path(spark, "diversity")
+
+    def measure(batch: DataFrame, epoch: int) -> None:
+        summaries.diversity(batch, keys).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    _run(spark, abundance_stream(arrivals(spark, path, files_per_batch), keys, category), "complete", measure)
+    return spark.read.parquet(out).withColumnRenamed("epoch", "batch")
 
 
 def classify_stream(spark: SparkSession, path: str, reference: DataFrame, metric, flags: Column, id: str = "vec_id", v: str = "v") -> DataFrame:
@@ -35,13 +80,10 @@ def classify_stream(spark: SparkSession, path: str, reference: DataFrame, metric
 
     flags is the gate, a column over a spectrum v; spectra meet the references with equal flags.
     """
-    arrivals = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
     out = new_path(spark, "classified")
 
     def classify(batch: DataFrame, epoch: int) -> None:
         J.nn_classify(batch, reference, metric, id).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    arrivals = arrivals.withColumn("flags", flags)
-    run = arrivals.writeStream.option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).foreachBatch(classify).start()
-    run.awaitTermination()
+    _run(spark, arrivals(spark, path, 2).withColumn("flags", flags), "append", classify)
     return spark.read.parquet(out).drop("epoch")

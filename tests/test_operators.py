@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from luminode import plans
 from luminode.operators import cells, joins, models, selection, summaries
 from luminode.sources import files
 from luminode.sources.shared import stored
+from luminode.streaming import incremental
 
 
 def one(spark, column, **values):
@@ -182,6 +184,41 @@ def test_stream_classifies_as_the_batch_does(spark):
     assert {k: v[0] for k, v in got.items()} == batch
 
 
+def test_streams_in_several_batches(spark, tmp_path):
+    days = {"a": ("2024-01-10", 3), "b": ("2024-01-10", 2), "c": ("2024-01-01", 5), "d": ("2024-01-09", 1)}
+    for name, (day, n) in days.items():
+        rows = spark.createDataFrame([(k % 2, "xyz"[k % 3], f"{day} 12:00:00") for k in range(n)], "g int, c string, t string")
+        rows.coalesce(1).select("g", "c", F.col("t").cast("timestamp").alias("t")).write.parquet(str(tmp_path / "in" / name))
+    path = str(tmp_path / "in")
+    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
+    counts = rows.groupBy("g", "c").agg(F.count("*").alias("n"))
+    whole = str(tmp_path / "whole")
+    rows.repartition(4).write.parquet(whole)
+    got = incremental.run_abundance(spark, whole, ["g"], "c", files_per_batch=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, counts.collect()))
+    each = incremental.run_diversity(spark, whole, ["g"], "c", files_per_batch=1)
+    last = max(r.batch for r in each.collect())
+    assert last >= 2
+    shannon = lambda df: {r.g: round(r.shannon, 9) for r in df.collect()}
+    assert shannon(each.where(F.col("batch") == last)) == shannon(summaries.diversity(counts, ["g"]))
+
+
+def test_late_rows_find_their_window_closed(spark, tmp_path):
+    for day in ("2024-01-10", "2024-01-09", "2024-01-01"):
+        row = spark.createDataFrame([("x", f"{day} 12:00:00")], "c string, t string")
+        row.select("c", F.col("t").cast("timestamp").alias("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    counts = lambda **how: {str(r.window_start)[:10]: r.n for r in incremental.run_abundance(spark, str(tmp_path / "in"), [], "c", "t", **how).collect()}
+    assert counts(files_per_batch=1) == {"2024-01-10": 1, "2024-01-09": 1}
+    assert counts(files_per_batch=1, delay="30 days") == counts() == {"2024-01-10": 1, "2024-01-09": 1, "2024-01-01": 1}
+
+
+def test_probability_profile(spark):
+    rows = spark.createDataFrame([(0.01, 0.5), (0.03, 0.7), (0.035, 0.9), (None, 0.4)], "area double, max_probability double")
+    got = {r.bin: (r.n, r.mean_probability) for r in models.probability_profile(rows, "area", 0.02).collect()}
+    assert got == {0: (1, 0.5), 1: (2, pytest.approx(0.8)), None: (1, 0.4)}
+
+
 def test_best_probes(spark):
     got = plans.best_probes(spark, SF).collect()
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
