@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luminode.llm import decontam, fingerprints, licenses, maxent, neardup, packing, quality, secrets, tokens, warc
+from luminode.llm import centroids, collocations, decontam, fingerprints, licenses, linededup, maxent, neardup, packing, quality, secrets, tokens, warc
 from luminode.llm.common import fold, stored, table
 
 
@@ -73,6 +73,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokens.LIMIT).alias("over_limit"), "chars_in_limit")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang")).drop("n_left", "n_right")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +99,14 @@ QUERIES = {
         op8_warc,
         op9_licenses,
         op10_token_counts,
+        op11_collocations,
+        op12_centroids,
+        op13_line_dedup,
     )
 }
-ORACLE_SQL = {"op9_licenses": licenses.oracle_sql()}
+ORACLE_SQL = {
+    "op9_licenses": licenses.oracle_sql(),
+    "op11_collocations": collocations.oracle_sql(),
+    "op12_centroids": centroids.oracle_sql(),
+    "op13_line_dedup": linededup.oracle_sql(),
+}
