@@ -103,9 +103,10 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     suspects = stored(suspected_lines(docs, doc_id, text, least_chars), "suspects")
     # a distinct count is taken by line and document first: no line's documents meet in one task
-    repeats = suspects.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_documents)
-    # a line of very many documents is split by Spark, as the left side of a left join may be
-    met = suspects.join(repeats.select("key", "keeper"), "key", "left").where(F.col("doc_id") != F.col("keeper"))
+    counted = suspects.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_documents)
+    # a line of very many documents is split by Spark, as the left side of a left join of two tables may be
+    repeats = stored(counted.select("key", "keeper"), "repeats")
+    met = suspects.join(repeats, "key", "left").where(F.col("doc_id") != F.col("keeper"))
     return met.groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
 
 
