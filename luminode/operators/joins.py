@@ -201,14 +201,23 @@ def adjacency(pixels: DataFrame, image: str = "image_id", both: bool = True) ->
 
 
 def nn_classify(cells: DataFrame, reference: DataFrame, metric, id: str, block: tuple[str, ...] = ("flags",), code: str = "code") -> DataFrame:
-    """The code of the nearest reference spectrum among those with equal block columns, and its distance.
+    """The code of the nearest reference spectrum and its distance, a row per cell (and replicate).
 
-    metric(v, ref_v) builds the distance column. A reference holds a bounded number of spectra (one
-    per code and replicate), so each cell meets those of its block; ties go to the smallest code.
+    metric(v, ref_v) builds the distance column; only references with equal block columns are
+    compared, all others are at distance 1. A cell that has none in its block so takes the smallest
+    code (of the replicate) at distance 1. Ties go to the smallest code. This form compares a cell with
+    its whole block; spectral_index does with less where references are many.
     """
-    joined = cells.join(reference, list(block)).withColumn("__d", metric(F.col("v"), F.col("ref_v")))
     keys = [id, *[c for c in ("replicate",) if c in reference.columns]]
-    return joined.groupBy(*keys).agg(F.min(F.struct(F.col("__d").alias("distance"), F.col(code).alias("code"))).alias("b")).select(*keys, "b.code", "b.distance")
+    joined = cells.join(reference, list(block)).withColumn("__d", metric(F.col("v"), F.col("ref_v")))
+    met = joined.select(*keys, F.struct(F.lit(0).alias("missing"), F.col("__d").alias("distance"), F.col(code).alias("code")).alias("b"))
+    # one default per replicate, a handful whatever the tables' sizes
+    defaults = reference.groupBy(*keys[1:]).agg(F.min(code).alias("code")).collect()
+    kind = lambda c: reference.schema[c].dataType
+    each = [F.struct(*[F.lit(r[c]).cast(kind(c)).alias(c) for c in keys[1:]], F.lit(r["code"]).cast(kind(code)).alias("code")) for r in defaults]
+    lone = cells.select(id, F.explode(F.array(*each)).alias("d")) if each else cells.limit(0).select(id, F.struct(F.lit(None).cast(kind(code)).alias("code")).alias("d"))
+    lone = lone.select(id, *[F.col(f"d.{c}").alias(c) for c in keys[1:]], F.struct(F.lit(1).alias("missing"), F.lit(1.0).alias("distance"), F.col("d.code").alias("code")).alias("b"))
+    return met.unionByName(lone).groupBy(*keys).agg(F.min("b").alias("b")).select(*keys, "b.code", "b.distance")
 
 
 def seed_hits(probes: DataFrame, targets: DataFrame, k: int, max_targets_per_seed: int | None = None) -> DataFrame:

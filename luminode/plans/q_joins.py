@@ -8,8 +8,9 @@ from luminode.functions import scalars as S
 from luminode.operators import cells as C
 from luminode.operators import joins as J
 from luminode.operators import selection
+from luminode.operators.spectral_index import SpectrumIndex
 from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, pixels, query, rnd, spectra, table
-from luminode.plans.q_functions import GATE, GATE_SQL, THRESHOLDS, _cos_sql
+from luminode.plans.q_functions import GATE, GATE_SQL, THRESHOLDS
 
 
 @query("SELECT o_orderkey, o_custkey, c_nationkey, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
@@ -174,10 +175,15 @@ def references(spark, d):
     return means.withColumn("v", F.transform("v", lambda x: F.round(x, 9)))
 
 
-_WHOLE = _cos_sql(1, 64).replace("a[", "v[").replace("b[", "w[")
+_COS = "(1 - list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))))"
+_BLOCKED = f"(SELECT vec_id, v, {GATE_SQL} AS f FROM {SPECTRA})"
 
 
-@query(f"SELECT vec_id, replicate, code, round(round(dist, 9), 6) + 0.0 AS distance FROM (SELECT vec_id, replicate, code, {_WHOLE} AS dist, row_number() OVER (PARTITION BY vec_id, replicate ORDER BY round({_WHOLE}, 9), code) AS r FROM (SELECT vec_id, v, {GATE_SQL} AS f FROM {SPECTRA}) JOIN {_REF} USING (f)) WHERE r = 1")
+@query(
+    f"""WITH r AS MATERIALIZED {_REF}, n AS (SELECT vec_id, replicate, code, {_COS} AS dist, row_number() OVER (PARTITION BY vec_id, replicate ORDER BY round({_COS}, 9), code) AS k FROM {_BLOCKED} JOIN r USING (f)),
+d AS (SELECT replicate, min(code) AS least FROM r GROUP BY replicate)
+SELECT s.vec_id, d.replicate, coalesce(code, least) AS code, round(round(coalesce(dist, 1.0), 9), 6) + 0.0 AS distance FROM {SPECTRA} s CROSS JOIN d LEFT JOIN n ON n.vec_id = s.vec_id AND n.replicate = d.replicate AND k = 1"""
+)
 def c16_nearest_spectrum(spark, d):
     s = spectra(spark, d).withColumn("flags", S.gate("v", GATE, THRESHOLDS))
     ref = references(spark, d).select(F.col("label").alias("code"), S.gate("v", GATE, THRESHOLDS).alias("flags"), F.col("v").alias("ref_v"), "replicate")
@@ -185,6 +191,22 @@ def c16_nearest_spectrum(spark, d):
     return out.select("vec_id", "replicate", "code", rnd("distance").alias("distance"))
 
 
+_MANY = f"""(SELECT label AS code, {GATE_SQL} AS f, v AS w FROM (SELECT label, list(m ORDER BY k) AS v FROM (SELECT label, vec_id // 100 AS run, k, round(avg(x), 9) AS m
+  FROM (SELECT label, vec_id, unnest(range(64)) AS k, unnest(v) AS x FROM {SPECTRA}) GROUP BY ALL) GROUP BY label, run))"""
+
+
+@query(
+    f"""WITH r AS MATERIALIZED {_MANY}, n AS (SELECT vec_id, code, {_COS} AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY round({_COS}, 9), code) AS k FROM {_BLOCKED} JOIN r USING (f))
+SELECT s.vec_id, coalesce(code, (SELECT min(code) FROM r)) AS code, round(round(coalesce(dist, 1.0), 9), 6) + 0.0 AS distance FROM {SPECTRA} s LEFT JOIN n ON n.vec_id = s.vec_id AND k = 1"""
+)
+def c16_indexed_spectrum(spark, d):
+    """All spectra against references that grow with the table: a class's mean over each hundred spectra."""
+    runs = C.mean_array(spectra(spark, d).withColumn("run", F.floor(F.col("vec_id") / 100)), ["label", "run"], "v").withColumn("v", F.transform("v", lambda x: F.round(x, 9)))
+    ref = runs.select(F.col("label").alias("code"), S.gate("v", GATE, THRESHOLDS).alias("flags"), F.col("v").alias("ref_v"))
+    s = spectra(spark, d).select("vec_id", S.gate("v", GATE, THRESHOLDS).alias("flags"), "v")
+    return SpectrumIndex(ref).nearest(s, "vec_id").select("vec_id", "code", rnd("distance").alias("distance"))
+
+
 _SEED = 16
 
 

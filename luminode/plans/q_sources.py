@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from luminode.functions import scalars as S
 from luminode.operators import joins as J
 from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, pixels, query, rnd, spectra, table
-from luminode.plans.q_joins import _MEANS, references, tree
+from luminode.plans.q_joins import _BLOCKED, _COS, _MEANS, _REF, references, tree
 from luminode.sources import files
 from luminode.sources.shared import new_path
 
@@ -248,7 +248,10 @@ def s02_running_diversity(spark, d):
     return last.select("user_id", F.col("s.richness").cast("int").alias("richness"), rnd("s.shannon").alias("shannon"), rnd("s.inverse_simpson").alias("inverse_simpson"))
 
 
-@query()
+@query(
+    f"""WITH r AS MATERIALIZED (SELECT * FROM {_REF} WHERE replicate = 0), n AS (SELECT vec_id, code, {_COS} AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY round({_COS}, 9), code) AS k FROM {_BLOCKED} JOIN r USING (f))
+SELECT s.vec_id, coalesce(code, (SELECT min(code) FROM r)) AS code, round(round(coalesce(dist, 1.0), 9), 6) + 0.0 AS distance FROM {SPECTRA} s LEFT JOIN n ON n.vec_id = s.vec_id AND k = 1"""
+)
 def s01_classify_stream(spark, d):
     from luminode.plans.q_functions import GATE, THRESHOLDS
     from luminode.streaming import incremental
@@ -257,7 +260,8 @@ def s01_classify_stream(spark, d):
     spectra(spark, d).select("vec_id", "v").repartition(4).write.parquet(path)
     gate = S.gate("v", GATE, THRESHOLDS)
     ref = references(spark, d).where("replicate = 0").select(F.col("label").alias("code"), gate.alias("flags"), F.col("v").alias("ref_v"))
-    return incremental.classify_stream(spark, path, ref, lambda a, b: F.round(S.cosine(a, b), 9), gate)
+    out = incremental.classify_stream(spark, path, ref, lambda a, b: F.round(S.cosine(a, b), 9), gate)
+    return out.select("vec_id", "code", rnd("distance").alias("distance"))
 
 
 @query()
