@@ -211,13 +211,14 @@ def nn_classify(cells: DataFrame, reference: DataFrame, metric, id: str, block:
     keys = [id, *[c for c in ("replicate",) if c in reference.columns]]
     joined = cells.join(reference, list(block)).withColumn("__d", metric(F.col("v"), F.col("ref_v")))
     met = joined.select(*keys, F.struct(F.lit(0).alias("missing"), F.col("__d").alias("distance"), F.col(code).alias("code")).alias("b"))
-    # one default per replicate, a handful whatever the tables' sizes
-    defaults = reference.groupBy(*keys[1:]).agg(F.min(code).alias("code")).collect()
-    kind = lambda c: reference.schema[c].dataType
-    each = [F.struct(*[F.lit(r[c]).cast(kind(c)).alias(c) for c in keys[1:]], F.lit(r["code"]).cast(kind(code)).alias("code")) for r in defaults]
-    lone = cells.select(id, F.explode(F.array(*each)).alias("d")) if each else cells.limit(0).select(id, F.struct(F.lit(None).cast(kind(code)).alias("code")).alias("d"))
-    lone = lone.select(id, *[F.col(f"d.{c}").alias(c) for c in keys[1:]], F.struct(F.lit(1).alias("missing"), F.lit(1.0).alias("distance"), F.col("d.code").alias("code")).alias("b"))
-    return met.unionByName(lone).groupBy(*keys).agg(F.min("b").alias("b")).select(*keys, "b.code", "b.distance")
+    # one default per replicate, a handful whatever the tables' sizes; without references there is no code to give
+    defaults = [r for r in reference.groupBy(*keys[1:]).agg(F.min(code).alias("code")).collect() if r["code"] is not None]
+    if defaults:
+        kind = lambda c: reference.schema[c].dataType
+        each = [F.struct(*[F.lit(r[c]).cast(kind(c)).alias(c) for c in keys[1:]], F.lit(r["code"]).cast(kind(code)).alias("code")) for r in defaults]
+        lone = cells.select(id, F.explode(F.array(*each)).alias("d"))
+        met = met.unionByName(lone.select(id, *[F.col(f"d.{c}").alias(c) for c in keys[1:]], F.struct(F.lit(1).alias("missing"), F.lit(1.0).alias("distance"), F.col("d.code").alias("code")).alias("b")))
+    return met.groupBy(*keys).agg(F.min("b").alias("b")).select(*keys, "b.code", "b.distance")
 
 
 def seed_hits(probes: DataFrame, targets: DataFrame, k: int, max_targets_per_seed: int | None = None) -> DataFrame:
