@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
+from luminode.operators.tiles import CellTree
 from luminode.sources.shared import stored
 
 #: Positions that meet in one bucket of an overlap join.
@@ -150,36 +151,10 @@ def pairs_within(cells: DataFrame, radius: float, keys: tuple[str, ...] = ("imag
 def knn_points(points: DataFrame, cells: DataFrame, k: int, image: str = "image_id", id: str = "cell") -> DataFrame:
     """The k cells of a point's image nearest to it, ranked from 1; ties by id; all where there are fewer.
 
-    points: image, point_id, px, py. A point meets the cells of the squares around it, the square's
-    side from the cells' density; points whose k-th cell may not be the k-th nearest (it is farther
-    than the searched squares reach) search twice as far, until all cells of an image are reached.
+    points: image, point_id, px, py; cells: image, id, x, y. Each image has a tree of squares of its
+    own, which goes as deep as its cells are dense; points and cells without a finite place are left out.
     """
-    extent = cells.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    distance = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
-    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(Window.partitionBy(image, "point_id").orderBy("distance", id))).where(F.col("rank") <= k)
-    if not extent.n:
-        return ranked(points.join(cells, image).withColumn("distance", distance))
-    far = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    spread = [max(x for x in (a, b) if x is not None) - min(x for x in (c, d) if x is not None) for a, b, c, d in ((extent[2], far[1], extent[1], far[0]), (extent[4], far[3], extent[3], far[2]))]
-    side = max((max(spread[0], 1e-9) * max(spread[1], 1e-9) * k / extent.n) ** 0.5, max(spread) / 1e6, 1e-9)
-    tiled, left, reach, done = _grid(cells, side, "x", "y"), _grid(points, side, "px", "py"), 1, None
-    while True:
-        last = reach * side > max(spread)
-        span = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
-        # a ring at a time would do less, but squares keep a round a single join
-        asked = left if last else left.withColumn("gx", span("gx")).withColumn("gy", span("gy"))
-        met = asked.drop("gx", "gy").join(tiled.drop("gx", "gy"), image) if last else asked.join(tiled, [image, "gx", "gy"]).drop("gx", "gy")
-        found = ranked(met.withColumn("distance", distance))
-        if last:
-            return found if done is None else done.unionByName(found)
-        found = stored(found, "near")
-        sure = found.where((F.col("rank") == k) & (F.col("distance") <= reach * side)).select(image, "point_id").distinct()
-        kept = found.join(sure, [image, "point_id"], "left_semi")
-        done = kept if done is None else done.unionByName(kept)
-        left = stored(left.join(sure, [image, "point_id"], "left_anti"), "unsure")
-        if left.isEmpty():
-            return done
-        reach *= 2
+    return CellTree(cells, image).nearest(points, k, id)
 
 
 def min_distance(cells: DataFrame, boundary: DataFrame, image: str = "image_id", id: str = "cell") -> DataFrame:
