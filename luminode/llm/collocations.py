@@ -33,11 +33,23 @@ GAPS = ENDS | np.array([b in (9, 32) for b in range(256)])
 #: Parts of a language's candidates that are ranked apart before the last ranking.
 PARTS = 64
 CHUNK = 100_000
+#: Rows of a transform that are extended at once.
+SLICE_ROWS = 250_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 INDEX = "lang string, n_words long, words array<string>, forward binary, backward binary"
 
 
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their places, equal keys in order of place; key and place share a word where they fit."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits <= 63:
+        both = np.sort((key.astype(np.int64) << bits) | np.arange(len(key)))
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(key, kind="stable")
+    return key[order], order
+
+
 def _transform(text: np.ndarray, depth: int) -> np.ndarray:
     """The number before each suffix, suffixes in order of their first `depth` numbers."""
     bits = int(text.max(initial=1)).bit_length()
@@ -46,7 +58,7 @@ def _transform(text: np.ndarray, depth: int) -> np.ndarray:
         key = np.zeros(len(text), np.int64)
         for k in range(depth):
             key = (key << bits) | ahead[k : k + len(text)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # suffixes that agree in all of these words may stand in any order
     else:
         order = np.lexsort([ahead[k : k + len(text)] for k in reversed(range(depth))])
     return text[order - 1]
@@ -143,19 +155,26 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum(counts)])
         self.n = len(self.sides[0])
         self._next: list[np.ndarray | None] = [None, None]
-        self.inner = [np.concatenate([[0], np.cumsum(side > 0)]) for side in self.sides]
+        self.inner = [np.concatenate([[0], np.cumsum(side > 0, dtype=np.int32)]).astype(np.int32) for side in self.sides]
 
     def _step(self, side: int) -> np.ndarray:
         """For each row the row of the suffix one word longer: rows of a word keep their order."""
         if self._next[side] is None:
-            step = np.empty(self.n, np.int64)
-            step[np.argsort(self.sides[side], kind="stable")] = np.arange(self.n)
+            step = np.empty(self.n, np.int32)
+            step[_ordered(self.sides[side])[1]] = np.arange(self.n, dtype=np.int32)
             self._next[side] = step
         return self._next[side]
 
-    def single(self) -> Intervals:
-        number = np.arange(1, len(self.words) + 1)
-        return Intervals([number], self.start[1:-1], self.start[1:-1].copy(), np.diff(self.start)[1:])
+    def slices(self, allowed: np.ndarray) -> Iterator[Intervals]:
+        """The single words that are allowed, so many at a time that their rows are about SLICE_ROWS."""
+        number = np.flatnonzero(allowed[1:]) + 1
+        size = np.diff(self.start)[number]
+        ends = np.cumsum(size)
+        a = 0
+        while a < len(number):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_ROWS, "right")))
+            yield Intervals([number[a:b]], self.start[number[a:b]], self.start[number[a:b]], size[a:b])
+            a = b
 
     def extend(self, phrases: Intervals, right: bool, allowed: np.ndarray) -> Intervals:
         """All phrases one word longer, to the left or to the right, by words that are allowed (indexed by word number)."""
@@ -164,8 +183,7 @@ class Index:
         row = np.arange(len(owner)) + np.repeat(here - np.concatenate([[0], np.cumsum(phrases.size)[:-1]]), phrases.size)
         word = self.sides[int(right)][row].astype(np.int64)
         key = owner * np.int64(len(self.words) + 1) + word
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        key, order = _ordered(key)
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         size = np.diff(np.concatenate([head, [len(key)]]))
         first = order[head]
@@ -174,7 +192,7 @@ class Index:
         begins = np.concatenate([[0], np.cumsum(phrases.size)[:-1]])[owned]
         other = there[owned] + head - begins
         kept = np.flatnonzero((added > 0) & allowed[added])
-        near, far, owned, added = self._step(int(right))[row[first[kept]]], other[kept], owned[kept], added[kept]
+        near, far, owned, added = self._step(int(right))[row[first[kept]]].astype(np.int64), other[kept], owned[kept], added[kept]
         words = [w[owned] for w in phrases.words]
         words = [*words, added] if right else [added, *words]
         return Intervals(words, far if right else near, near if right else far, size[kept])
@@ -228,23 +246,22 @@ def phrases(index: DataFrame, size: int, filters: list | None = None) -> DataFra
             split_words = split(fm.words, GAPS)
             keys = np.concatenate([[np.uint64(0)], _salted(split_words.keys(), lang)])
             allowed[1:] = bloom.holds(filters[0].value, keys[1:])
-        now = fm.single()
-        now = _kept(now, allowed[now.words[0]])
-        for k in range(1, size):
-            # to the left first, then to the right in turn: both transforms serve
-            now = fm.extend(now, right=k % 2 == 0, allowed=allowed)
-            if k < size - 1 and len(filters) > k:
-                now = _kept(now, bloom.holds(filters[k].value, _chain([keys[w] for w in now.words])))
-            elif k == size - 1 and len(filters) > k - 1 >= 1:
-                # both parts one word shorter
-                for part in (now.words[:-1], now.words[1:]):
-                    now = _kept(now, bloom.holds(filters[k - 1].value, _chain([keys[w] for w in part])))
-        left, right = fm.neighbours(now)
-        for a in range(0, len(now.size), CHUNK):
-            cut = slice(a, a + CHUNK)
-            texts = [fm.words.take(pa.array(w[cut] - 1)) for w in now.words]
-            phrase = pc.binary_join_element_wise(*texts, " ") if size > 1 else texts[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrase), pa.string()), phrase, *[pa.array(x[cut], pa.int64()) for x in (now.size, left, right)]], ["lang", "phrase", "n", "n_left", "n_right"])
+        for now in fm.slices(allowed):
+            for k in range(1, size):
+                # to the left first, then to the right in turn: both transforms serve
+                now = fm.extend(now, right=k % 2 == 0, allowed=allowed)
+                if k < size - 1 and len(filters) > k:
+                    now = _kept(now, bloom.holds(filters[k].value, _chain([keys[w] for w in now.words])))
+                elif k == size - 1 and len(filters) > k - 1 >= 1:
+                    # both parts one word shorter
+                    for part in (now.words[:-1], now.words[1:]):
+                        now = _kept(now, bloom.holds(filters[k - 1].value, _chain([keys[w] for w in part])))
+            left, right = fm.neighbours(now)
+            for a in range(0, len(now.size), CHUNK):
+                cut = slice(a, a + CHUNK)
+                texts = [fm.words.take(pa.array(w[cut] - 1)) for w in now.words]
+                phrase = pc.binary_join_element_wise(*texts, " ") if size > 1 else texts[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(phrase), np.int8))), phrase, *[pa.array(x[cut].astype(np.int64)) for x in (now.size, left, right)]], ["lang", "phrase", "n", "n_left", "n_right"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
