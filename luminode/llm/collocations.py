@@ -1,6 +1,6 @@
 """Phrase collocations: an FM-index over word numbers per shard, phrases by two-way interval extension.
 
-A shard is some 2,000,000 words of one language. Its index is the Burrows-Wheeler transform of the
+A shard is some 1,000,000 words of one language. Its index is the Burrows-Wheeler transform of the
 word numbers, forwards and backwards, sorted by as many words as a phrase may have (enough for
 intervals of phrases that long). A phrase is an interval in both; adding a word to the left reads
 the forward transform, adding one to the right the backward one, and either keeps the other
@@ -25,7 +25,7 @@ from luminode.llm.common import stored
 from luminode.llm.words import hashed, pieces, split
 from luminode.operators.similar import mix
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Signs that end a piece; blanks between words.
 ENDS = np.array([chr(b) in ".,;:!?" or 10 <= b <= 13 for b in range(256)])
