@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from luminode.operators import joins as J
+from luminode.operators.scans import running
 
 
 def measure_regions(pixels: DataFrame, keys: tuple[str, ...] = ("image_id", "label"), intensity: str | None = None, spectrum: str | None = None) -> DataFrame:
@@ -61,20 +62,28 @@ def spectrum_histogram(df: DataFrame, v: str, bins: int, low: float = 0.0, high:
     return long.groupBy("channel", F.expr(f"width_bucket(x, {low}D, {high}D, {bins})").alias("bin")).agg(F.log10(F.count("*") + 1).alias("log_n"))
 
 
-def distance_profile(df: DataFrame, keys: list[str], sample: str, distance: str, width: float, bins: int) -> DataFrame:
-    """Share of a sample's rows in each distance bin: mean and quartiles over samples, empty bins as 0."""
+def _quantile(c: Column | str, share: float, accuracy: int | None) -> Column:
+    """The exact quantile, or with a mergeable sketch one whose rank is off by at most 1 / accuracy."""
+    return F.percentile(c, share) if accuracy is None else F.percentile_approx(c, share, accuracy)
+
+
+def distance_profile(df: DataFrame, keys: list[str], sample: str, distance: str, width: float, bins: int, accuracy: int | None = None) -> DataFrame:
+    """Share of a sample's rows in each distance bin: mean and quartiles over samples, empty bins as 0.
+
+    Quartiles are exact, or within 1 / accuracy of their rank, at bounded memory.
+    """
     counts = df.where((F.col(distance) >= 0) & (F.col(distance) < width * bins)).groupBy(*keys, sample, F.floor(F.col(distance) / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     total = df.groupBy(*keys, sample).agg(F.count("*").alias("total")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = total.join(counts, [*keys, sample, "bin"], "left").withColumn("share", F.coalesce("n", F.lit(0)) / F.col("total"))
-    return full.groupBy(*keys, "bin").agg(F.avg("share").alias("mean"), F.percentile("share", 0.25).alias("q25"), F.percentile("share", 0.75).alias("q75"))
+    return full.groupBy(*keys, "bin").agg(F.avg("share").alias("mean"), _quantile("share", 0.25, accuracy).alias("q25"), _quantile("share", 0.75, accuracy).alias("q75"))
 
 
-def compare_groups(df: DataFrame, category: str, group: str, value: str, groups: tuple, fill: float = 0.1) -> DataFrame:
-    """Mean, deviation and quartiles of a category's values in two groups; a missing mean is `fill`."""
+def compare_groups(df: DataFrame, category: str, group: str, value: str, groups: tuple, fill: float = 0.1, accuracy: int | None = None) -> DataFrame:
+    """Mean, deviation and quartiles of a category's values in two groups; a missing mean is `fill`. accuracy as in distance_profile."""
     of = lambda g: F.when(F.col(group) == g, F.col(value))
     cols = []
     for k, g in enumerate(groups, 1):
-        cols += [F.coalesce(F.avg(of(g)), F.lit(fill)).alias(f"mean_{k}"), F.stddev_samp(of(g)).alias(f"std_{k}"), F.percentile(of(g), 0.25).alias(f"q25_{k}"), F.percentile(of(g), 0.75).alias(f"q75_{k}")]
+        cols += [F.coalesce(F.avg(of(g)), F.lit(fill)).alias(f"mean_{k}"), F.stddev_samp(of(g)).alias(f"std_{k}"), _quantile(of(g), 0.25, accuracy).alias(f"q25_{k}"), _quantile(of(g), 0.75, accuracy).alias(f"q75_{k}")]
     return df.groupBy(category).agg(*cols)
 
 
@@ -135,6 +144,46 @@ def permutation_null(edges: DataFrame, cells: DataFrame, n_sim: int, key: Column
     return both.withColumn("fold_change", (F.col("n") + 1) / (F.col("null_mean") + 1))
 
 
+def permutation_moments(edges: DataFrame, cells: DataFrame, image: str = "image_id") -> DataFrame:
+    """The permutation null model without simulations: exact mean and deviation of every pair of classes.
+
+    An image's classes are dealt to its cells in all orders alike. With m touching pairs, of which s
+    pairs of pairs share a cell, the first two moments of a count follow from the sizes of the two
+    classes: the chance that one pair, two pairs with a common cell, or two without one join them.
+    edges: both directions of every pair; pairs within a class count twice, as in adjacency_counts.
+    """
+    ends = [cells.select(image, F.col("label").alias(f"label_{k}")).distinct() for k in (1, 2)]
+    once = edges.select(image, "label_1", "label_2").where("label_1 <> label_2").distinct()
+    once = once.join(ends[0], [image, "label_1"], "left_semi").join(ends[1], [image, "label_2"], "left_semi")
+    degrees = once.groupBy(image, "label_1").agg(F.count("*").alias("d"))
+    graph = degrees.groupBy(image).agg((F.sum("d") / 2).alias("m"), (F.sum(F.col("d") * (F.col("d") - 1)) / 2).alias("s"))
+    sizes = cells.groupBy(image, "code").agg(F.count_distinct("label").cast("double").alias("size"))
+    total = sizes.groupBy(image).agg(F.sum("size").alias("cells"))
+    of = lambda k: sizes.select(image, F.col("code").alias(f"code_{k}"), F.col("size").alias(f"size_{k}"))
+    rows = of(1).join(of(2), image).join(total, image).join(graph, image)
+    a, b, n, m, s = (F.col(c) for c in ("size_1", "size_2", "cells", "m", "s"))
+    same = F.col("code_1") == F.col("code_2")
+
+    def falling(x, k: int):
+        out = x
+        for i in range(1, k):
+            out = out * (x - i)
+        return out
+
+    def chance(equal, unequal, k: int):
+        return F.when(n >= k, F.when(same, equal).otherwise(unequal) / falling(n, k)).otherwise(0.0)
+
+    one = chance(falling(a, 2), 2 * a * b, 2)
+    shared = chance(falling(a, 3), a * b * (a + b - 2), 3)
+    apart = chance(falling(a, 4), 4 * falling(a, 2) * falling(b, 2), 4)
+    mean, square = m * one, m * one + 2 * s * shared + (m * (m - 1) - 2 * s) * apart
+    twice = F.when(same, 2.0).otherwise(1.0)
+    rows = rows.withColumns({"null_mean": twice * mean, "null_std": twice * F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))})
+    out = rows.join(adjacency_counts(once, cells, image), [image, "code_1", "code_2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    z = F.when(F.col("null_std") > 1e-9, (F.col("n") - F.col("null_mean")) / F.col("null_std"))
+    return out.select(image, "code_1", "code_2", "n", "null_mean", "null_std", ((F.col("n") + 1) / (F.col("null_mean") + 1)).alias("fold_change"), z.alias("z"))
+
+
 def network_distance(a: DataFrame, b: DataFrame, keys: tuple[str, str] = ("code_1", "code_2"), n: str = "n", log: bool = False) -> DataFrame:
     """One row: sum of squared differences of two networks without diagonal, each over its largest count (or of their log10(n + 1))."""
     off = f"{keys[0]} <> {keys[1]}"
@@ -227,16 +276,38 @@ def regress(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.sum(F.when(F.col(x) == 0, F.col(y)).otherwise(0)).alias("gross_error"))
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, id: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Mean and quartiles of bootstrap means: n draws with replacement per replicate, by seeded hashes."""
-    w = Window.partitionBy(*keys)
-    numbered = df.select(*keys, value, F.row_number().over(w.orderBy(id)).alias("i"), F.count("*").over(w).alias("n"))
-    draws = numbered.select(*keys, "n", "i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draws = draws.select(*keys, "replicate", (F.pmod(F.xxhash64(*keys, "replicate", "i", F.lit(seed)), F.col("n")) + 1).alias("i"))
-    means = draws.join(numbered, [*keys, "i"]).groupBy(*keys, "replicate").agg(F.avg(value).alias("m"))
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, id: str, replicates: int, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """Mean and quartiles of bootstrap means: n draws with replacement per replicate, by seeded hashes.
+
+    Rows are numbered by id in parts, so a key with very many rows is split. draw (a long column, which
+    may use the keys, replicate and i) replaces the hash. Replicates are few: their quartiles are exact.
+    """
+    numbered = running(df.select(*keys, value, id), keys, [F.col(id)], "i").select(*keys, value, F.col("i").cast("long").alias("i"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    draws = numbered.join(sizes, keys, "left").select(*keys, "n", "i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    drawn = draw if draw is not None else F.xxhash64(*keys, "replicate", "i", F.lit(seed))
+    # equal draws are counted before they meet the values
+    counted = draws.select(*keys, "replicate", (F.pmod(drawn, F.col("n")) + 1).alias("i")).groupBy(*keys, "replicate", "i").agg(F.count("*").alias("times"))
+    means = counted.join(numbered, [*keys, "i"]).groupBy(*keys, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
     return means.groupBy(*keys).agg(F.avg("m").alias("mean"), F.percentile("m", 0.25).alias("q25"), F.percentile("m", 0.75).alias("q75"))
 
 
+def quantile_sketches(df: DataFrame, keys: list[str], value: str, size: int = 400) -> DataFrame:
+    """keys, n and a sketch of each group's values, bounded in size: it merges with others, batch by batch or level by level.
+
+    The rank of a quantile read from it is off by about 1.33 / size ** 0.9 * 200 ** 0.9 per cent of n
+    (0.7 % at 400), with a probability of 99 %. Null values are left out.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), size).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75), size: int = 400) -> DataFrame:
+    """keys, n and the quantiles q25, q50, ... of merged sketches."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", size).alias("sketch"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(f"q{round(100 * p):02}") for p in shares])
+
+
 def pair_correlation(cells: DataFrame, dr: float, rings: int, side: float, area: float, keys: tuple[str, ...] = ("image_id", "code")) -> DataFrame:
     """g(r) of each class: pairs in ring k over those expected; pairs near an edge weigh by the arc inside.
 

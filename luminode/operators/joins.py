@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
+from luminode.operators.scans import nearest_flagged  # noqa: F401
 from luminode.operators.tiles import CellTree
 from luminode.sources.shared import stored
 
@@ -113,23 +114,6 @@ def interference_by_molecule(hits: DataFrame, probes: DataFrame, min_qcov: float
     return interference(hits, full, "molecule_id", thresholds)
 
 
-def nearest_flagged(df: DataFrame, key: str, ts: str, flag: str, id: str) -> DataFrame:
-    """Each row with the id of the row of its key that has flag 1 and is nearest in time.
-
-    Flagged rows join themselves; of equally near rows the earlier counts; rows of keys without
-    any flagged row have null. Two windows over (key, time, id), no self-join.
-    """
-    mark = F.when(F.col(flag) == 1, F.struct(F.col(ts).alias("t"), F.col(id).alias("i")))
-    order = Window.partitionBy(key).orderBy(ts, id)
-    before = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = df.withColumns({"__before": before, "__after": after})
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    back, ahead = micros(ts) - micros("__before.t"), micros("__after.t") - micros(ts)
-    nearest = F.when(F.col("__before").isNull(), F.col("__after.i")).when(F.col("__after").isNull(), F.col("__before.i")).when(back <= ahead, F.col("__before.i")).otherwise(F.col("__after.i"))
-    return rows.withColumn("nearest_id", nearest).drop("__before", "__after")
-
-
 def _grid(df: DataFrame, size: float, x: str, y: str) -> DataFrame:
     return df.withColumns({"gx": F.floor(F.col(x) / size), "gy": F.floor(F.col(y) / size)})
 
@@ -217,24 +201,34 @@ def seed_hits(probes: DataFrame, targets: DataFrame, k: int, max_targets_per_see
     return rows.select("probe_id", "strand", "molecule_id", (F.col("diagonal") + start + 1).alias("molecule_start"), F.length("qseq").alias("length"), S.max_homology("qseq", "sseq").alias("mch"), S.longest_run("qseq", "sseq").alias("run"))
 
 
-def lineage(ids: DataFrame, taxonomy: DataFrame, ranks: tuple[str, ...] = RANKS, depth: int = 40) -> DataFrame:
-    """The ancestor of each id at each rank, null where there is none.
+def lineage(ids: DataFrame, taxonomy: DataFrame, ranks: tuple[str, ...] = RANKS, depth: int | None = None) -> DataFrame:
+    """The ancestor of each id at each rank, null where there is none; ids that the tree lacks are left out.
 
-    taxonomy: taxid, parent, rank. All walks go up one level per join until none is left; more than
-    `depth` levels are an error; the root is its own parent or has none.
+    taxonomy: taxid, parent, rank; the root is its own parent or has none. Every node knows the
+    ranks on its way up to some ancestor; each round it takes over what that ancestor knows and jumps
+    to where the ancestor points, so ways double: a tree of 1,000 levels takes ten joins. A ring
+    never ends, and is an error once ways are longer than the tree has nodes, as is a path of more
+    than `depth` nodes.
     """
-    tree = taxonomy.select("taxid", "parent", "rank")
-    walk = ids.select(F.col("taxid").alias("id"), F.col("taxid").alias("at")).distinct()
-    found = None
-    for level in range(depth + 1):
-        if level == depth:
-            raise ValueError(f"the tree is deeper than {depth} levels, or has a ring")
-        step = walk.join(tree, walk["at"] == tree["taxid"]).select("id", "at", "rank", "parent")
-        found = step.select("id", "at", "rank") if found is None else found.union(step.select("id", "at", "rank"))
-        walk = stored(step.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("at"))).select("id", F.col("parent").alias("at")), "walk")
-        if walk.isEmpty():
+    own = [F.when(F.col("rank") == r, F.col("taxid")).alias(r) for r in ranks]
+    up = F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("jump")
+    asked = ids.select("taxid").distinct()
+    nodes = stored(taxonomy.select("taxid", up, F.lit(1).cast("long").alias("nodes"), *own), "tree")
+    size, reach = nodes.count(), 1
+    while not nodes.where("jump IS NOT NULL").isEmpty():
+        if reach > size:
+            if not nodes.where("jump IS NOT NULL").join(asked, "taxid", "left_semi").isEmpty():
+                raise ValueError("the tree has a ring")
             break
-    return found.groupBy("id").agg(*[F.max(F.when(F.col("rank") == r, F.col("at"))).alias(r) for r in ranks])
+        # many nodes point to the root; Spark splits them, as the left side of a left join
+        ahead = nodes.select(F.col("taxid").alias("jump"), F.col("jump").alias("next"), F.col("nodes").alias("more"), *[F.col(r).alias(f"up_{k}") for k, r in enumerate(ranks)])
+        joined = nodes.join(ahead, "jump", "left")
+        nodes = stored(joined.select("taxid", F.col("next").alias("jump"), (F.col("nodes") + F.coalesce("more", F.lit(0))).alias("nodes"), *[F.greatest(r, f"up_{k}").alias(r) for k, r in enumerate(ranks)]), "tree")
+        reach *= 2
+    found = asked.join(nodes, "taxid")
+    if depth is not None and not found.where(F.col("nodes") > depth).isEmpty():
+        raise ValueError(f"a path of the tree has more than {depth} nodes")
+    return found.select(F.col("taxid").alias("id"), *ranks)
 
 
 def lca_rank(a: str, b: str, ranks: tuple[str, ...] = RANKS) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
+from luminode.operators.scans import running, with_halo
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -21,9 +22,17 @@ def best_per_bin(df: DataFrame, taxon: str, start: str, width: int, order: list[
     return first_of(binned, [taxon, "bin"], order)
 
 
+def _marked(df: DataFrame, ok: Column, taxon: str) -> DataFrame:
+    """df with __ok, and __any: whether the taxon has such a row. Counted apart, so that no task holds a whole taxon."""
+    rows = df.withColumn("__ok", F.coalesce(ok, F.lit(False)))
+    some = rows.where("__ok").select(F.col(taxon).alias("__taxon")).distinct().withColumn("__some", F.lit(True))
+    joined = rows.join(some, rows[taxon].eqNullSafe(some["__taxon"]), "left")
+    return joined.withColumn("__any", F.coalesce("__some", F.lit(False))).drop("__taxon", "__some")
+
+
 def with_fallback(df: DataFrame, ok: Column, taxon: str, order: list[Column], fallback: list[Column], bin: str, names: tuple[str, str]) -> DataFrame:
     """Best qualified row per bin; for a taxon without any, its single best row. Column selection_method tells which."""
-    marked = df.withColumn("__ok", ok).withColumn("__any", F.max(F.col("__ok").cast("int")).over(Window.partitionBy(taxon)) == 1)
+    marked = _marked(df, ok, taxon)
     good = first_of(marked.where("__ok"), [taxon, bin], order).withColumn("selection_method", F.lit(names[0]))
     single = first_of(marked.where("NOT __any"), [taxon], fallback).withColumn("selection_method", F.lit(names[1]))
     return good.unionByName(single).drop("__ok", "__any")
@@ -46,16 +55,14 @@ def adaptive_bins(df: DataFrame, taxon: str, start: str, order: list[Column], wi
 
 def all_specific(df: DataFrame, ok: Column, taxon: str, order: list[Column]) -> DataFrame:
     """All qualified rows of a taxon, else its first row."""
-    marked = df.withColumn("__ok", ok).withColumn("__any", F.max(F.col("__ok").cast("int")).over(Window.partitionBy(taxon)) == 1)
-    rank = F.row_number().over(Window.partitionBy(taxon).orderBy(*order))
-    return marked.withColumn("__rank", rank).where("__ok OR (NOT __any AND __rank = 1)").drop("__ok", "__any", "__rank")
+    marked = _marked(df, ok, taxon)
+    return marked.where("__ok").unionByName(first_of(marked.where("NOT __any"), [taxon], order)).drop("__ok", "__any")
 
 
 def top_n(df: DataFrame, ok: Column, taxon: str, order: list[Column], n: int) -> DataFrame:
     """The first n qualified rows of a taxon, else its first row."""
-    marked = df.withColumn("__ok", ok).withColumn("__any", F.max(F.col("__ok").cast("int")).over(Window.partitionBy(taxon)) == 1)
-    rank = F.row_number().over(Window.partitionBy(taxon).orderBy(F.desc("__ok"), *order))
-    return marked.withColumn("__rank", rank).where((F.col("__ok") & (F.col("__rank") <= n)) | (~F.col("__any") & (F.col("__rank") == 1))).drop("__ok", "__any", "__rank")
+    marked = _marked(df, ok, taxon)
+    return first_of(marked.where("__ok"), [taxon], order, n).unionByName(first_of(marked.where("NOT __any"), [taxon], order)).drop("__ok", "__any")
 
 
 def min_cover(cover: DataFrame, key: str, element: str, choice: str, store, max_rounds: int = 1000) -> DataFrame:
@@ -78,6 +85,41 @@ def min_cover(cover: DataFrame, key: str, element: str, choice: str, store, max_
     return chosen
 
 
+def without_redundant(cover: DataFrame, chosen: DataFrame, key: str, element: str, choice: str, store) -> DataFrame:
+    """The chosen rows without those that the others make up for: the last taken goes first, until none is redundant.
+
+    chosen: key, choice, round, as min_cover gives them. A choice is redundant where each of its
+    elements has another choice; every key drops one in a round.
+    """
+    kept = store(chosen.select(key, choice, "round"))
+    pairs = store(cover.select(key, element, choice).distinct().join(chosen.select(key, choice), [key, choice], "left_semi"))
+    while True:
+        now = pairs.join(kept, [key, choice])
+        times = now.groupBy(key, element).agg(F.count("*").alias("times"))
+        spare = now.join(times, [key, element]).groupBy(key, choice, "round").agg(F.min("times").alias("least")).where("least > 1")
+        gone = store(spare.groupBy(key).agg(F.max_by(choice, "round").alias(choice)))
+        if gone.isEmpty():
+            return kept
+        kept = store(kept.join(gone, [key, choice], "left_anti"))
+
+
+def cover_bound(cover: DataFrame, chosen: DataFrame, key: str, element: str, choice: str) -> DataFrame:
+    """key and lower_bound: no cover of the key is smaller.
+
+    Each element pays an equal share of the greedy choice that first covered it. No choice is paid
+    more than `most` by its elements, so prices over `most` are a solution of the dual problem,
+    whose sum bounds every cover from below.
+    """
+    rows = cover.select(key, element, choice).distinct()
+    first = rows.join(chosen.select(key, choice, "round"), [key, choice]).groupBy(key, element).agg(F.min("round").alias("round"))
+    fresh = first.groupBy(key, "round").agg(F.count("*").alias("fresh"))
+    price = first.join(fresh, [key, "round"]).select(key, element, (1 / F.col("fresh")).alias("price"))
+    paid = rows.join(price, [key, element]).groupBy(key, choice).agg(F.sum("price").alias("paid"))
+    most = paid.groupBy(key).agg(F.max("paid").alias("most"))
+    total = price.groupBy(key).agg(F.sum("price").alias("total"))
+    return total.join(most, key).select(key, F.ceil(F.col("total") / F.col("most") - 1e-9).alias("lower_bound"))
+
+
 def assign_barcodes(taxa: DataFrame, spark, bits: int, order: str = "sequential", taxon: str = "taxon", seed: int = 0) -> DataFrame:
     """A code for each of the first 2^bits - 1 taxa, by string order of their names.
 
@@ -94,8 +136,7 @@ def assign_barcodes(taxa: DataFrame, spark, bits: int, order: str = "sequential"
 
 def cumulative_coverage(df: DataFrame, taxon: str, gain: str, order: list[Column], marks: tuple[int, ...] = (10, 20)) -> DataFrame:
     """Running sum of gains by taxon: at its last row and at each mark (null where it has fewer rows)."""
-    w = Window.partitionBy(taxon).orderBy(*order)
-    run = df.withColumns({"__i": F.row_number().over(w), "__c": F.sum(gain).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    run = running(df, [taxon], order, "__i", {"__c": gain})
     return run.groupBy(taxon).agg(F.max_by("__c", "__i").alias("total"), *[F.max(F.when(F.col("__i") == m, F.col("__c"))).alias(f"at_{m}") for m in marks])
 
 
@@ -129,19 +170,23 @@ def smooth(df: DataFrame, keys: list[str], order: list[Column], value: str, half
     """Running cubic smoothing, clipped to 0..1, of values without nulls.
 
     The first and last `half` rows of a group lie on the cubic fitted to its first or last window;
-    groups smaller than a window have null.
+    groups smaller than a window have null. A long group is smoothed in blocks of rows.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
     size = 2 * half + 1
-    at, n = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(*keys))
-    around = F.collect_list(value).over(w.rowsBetween(-2 * half, 2 * half))
-    rows = df.withColumns({"__at": at, "__n": n, "__around": around})
+    rows, is_own = with_halo(df, keys, order, "__i", 2 * half)
+    whole = df.groupBy(*keys).agg(F.count("*").alias("__n")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    match = rows[keys[0]].eqNullSafe(whole[f"__{keys[0]}"])
+    for k in keys[1:]:
+        match = match & rows[k].eqNullSafe(whole[f"__{k}"])
+    rows = rows.join(whole, match, "left").drop(*[f"__{k}" for k in keys])
+    w = Window.partitionBy(*keys, "__block").orderBy("__i")
+    rows = rows.withColumn("__around", F.collect_list(value).over(w.rowsBetween(-2 * half, 2 * half))).where(is_own).withColumn("__at", F.col("__i") - 1)
     place = F.when(F.col("__at") < half, F.col("__at")).when(F.col("__n") - 1 - F.col("__at") < half, 2 * half - (F.col("__n") - 1 - F.col("__at"))).otherwise(half).cast("int")
     begin = F.col("__at") - place - F.greatest(F.lit(0), F.col("__at") - 2 * half)
     weights = F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in smoothing_table(half)]), place + 1)
     terms = F.zip_with(F.slice("__around", (begin + 1).cast("int"), F.lit(size)), weights, lambda x, k: x * k)
     fitted = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    return rows.withColumn("smoothed", F.when(F.col("__n") >= size, F.greatest(F.lit(0.0), F.least(F.lit(1.0), fitted)))).drop("__at", "__n", "__around")
+    return rows.withColumn("smoothed", F.when(F.col("__n") >= size, F.greatest(F.lit(0.0), F.least(F.lit(1.0), fitted)))).drop("__at", "__n", "__i", "__around", "__own", "__block")
 
 
 def name_rows(df: DataFrame, prefix: str, keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
 from luminode.operators import cells as C
+from luminode.operators import hits as H
 from luminode.operators import joins as J
 from luminode.operators import selection
 from luminode.operators.spectral_index import SpectrumIndex
@@ -228,6 +229,16 @@ def c17_seed_hits(spark, d):
     return h.select("probe_id", "strand", "molecule_id", *[F.col(c).cast("long").alias(c) for c in ("molecule_start", "length", "mch")])
 
 
+@query()
+def c17_gapped_hits(spark, d):
+    """Local alignments of all items with all documents, gaps allowed, at least 30 matches more than they cost."""
+    p = table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), dna("text").alias("seq"))
+    t = table(spark, d, "documents").groupBy(F.col("doc_id").alias("molecule_id")).agg(F.min(dna("text")).alias("seq"))
+    h = H.gapped_hits(p, t, k=_SEED, window=4, least=30)
+    columns = "probe_id, strand, molecule_id, score, length, matches, mismatch, gapopen, probe_start, probe_end, molecule_start, molecule_end, mch"
+    return h.select(*columns.split(", "), rnd("pid").alias("pid"), rnd("qcovhsp").alias("qcovhsp"), rnd("bitscore").alias("bitscore"))
+
+
 TREE = """(SELECT 'r' || r_regionkey AS taxid, 'root' AS parent, 'phylum' AS rank FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'family' FROM nation
  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'species' FROM customer UNION ALL SELECT 'root', NULL, 'superkingdom')"""
 

@@ -9,7 +9,7 @@ from luminode.operators import joins as J
 from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, pixels, query, rnd, spectra, table
 from luminode.plans.q_joins import _BLOCKED, _COS, _MEANS, _REF, references, tree
 from luminode.sources import files
-from luminode.sources.shared import new_path
+from luminode.sources.shared import new_path, stored
 
 
 @query("SELECT p_partkey::VARCHAR AS design_id, p_brand AS sample, p_size AS max_continuous_homology, round(p_retailprice / 10, 4) AS min_tm FROM part")
@@ -74,6 +74,15 @@ def a07_partitioned(spark, d):
     return spark.read.parquet(path).where("l_returnflag = 'A' AND l_linestatus = 'F'").select("l_orderkey", "l_partkey", "l_quantity")
 
 
+@query("SELECT o_orderkey, o_totalprice, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey")
+def a07_bucketed(spark, d):
+    """Two tables in buckets by customer: their join reads bucket by bucket, without an exchange."""
+    names = [new_path(spark, name) for name in ("bucketed_orders", "bucketed_customers")]
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice"), table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
+    left, right = (files.write_bucketed(r, path.rsplit("/", 1)[1].replace("-", "_"), ["k"], 8, path) for r, path in zip(rows, names))
+    return left.join(right.hint("merge"), "k").select("o_orderkey", "o_totalprice", "c_nationkey")
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def a08_csv(spark, d):
     path = new_path(spark, "csv")
@@ -269,3 +278,28 @@ def d54_cluster(spark, d):
     from luminode.operators import models
 
     return models.cluster(table(spark, d, "documents").select("doc_id", dna("text").alias("seq")), "doc_id", "seq", 0.8)
+
+
+def _clusters(spark, d):
+    from luminode.operators import greedy
+
+    seqs = stored(table(spark, d, "documents").select("doc_id", dna("text").alias("seq")), "sequences")
+    return seqs, greedy.greedy_clusters(seqs, "doc_id", "seq", 0.8)
+
+
+@query()
+def d54_greedy_centroids(spark, d):
+    """Clusters around centroids: the longest sequence first, each other one joins the first centroid that is similar enough."""
+    return _clusters(spark, d)[1]
+
+
+@query()
+def d53_cluster_consensus(spark, d):
+    """The consensus of each greedy cluster, its members aligned with the centroid."""
+    from luminode.operators import greedy
+
+    seqs, clusters = _clusters(spark, d)
+    members = seqs.join(clusters, "doc_id").select(F.col("centroid").alias("cluster"), "doc_id", "seq")
+    centres = members.where("doc_id = cluster").dropDuplicates(["cluster"])
+    out = greedy.consensus_aligned(members, centres)
+    return out.select("cluster", "members", F.length("consensus").alias("length"), F.md5("consensus").alias("consensus"))

@@ -301,6 +301,21 @@ def d38_permutation_null(spark, d):
     return out.select("image_id", "code_1", "code_2", "n", *[rnd(c).alias(c) for c in ("null_mean", "null_std", "fold_change")])
 
 
+@query(
+    f"""WITH c AS (SELECT DISTINCT image_id, label, label % 4 AS code FROM {PIXELS}), e AS MATERIALIZED (SELECT * FROM {_EDGES}), d AS (SELECT image_id, label_1, count(*) AS d FROM e GROUP BY ALL),
+g AS (SELECT image_id, sum(d) / 2 AS m, sum(d * (d - 1)) / 2 AS s FROM d GROUP BY 1), z AS (SELECT image_id, code, count(*)::DOUBLE AS k FROM c GROUP BY ALL), t AS (SELECT image_id, sum(k) AS n FROM z GROUP BY 1),
+r AS (SELECT a.image_id, a.code AS code_1, b.code AS code_2, a.k AS a, b.k AS b, n, m, s, a.code = b.code AS same FROM z a JOIN z b ON b.image_id = a.image_id JOIN t ON t.image_id = a.image_id JOIN g ON g.image_id = a.image_id),
+p AS (SELECT *, CASE WHEN same THEN a * (a - 1) ELSE 2 * a * b END / (n * (n - 1)) AS p1, CASE WHEN same THEN a * (a - 1) * (a - 2) ELSE a * b * (a + b - 2) END / (n * (n - 1) * (n - 2)) AS p2,
+  CASE WHEN same THEN a * (a - 1) * (a - 2) * (a - 3) ELSE 4 * a * (a - 1) * b * (b - 1) END / (n * (n - 1) * (n - 2) * (n - 3)) AS p3 FROM r),
+q AS (SELECT *, CASE WHEN same THEN 2 ELSE 1 END * m * p1 AS mean, CASE WHEN same THEN 2 ELSE 1 END * sqrt(greatest(0, m * p1 + 2 * s * p2 + (m * (m - 1) - 2 * s) * p3 - m * p1 * m * p1)) AS std FROM p)
+SELECT image_id, code_1, code_2, coalesce(o.n, 0) AS n, round(mean, 6) AS null_mean, round(std, 6) AS null_std, round((coalesce(o.n, 0) + 1) / (mean + 1), 6) AS fold_change FROM q LEFT JOIN {_NET} o USING (image_id, code_1, code_2)"""
+)
+def d38_permutation_moments(spark, d):
+    """The null model in closed form: no simulation."""
+    out = C.permutation_moments(*_network(spark, d))
+    return out.select("image_id", "code_1", "code_2", "n", *[rnd(c).alias(c) for c in ("null_mean", "null_std", "fold_change")])
+
+
 @query(
     f"""WITH n AS {_NET}, a AS (SELECT code_1, code_2, n / max(n) OVER () AS p FROM n WHERE image_id = 0 AND code_1 <> code_2), b AS (SELECT code_1, code_2, n / max(n) OVER () AS q FROM n WHERE image_id = 1 AND code_1 <> code_2)
 SELECT round(sum((coalesce(p, 0) - coalesce(q, 0)) * (coalesce(p, 0) - coalesce(q, 0))), 6) AS distance FROM a FULL JOIN b USING (code_1, code_2)"""
@@ -336,9 +351,30 @@ def d42_regress(spark, d):
     return r.select("l_suppkey", rnd("slope", 4).alias("slope"), rnd("intercept", 4).alias("intercept"), rnd("r2").alias("r2"), rnd("gross_error", 2).alias("gross_error"))
 
 
-@query()
+@query(
+    """WITH n AS (SELECT user_id, ln(value + 1) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+d AS (SELECT user_id, r, (((i * 48271 + r * 69621 + user_id) * 16807) % 2147483647) % n + 1 AS i FROM n, (SELECT unnest(range(1, 21)) AS r)), m AS (SELECT user_id, r, avg(value) AS m FROM d JOIN n USING (user_id, i) GROUP BY ALL)
+SELECT user_id, round(avg(m), 5) AS mean, round(quantile_cont(m, 0.25), 5) AS q25, round(quantile_cont(m, 0.75), 5) AS q75 FROM m GROUP BY user_id"""
+)
 def d43_bootstrap_mean(spark, d):
-    return C.bootstrap_mean(table(spark, d, "events"), ["user_id"], "value", "event_id", 20)
+    # the draws follow a rule that SQL can repeat; by default they follow a hash
+    draw = ((F.col("i") * 48271 + F.col("replicate") * 69621 + F.col("user_id")) * 16807) % 2147483647
+    rows = table(spark, d, "events").select("user_id", "event_id", F.log(F.col("value") + 1).alias("value"))
+    out = C.bootstrap_mean(rows, ["user_id"], "value", "event_id", 20, draw=draw)
+    return out.select("user_id", *[rnd(c, 5).alias(c) for c in ("mean", "q25", "q75")])
+
+
+@query("SELECT event_type, user_id % 2 AS grp, count(*) AS n, TRUE AS within FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def d31_sketch_quantiles(spark, d):
+    """Quartiles from one sketch per user, merged by type and group: whether their ranks are within two per cent."""
+    e = table(spark, d, "events").select("event_type", "user_id", (F.col("user_id") % 2).alias("grp"), "value")
+    merged = C.sketch_quantiles(C.quantile_sketches(e, ["event_type", "grp", "user_id"], "value"), ["event_type", "grp"])
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    ranks = e.join(merged, ["event_type", "grp"]).groupBy("event_type", "grp", "n").agg(*[F.avg((F.col("value") <= F.col(q)).cast("double")).alias(q) for q in shares])
+    near = F.lit(True)
+    for q, p in shares.items():
+        near = near & (F.abs(F.col(q) - p) <= 0.02 + 1 / F.col("n"))
+    return ranks.select("event_type", "grp", "n", near.alias("within"))
 
 
 @query(
@@ -548,6 +584,32 @@ def e08_min_cover(spark, d):
     return rows.groupBy("key").agg(F.count_distinct("element").alias("elements")).join(covered, "key").join(first, "key").select("key", "elements", "covered", "first_choice", "second_choice")
 
 
+@query(
+    """WITH RECURSIVE s AS (SELECT key, c, list(DISTINCT e) AS es FROM (SELECT l_partkey % 200 AS key, l_linenumber AS e, l_suppkey AS c FROM lineitem) GROUP BY ALL),
+w AS (SELECT key, list(DISTINCT e) AS es FROM (SELECT l_partkey % 200 AS key, l_linenumber AS e FROM lineitem) GROUP BY key),
+g AS (SELECT key, 0 AS round, NULL::BIGINT AS choice, es AS rest FROM w
+  UNION ALL SELECT key, round + 1, b.c, list_filter(rest, lambda x: NOT list_contains(b.es, x)) FROM
+    (SELECT g.key, g.round, g.rest, min(struct_pack(n := -len(list_filter(s.es, lambda x: list_contains(g.rest, x))), c := s.c, es := s.es)) AS b FROM g JOIN s ON s.key = g.key WHERE len(g.rest) > 0 GROUP BY ALL))
+SELECT key, round, choice FROM g WHERE round > 0"""
+)
+def e08_cover_rounds(spark, d):
+    """All choices of the greedy cover, in the order taken."""
+    rows = table(spark, d, "lineitem").select((F.col("l_partkey") % 200).alias("key"), F.col("l_linenumber").alias("element"), F.col("l_suppkey").alias("choice"))
+    return selection.min_cover(rows, "key", "element", "choice", stored).select("key", F.col("round").cast("int").alias("round"), F.col("choice").cast("long").alias("choice"))
+
+
+@query()
+def e08_cover_quality(spark, d):
+    """Suppliers that cover a nation's parts, by region of the order's customer: greedy size, size without redundant ones, and a bound for any cover."""
+    li, o, c = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(F.col("c_nationkey").alias("key"), (F.col("l_partkey") % 97).alias("element"), F.col("l_suppkey").alias("choice"))
+    chosen = selection.min_cover(rows, "key", "element", "choice", stored)
+    kept = selection.without_redundant(rows, chosen, "key", "element", "choice", stored)
+    size = lambda df, name: df.groupBy("key").agg(F.count("*").alias(name))
+    return size(chosen, "greedy_size").join(size(kept, "size"), "key").join(selection.cover_bound(rows, chosen, "key", "element", "choice"), "key")
+
+
 @query("WITH t AS (SELECT DISTINCT p_partkey::VARCHAR AS taxon FROM part ORDER BY 1 LIMIT 127), r AS (SELECT taxon, row_number() OVER (ORDER BY taxon) AS k FROM t), c AS (SELECT n, row_number() OVER (ORDER BY bit_count(n), n) AS k FROM (SELECT unnest(range(1, 128))::BIGINT AS n)) SELECT taxon, n AS number, lpad(bin(n), 7, '0') AS code FROM r JOIN c USING (k)")
 def e09_assign_barcodes(spark, d):
     return selection.assign_barcodes(table(spark, d, "part").select(F.col("p_partkey").alias("taxon")), spark, 7, "simple")

@@ -70,9 +70,24 @@ def read_keyed(spark: SparkSession, path: str, pattern: str, schema: str, key: s
     return spark.read.schema(schema).option("recursiveFileLookup", True).csv(path).withColumn(key, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def write_partitioned(df: DataFrame, path: str, keys: list[str]) -> None:
-    """One folder per key; readers that filter on a key read its folder only."""
-    df.repartition(*keys).write.partitionBy(*keys).parquet(path)
+def write_partitioned(df: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
+    """One folder per key; readers that filter on a key read its folder only.
+
+    Rows are dealt by ranges of key and `order` (by default a hash of the row), so that a key with
+    very many rows is written by many tasks, as many files of its folder.
+    """
+    within = [F.col(c) for c in order] if order else [F.xxhash64(*df.columns)]
+    df.repartitionByRange(*keys, *within).write.partitionBy(*keys).parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str) -> DataFrame:
+    """A table of the session's catalog in buckets by key, sorted: joins and groupings on the key need no exchange.
+
+    Two tables with as many buckets are joined bucket by bucket. path is a folder that all executors share.
+    """
+    dealt = df.repartition(buckets, *keys)  # each bucket is one file
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = True) -> None:
