@@ -78,15 +78,17 @@ TITLES = {
 }
 #: Every full text holds one of these, in whatever case.
 GATES = ("warrant", "lesser")
+#: Signs that may stand before a line in a comment.
+MARKS = r"[ \t#*/;%!<>|-]*"
 COPYRIGHT = r"(copyright|\(c\)|©)"
 #: Statements only: terms, too, have lines that begin with the word copyright or with (c).
 STATEMENT = r"(copyright[ \t]*(\(c\)|©|<|\[|[0-9]{4})|(\(c\)|©)[ \t]*[0-9]{4}|<copyright notice>|all rights reserved\.?[ \t\r]*(?=\n|$))"
 
 
 def canonical(text: Column, left_out: str = COPYRIGHT) -> Column:
-    """Lower case (A-Z), no copyright lines, signs other than letters and digits as one blank, equal spellings made one."""
+    """Lower case (A-Z), no copyright lines (comment marks may precede them), signs other than letters and digits as one blank, equal spellings made one."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.regexp_replace(lower, rf"(^|\n)[ \t]*{left_out}[^\n]*", "\n")
+    plain = F.regexp_replace(lower, rf"(^|\n){MARKS}{left_out}[^\n]*", "\n")
     plain = F.trim(F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     for spelled, usual in EQUIVALENT:
         plain = F.regexp_replace(plain, rf"(?<![^ ]){spelled}(?![^ ])", usual)
@@ -175,7 +177,7 @@ def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
 
     def canonical_sql(x: str) -> str:
         out = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        out = rf"regexp_replace({out}, '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', chr(10), 'g')"
+        out = rf"regexp_replace({out}, '(^|\n){MARKS}(copyright|\(c\)|©)[^\n]*', chr(10), 'g')"
         out = rf"trim(regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
         for spelled, usual in EQUIVALENT:
             # twice: neighbours share their blank

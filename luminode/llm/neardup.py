@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from luminode.llm.common import stored
+from luminode.llm.common import free_names, stored
 from luminode.llm.words import pieces, split
 from luminode.operators.similar import _A, SIMILARITY, link_classes, mix, signatures
 
@@ -59,10 +59,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents of which near_duplicates keeps the id; of rows with equal id and text one stays."""
-    kept = near_duplicates(docs, doc_id, text, width, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    """The documents of which near_duplicates keeps the id; of rows with equal id and text one stays.
+
+    Rows with a null id all stay. All columns are kept as they are, whatever their names; of repeated
+    rows with other columns that differ an arbitrary one stays.
+    """
+    id, body = free_names(docs.columns, "id", "text")
+    kept = near_duplicates(docs, doc_id, text, width, similarity).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id)).distinct()
     named = docs.where(F.col(doc_id).isNotNull())
-    chosen = named.join(kept, named[doc_id].cast("long") == kept["__id"], "left_semi")
-    # repeated rows meet by id and a hash of the text; rows with a null id all stay
-    once = chosen.withColumn("__text", F.xxhash64(text)).dropDuplicates([doc_id, "__text"]).drop("__text")
+    chosen = named.join(kept, named[doc_id].cast("long") == kept[id], "left_semi")
+    # repeated rows meet by id and a hash of the text
+    once = chosen.withColumn(body, F.xxhash64(text)).dropDuplicates([doc_id, body]).drop(body)
     return once.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     Rows with a null id or label are not used; of several labels of a document the lowest counts.
     Log-count ratios cover all of these rows. The linear model takes at most fit_rows of each
-    class, chosen by a hash of the id. Without any label every score is 0.5; with labels of one
+    class, chosen by a hash of the id among the labels whose document is there. Without any label every score is 0.5; with labels of one
     class only, that class.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.min(F.col(label).cast("int")).alias("label"))
@@ -164,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not (n0 and n1):
         return Model(ratios, ratios, 0.0, constant=0.5 if n0 == n1 else float(n1 > 0))
     order = F.xxhash64("__id")
-    chosen = known.where("label = 0").orderBy(order, "__id").limit(fit_rows).union(known.where("label = 1").orderBy(order, "__id").limit(fit_rows))
+    present = known.join(body.select("__id").distinct(), "__id", "left_semi")  # reads the ids only
+    chosen = present.where("label = 0").orderBy(order, "__id").limit(fit_rows).union(present.where("label = 1").orderBy(order, "__id").limit(fit_rows))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -70,6 +70,15 @@ def test_quality_holds_out(spark):
     assert sum(p == y for p, y in held) / len(held) > 0.95
 
 
+def test_quality_with_labels_of_absent_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    absent = spark.range(10_000_000, 10_050_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    plain, mixed = (quality.fit(docs, x.select("doc_id", F.col("quality").cast("int").alias("quality"))) for x in (labels, labels.select("doc_id", "quality").unionByName(absent, allowMissingColumns=True)))
+    # labels without a document take no seat of the fit sample
+    assert np.array_equal(plain.weights, mixed.weights) and plain.bias == mixed.bias
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     scored = quality.score_quality(edge_docs(spark), quality.fit(edge_docs(spark), none)).collect()
@@ -405,7 +414,10 @@ def test_full_licenses(spark):
     wrapped = "\n\n".join(textwrap.fill(p, 70) for p in body.split("\n\n"))
     data = [(k, t) for k, t in enumerate(text.values())]
     data += [(100, f"MIT License\n\n{holder}\n\n{wrapped}"), (101, f"some words\n\n{wrapped}\n\nmore words"), (102, body[:-200]), (103, f"{holder}. All rights reserved.\n\n" + text["BSD-3-Clause"].split("\n", 1)[1])]
+    # the head of a source file, as comments
+    data += [(200 + k, "\n".join(mark + line for line in f"MIT License\n\n{holder}\n\n{wrapped}".split("\n"))) for k, mark in enumerate(("# ", " * ", "// ", ";; "))]
     got = {r.doc_id: (r.whole_license, r["licenses"]) for r in licenses.scan_licenses(spark.createDataFrame(data, DOCS), licenses.known_digests(spark)).collect()}
+    assert [got[200 + k] for k in range(4)] == [("MIT", "MIT")] * 4
     # MPL-1.1 has a line that is a notice of its own
     assert [got[k] for k in range(len(text))] == [(n, n if n != "MPL-1.1" else "LicenseRef-AllRightsReserved,MPL-1.1") for n in text]
     assert (got[100], got[101], got[102], got[103]) == (("MIT", "MIT"), (None, "MIT"), (None, ""), ("BSD-3-Clause", "BSD-3-Clause"))
@@ -444,7 +456,7 @@ def test_pipeline_stages_keep_columns(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     # names that operators add, and those they use inside
-    clash = {"items": "a", "spans": "b", "n_words": "c", "n_hit": "d", "secrets": "e", "__secrets": "f", "__score": "g"}
+    clash = {"items": "a", "spans": "b", "n_words": "c", "n_hit": "d", "secrets": "e", "__secrets": "f", "__score": "g", "__text": "h", "__id": "i"}
     docs = docs.select("*", *[F.lit(v).alias(k) for k, v in clash.items()])
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
