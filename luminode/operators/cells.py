@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from luminode.functions import scalars as S
 from luminode.operators import joins as J
 from luminode.operators.scans import running
+from luminode.sources.shared import stored
 
 
 def measure_regions(pixels: DataFrame, keys: tuple[str, ...] = ("image_id", "label"), intensity: str | None = None, spectrum: str | None = None) -> DataFrame:
@@ -100,13 +102,17 @@ def hamming_histogram(df: DataFrame, keys: list[str], distance: str, bits: int)
 
 
 def sigma_gate(df: DataFrame, image: str, columns: list[str], mode: str = "within") -> DataFrame:
-    """within: rows inside mean +- population deviation of their image in all columns; above: above mean - sample deviation."""
-    w = Window.partitionBy(image)
+    """within: rows inside mean +- population deviation of their image in all columns; above: above mean - sample deviation.
+
+    An image's figures are one row, joined back, so that its rows need not meet in one task.
+    """
+    spread = F.stddev_pop if mode == "within" else F.stddev_samp
+    stats = df.groupBy(F.col(image).alias("__image")).agg(*[f(c).alias(f"__{name}{k}") for k, c in enumerate(columns) for name, f in (("mean", F.avg), ("dev", spread))])
     ok = F.lit(True)
-    for c in columns:
-        mean = F.avg(c).over(w)
-        ok = ok & ((F.abs(F.col(c) - mean) <= F.stddev_pop(c).over(w)) if mode == "within" else (F.col(c) > mean - F.stddev_samp(c).over(w)))
-    return df.withColumn("__ok", ok).where("__ok").drop("__ok")
+    for k, c in enumerate(columns):
+        mean, deviation = F.col(f"__mean{k}"), F.col(f"__dev{k}")
+        ok = ok & ((F.abs(F.col(c) - mean) <= deviation) if mode == "within" else (F.col(c) > mean - deviation))
+    return df.join(stats, df[image].eqNullSafe(stats["__image"]), "left").where(ok).select(*df.columns)
 
 
 def adjacency_counts(edges: DataFrame, cells: DataFrame, image: str = "image_id") -> DataFrame:
@@ -391,6 +397,26 @@ def background_factor(mean: Column, background: Column, factor: Column, step: fl
     return factor - step * F.greatest(F.lit(0), F.ceil(F.round(worst / step, 9)))
 
 
+def remove_background(pixels: DataFrame, images: DataFrame, v: str = "v", mask: str = "mask", channels: int = 32, image: str = "image_id", key: str = "experiment", ts: str = "ts", flag: str = "flag") -> DataFrame:
+    """pixels with the background taken off the leading channels, and the factor used.
+
+    The background of an image is the mean spectrum of the flagged image of its experiment that is
+    nearest in time, over pixels with mask 1. Its factor starts at background_ratio and is lowered
+    until the image's own mean stays above the floor in every leading channel. Images of experiments
+    without a flagged one stay as they are, with a null factor.
+    """
+    ratio = background_ratio(pixels, images, v, mask, channels, image, key, ts, flag).withColumnRenamed("factor", "start")
+    means = stored(mean_array(pixels.where(F.col(mask) == 1), [image], v), "means")
+    own = means.select(image, F.col(v).alias("__mean"))
+    background = means.select(F.col(image).alias("nearest_id"), F.col(v).alias("__background"))
+    leading = lambda c: F.slice(c, 1, channels)
+    factors = ratio.join(own, image).join(background, "nearest_id")
+    factors = factors.select(image, "__background", background_factor(leading("__mean"), leading("__background"), F.col("start")).alias("factor"))
+    # one row per image: Spark splits a large image, as the left side of a left join
+    joined = pixels.join(factors, image, "left")
+    return joined.withColumn(v, F.when(F.col("factor").isNull(), F.col(v)).otherwise(S.subtract_background(v, "__background", "factor", channels))).drop("__background")
+
+
 def average_frames(pixels: DataFrame, value: str = "v") -> DataFrame:
     """Mean of each place over frames, divided by the largest mean."""
     mean = pixels.groupBy("x", "y").agg(F.avg(value).alias("m"))

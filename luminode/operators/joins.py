@@ -14,6 +14,8 @@ from luminode.sources.shared import stored
 
 #: Positions that meet in one bucket of an overlap join.
 BUCKET = 64
+#: Cells of a square that one task compares with their neighbours.
+CROWD = 2000
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
 
 
@@ -121,14 +123,21 @@ def _grid(df: DataFrame, size: float, x: str, y: str) -> DataFrame:
 def pairs_within(cells: DataFrame, radius: float, keys: tuple[str, ...] = ("image_id", "code"), id: str = "cell", x: str = "x", y: str = "y") -> DataFrame:
     """Pairs (id_1 < id_2) with equal keys at most `radius` apart, and their distance.
 
-    Cells meet by squares as wide as the radius and the eight around them.
+    Cells meet by squares as wide as the radius and the eight around them. The cells of a square
+    with more than CROWD are dealt to several tasks, to each of which their neighbours come.
     """
     a = _grid(cells, radius, x, y).select(*keys, F.col(id).alias("id_1"), F.col(x).alias("x_1"), F.col(y).alias("y_1"), "gx", "gy")
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     b = a.select(*keys, F.col("id_1").alias("id_2"), F.col("x_1").alias("x_2"), F.col("y_1").alias("y_2"), "gx", "gy", near.alias("n"))
     b = b.withColumns({"gx": F.col("gx") + F.col("n.i"), "gy": F.col("gy") + F.col("n.j")}).drop("n")
+    square = [*keys, "gx", "gy"]
+    crowded = a.groupBy(*square).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*square, F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    crowded = stored(crowded, "crowded")
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(crowded, square, "left").withColumn("part", F.pmod(F.xxhash64("id_1"), parts).cast("int")).drop("parts")
+    b = b.join(crowded, square, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     distance = F.sqrt((F.col("x_1") - F.col("x_2")) * (F.col("x_1") - F.col("x_2")) + (F.col("y_1") - F.col("y_2")) * (F.col("y_1") - F.col("y_2")))
-    joined = a.join(b, [*keys, "gx", "gy"]).where("id_1 < id_2").withColumn("distance", distance)
+    joined = a.join(b, [*square, "part"]).where("id_1 < id_2").withColumn("distance", distance)
     return joined.where(F.col("distance") <= radius).select(*keys, "id_1", "id_2", "x_1", "y_1", "x_2", "y_2", "distance")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,10 +43,13 @@ def with_fallback(df: DataFrame, ok: Column, taxon: str, order: list[Column], fa
 def adaptive_bins(df: DataFrame, taxon: str, start: str, order: list[Column], widths: tuple[int, ...] = (100, 80, 60, 40, 20), least: int = 15, step: int = 20) -> DataFrame:
     """best_per_bin at the width one step above the first that gives more than `least` rows, else at the last.
 
-    All widths are tried at once: each row meets each width, and each taxon keeps one of them.
+    All widths are tried at once, on the best row of each stretch of bases that no bin of any width
+    divides; each taxon keeps one of them.
     """
     tried = (widths[0] + step, *widths)
-    rows = df.withColumn("bin_width", F.explode(F.array(*map(F.lit, tried)))).withColumn("bin", F.floor(F.col(start) / F.col("bin_width")))
+    unit = math.gcd(*tried)
+    finest = first_of(df.withColumn("__unit", F.floor(F.col(start) / unit)), [taxon, "__unit"], order).drop("__unit")
+    rows = finest.withColumn("bin_width", F.explode(F.array(*map(F.lit, tried)))).withColumn("bin", F.floor(F.col(start) / F.col("bin_width")))
     rows = rows.where(F.col("bin") < F.floor(F.lit(1500) / F.col("bin_width")))
     best = first_of(rows, [taxon, "bin_width", "bin"], order)
     n = best.groupBy(taxon, "bin_width").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
 from luminode.operators import probes
-from luminode.plans.base import SPECTRA, dna, dna_sql, query, rnd, spectra, table
+from luminode.plans.base import SPECTRA, dna, dna_sql, documents, query, rnd, spectra, table
 
 
 @query("SELECT page_id, replace(url, '/', '_') AS clean FROM pages")
@@ -21,7 +21,7 @@ def b02_first_taxid(spark, d):
 
 @query(f"SELECT doc_id, md5(CASE WHEN doc_id % 7 < 3 THEN s ELSE reverse(translate(s, 'ACGTN', 'TGCAN')) END) AS oriented FROM (SELECT doc_id, {dna_sql('text')} AS s FROM documents)")
 def b03_orient(spark, d):
-    seqs = table(spark, d, "documents").select("doc_id", dna("text").alias("s"), (F.col("doc_id") % 7).alias("sstart"), F.lit(3).alias("send"))
+    seqs = documents(spark, d).select("doc_id", dna("text").alias("s"), (F.col("doc_id") % 7).alias("sstart"), F.lit(3).alias("send"))
     return seqs.select("doc_id", F.md5(S.orient("s", "sstart", "send")).alias("oriented"))
 
 
@@ -35,7 +35,7 @@ m AS (SELECT doc_id, len(q) AS n, list_filter(range(len(q)), lambda i: q[i + 1]
 
 def pairs(spark, d):
     """Neighbouring documents as aligned pairs of their common length."""
-    s = table(spark, d, "documents").groupBy("doc_id").agg(F.min(dna("text")).alias("s"))
+    s = documents(spark, d).groupBy("doc_id").agg(F.min(dna("text")).alias("s"))
     both = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t")), "doc_id")
     n = F.least(F.length("s"), F.length("t"))
     return both.where(n > 0).select("doc_id", F.left("s", n).alias("q"), F.left("t", n).alias("t"))
@@ -57,28 +57,31 @@ def b05_longest_run(spark, d):
 
 @query(f"SELECT doc_id, length(s) - length(translate(s, 'GCgc', '')) AS gc FROM (SELECT doc_id, {dna_sql('text')} AS s FROM documents)")
 def b06_gc_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.gc_count(dna("text")).cast("long").alias("gc"))
+    return documents(spark, d).select("doc_id", S.gc_count(dna("text")).cast("long").alias("gc"))
 
 
-def _tm_sql(rows: str) -> str:
+_TM = "1 / (1 / k + (4.29 * gc - 3.95) * 1e-5 * ln(0.39) + 9.40e-6 * ln(0.39) * ln(0.39)) - 273.15"
+
+
+def _tm_sql(rows: str, answer: str = f"SELECT id, round({_TM}, 6) + 0.0 AS tm FROM z") -> str:
     pairs_ = ", ".join(f"('{k}', {h}, {s})" for k, (h, s) in S.STEPS.items())
     return f"""
 WITH nn AS (SELECT * FROM (VALUES {pairs_}) t(p, h, s)), w AS ({rows}),
 x AS (SELECT id, any_value(seq) AS seq, sum(nn.h) AS h, sum(nn.s) AS s FROM (SELECT id, seq, unnest(range(1, length(seq))) AS i FROM w) e JOIN nn ON nn.p = substr(seq, i, 2) GROUP BY id),
 y AS (SELECT id, seq, h + a * 2.3 + (2 - a) * 0.1 AS h, s + a * 4.1 + (2 - a) * -2.8 AS s FROM (SELECT *, (left(seq, 1) IN ('A', 'T'))::INT + (right(seq, 1) IN ('A', 'T'))::INT AS a FROM x)),
 z AS (SELECT id, seq, 1000 * h / (s + 1.987 * ln((5.0 * 15 - 0.5) * 1e-9)) AS k, (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) AS gc FROM y)
-SELECT id, round(1 / (1 / k + (4.29 * gc - 3.95) * 1e-5 * ln(0.39) + 9.40e-6 * ln(0.39) * ln(0.39)) - 273.15, 6) + 0.0 AS tm FROM z"""
+{answer}"""
 
 
 @query(_tm_sql(f"SELECT doc_id AS id, {dna_sql('text')} AS seq FROM documents WHERE length({dna_sql('text')}) > 1"))
 def b07_melting_temperature(spark, d):
-    seqs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), dna("text").alias("seq")).where("length(seq) > 1")
+    seqs = documents(spark, d).select(F.col("doc_id").alias("id"), dna("text").alias("seq")).where("length(seq) > 1")
     return seqs.select("id", rnd(S.melting_temperature("seq")).alias("tm"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(s, 'GGGG')) + len(regexp_extract_all(s, 'GGGGG')) AS quad FROM (SELECT doc_id, {dna_sql('text')} AS s FROM documents)")
 def b08_quad_g(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.quad_g(dna("text")).cast("long").alias("quad"))
+    return documents(spark, d).select("doc_id", S.quad_g(dna("text")).cast("long").alias("quad"))
 
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_retailprice BETWEEN 920 AND 980 AND p_size >= 20")
@@ -98,13 +101,14 @@ def b11_position_bins(spark, d):
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id, {dna_sql('text')} AS s FROM documents), w AS (SELECT doc_id, s, doc_id % 5 AS st, 20 AS ln FROM s WHERE length(s) > 25)
+    f"""WITH s AS (SELECT doc_id, {dna_sql('text')} AS s FROM documents), w AS (SELECT doc_id, s, unnest(range(0, length(s) - 19, 20)) AS st, 20 AS ln FROM s)
 SELECT DISTINCT doc_id, substr(s, greatest(st - 3, 0)::BIGINT + 1, least(st, 3)::BIGINT) AS lft, substr(s, st + ln + 1, 3) AS rgt,
   substr(s, greatest(st - 3, 0)::BIGINT + 1, least(st, 3)::BIGINT) || reverse(substr(s, st + 1, ln)) || substr(s, st + ln + 1, 3) AS spaced FROM w"""
 )
 def b12_flanks(spark, d):
-    s = table(spark, d, "documents").select("doc_id", dna("text").alias("s")).where("length(s) > 25")
-    s = s.select("doc_id", "s", (F.col("doc_id") % 5).cast("int").alias("st"), F.lit(20).alias("ln"))
+    """The flanks of all 20-letter windows of every text, laid end to end."""
+    s = documents(spark, d).select("doc_id", dna("text").alias("s")).where("length(s) >= 20")
+    s = s.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.length("s") - 20, F.lit(20))).alias("st"), F.lit(20).alias("ln"))
     return probes.add_flanks(s, "doc_id", "s", "st", "ln").select("doc_id", F.col("left_flank").alias("lft"), F.col("right_flank").alias("rgt"), "spaced")
 
 
@@ -255,8 +259,9 @@ def b33_distances(spark, d):
 
 @query(
     _tm_sql(
-        f"SELECT item_id || '_' || st || '_' || ln AS id, substr(s, st + 1, ln) AS seq FROM (SELECT item_id, s, st, unnest([18, 19, 20, 21, 22, 23]) AS ln FROM (SELECT item_id, s, unnest(range(0, length(s))) AS st FROM (SELECT item_id, {dna_sql('text')} AS s FROM benchmark))) WHERE st + ln <= length(s)"
-    ).replace("SELECT id, round(", "SELECT id, tm, quality FROM (SELECT *, round(abs(tm - 60) + abs(length(seq) - 20), 6) AS quality, gc * length(seq) AS g FROM (SELECT id, seq, gc, round(").replace(" AS tm FROM z", " AS tm FROM z)) WHERE tm BETWEEN 55 AND 65 AND g >= 8")
+        f"SELECT item_id || '_' || st || '_' || ln AS id, substr(s, st + 1, ln) AS seq FROM (SELECT item_id, s, st, unnest([18, 19, 20, 21, 22, 23]) AS ln FROM (SELECT item_id, s, unnest(range(0, length(s))) AS st FROM (SELECT item_id, {dna_sql('text')} AS s FROM benchmark))) WHERE st + ln <= length(s)",
+        f"SELECT id, tm, round(abs(tm - 60) + abs(n - 20), 6) AS quality FROM (SELECT id, length(seq) AS n, gc, round({_TM}, 6) + 0.0 AS tm FROM z) WHERE tm BETWEEN 55 AND 65 AND gc * n >= 8",
+    )
 )
 def b34_candidates(spark, d):
     seqs = table(spark, d, "benchmark").select(F.col("item_id").alias("target"), dna("text").alias("seq"))
@@ -269,7 +274,14 @@ def b35_probe_names(spark, d):
     return table(spark, d, "part").select("p_partkey", S.probe_name(F.upper("p_brand"), F.length("p_name"), "p_partkey").alias("probe_id"))
 
 
-@query(f"SELECT vec_id, list_transform(range(1, 64), lambda k: round(v[k + 1] - v[k], 6) + 0.0) AS diff, list_concat({', '.join(f'list_transform(range({lo}, {hi + 1}), lambda k: round(list_sum(v[{lo}:k]), 6))' for lo, hi in BANDS)}) AS cum FROM {SPECTRA}".replace("list_concat(", "list_concat(list_concat(", 1).replace(", list_transform(range(44", "), list_concat(list_transform(range(44", 1).replace(") AS cum", ")) AS cum"))
+def _run_sql(low: int, high: int) -> str:
+    return f"list_transform(range({low}, {high + 1}), lambda k: round(list_sum(v[{low}:k]), 6))"
+
+
+_CUM = f"list_concat(list_concat({_run_sql(*BANDS[0])}, {_run_sql(*BANDS[1])}), list_concat({_run_sql(*BANDS[2])}, {_run_sql(*BANDS[3])}))"
+
+
+@query(f"SELECT vec_id, list_transform(range(1, 64), lambda k: round(v[k + 1] - v[k], 6) + 0.0) AS diff, {_CUM} AS cum FROM {SPECTRA}")
 def b36_channel_steps(spark, d):
     r = lambda a: F.transform(a, lambda x: F.round(x, 6) + F.lit(0.0))
     return spectra(spark, d).select("vec_id", r(S.channel_differences("v")).alias("diff"), r(S.band_sums("v")).alias("cum"))

@@ -10,7 +10,7 @@ from luminode.operators import hits as H
 from luminode.operators import joins as J
 from luminode.operators import selection
 from luminode.operators.spectral_index import SpectrumIndex
-from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, pixels, query, rnd, spectra, table
+from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, documents, pixels, query, rnd, spectra, table
 from luminode.plans.q_functions import GATE, GATE_SQL, THRESHOLDS
 
 
@@ -224,7 +224,7 @@ SELECT probe_id, strand, molecule_id, st AS molecule_start, n AS length,
 )
 def c17_seed_hits(spark, d):
     p = table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), dna("text").alias("seq"))
-    t = table(spark, d, "documents").groupBy(F.col("doc_id").alias("molecule_id")).agg(F.min(dna("text")).alias("seq"))
+    t = documents(spark, d).groupBy(F.col("doc_id").alias("molecule_id")).agg(F.min(dna("text")).alias("seq"))
     h = J.seed_hits(p, t, _SEED)
     return h.select("probe_id", "strand", "molecule_id", *[F.col(c).cast("long").alias(c) for c in ("molecule_start", "length", "mch")])
 
@@ -233,7 +233,7 @@ def c17_seed_hits(spark, d):
 def c17_gapped_hits(spark, d):
     """Local alignments of all items with all documents, gaps allowed, at least 30 matches more than they cost."""
     p = table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), dna("text").alias("seq"))
-    t = table(spark, d, "documents").groupBy(F.col("doc_id").alias("molecule_id")).agg(F.min(dna("text")).alias("seq"))
+    t = documents(spark, d).groupBy(F.col("doc_id").alias("molecule_id")).agg(F.min(dna("text")).alias("seq"))
     h = H.gapped_hits(p, t, k=_SEED, window=4, least=30)
     columns = "probe_id, strand, molecule_id, score, length, matches, mismatch, gapopen, probe_start, probe_end, molecule_start, molecule_end, mch"
     return h.select(*columns.split(", "), rnd("pid").alias("pid"), rnd("qcovhsp").alias("qcovhsp"), rnd("bitscore").alias("bitscore"))

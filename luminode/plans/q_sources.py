@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
 from luminode.operators import joins as J
-from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, pixels, query, rnd, spectra, table
+from luminode.plans.base import CELLS, PIXELS, SPECTRA, cells, dna, dna_sql, documents, pixels, query, rnd, spectra, table
 from luminode.plans.q_joins import _BLOCKED, _COS, _MEANS, _REF, references, tree
 from luminode.sources import files
 from luminode.sources.shared import new_path, stored
@@ -27,10 +27,19 @@ _SEQS = f"(SELECT 'm' || doc_id AS molecule_id, {dna_sql('text')} AS seq FROM do
 @query(f"SELECT molecule_id, length(seq) AS n, md5(seq) AS digest FROM {_SEQS}")
 def a02_a09_fasta(spark, d):
     path = new_path(spark, "fasta")
-    files.write_fasta(table(spark, d, "documents").select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("molecule_id"), dna("text").alias("seq")), path)
+    files.write_fasta(documents(spark, d).select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("molecule_id"), dna("text").alias("seq")), path)
     return files.read_fasta(spark, path).select("molecule_id", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
 
 
+@query(f"SELECT md5(seq) AS digest, count(DISTINCT lang) AS n FROM (SELECT coalesce(lang, '') AS lang, {dna_sql('text')} AS seq FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+def a09_distinct_by(spark, d):
+    """Distinct sequences of each language, a folder for each: how many languages have a sequence."""
+    path = new_path(spark, "fasta")
+    docs = documents(spark, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("molecule_id"), dna("text").alias("seq"), "lang")
+    files.write_fasta(docs, path, by=("lang",), distinct=True)
+    return files.read_fasta(spark, path).groupBy(F.md5("seq").alias("digest")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT l_partkey::VARCHAR AS molecule_id, l_orderkey::VARCHAR AS reference_id, l_discount AS pid, l_linenumber AS length, l_tax AS evalue, l_suppkey || ';' || l_linenumber AS staxids FROM lineitem")
 def a03_hits(spark, d):
     path = new_path(spark, "hits")
@@ -165,7 +174,7 @@ def u02_row_function(spark, d):
     """The hook for users' row functions with a declared result."""
     from luminode.operators import models
 
-    rows = table(spark, d, "documents").select("doc_id", dna("text").alias("seq"))
+    rows = documents(spark, d).select("doc_id", dna("text").alias("seq"))
     return models.apply_rows(rows, "gc", "long", lambda seq: seq.str.count("[GC]"), "seq").select("doc_id", "gc")
 
 
@@ -188,21 +197,21 @@ def _features(spark, d):
 def u04_forest(spark, d):
     from luminode.operators import models
 
-    return models.classify(models.train(_features(spark, d), "label", "v", "forest"), _features(spark, d), "v").select("vec_id", "label", "prediction")
+    return models.cross_classify(_features(spark, d), "vec_id", "label", "v", "forest").select("vec_id", "label", "prediction")
 
 
 @query()
 def u04_linear_margin(spark, d):
     from luminode.operators import models
 
-    return models.classify(models.train(_features(spark, d), "label", "v", "margin"), _features(spark, d), "v").select("vec_id", "label", "prediction")
+    return models.cross_classify(_features(spark, d), "vec_id", "label", "v", "margin").select("vec_id", "label", "prediction")
 
 
 @query()
 def u06_class_probability(spark, d):
     from luminode.operators import models
 
-    return models.probability_summary(models.classify(models.train(_features(spark, d), "label", "v", "forest"), _features(spark, d), "v"), ["label"])
+    return models.probability_summary(models.cross_classify(_features(spark, d), "vec_id", "label", "v", "forest"), ["label"])
 
 
 @query()
@@ -210,7 +219,7 @@ def u06_probability_profile(spark, d):
     """Class probability against a cell's largest intensity."""
     from luminode.operators import models
 
-    rows = models.classify(models.train(_features(spark, d), "label", "v", "forest"), _features(spark, d), "v")
+    rows = models.cross_classify(_features(spark, d), "vec_id", "label", "v", "forest")
     return models.probability_profile(rows.withColumn("max_intensity", F.array_max("v")), "max_intensity", 0.02)
 
 
@@ -257,6 +266,20 @@ def s02_running_diversity(spark, d):
     return last.select("user_id", F.col("s.richness").cast("int").alias("richness"), rnd("s.shannon").alias("shannon"), rnd("s.inverse_simpson").alias("inverse_simpson"))
 
 
+@query(
+    """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c)
+SELECT user_id, sum(n)::BIGINT AS n, count(*)::INT AS richness, round(-sum(p * ln(p)), 6) + 0.0 AS shannon, round(1 / sum(p * p), 6) AS inverse_simpson FROM p GROUP BY user_id"""
+)
+def s02_diversity_by_key(spark, d):
+    """Running diversity from a state by key; each key's last row."""
+    from luminode.streaming import incremental
+
+    path = new_path(spark, "arriving_events")
+    table(spark, d, "events").select("user_id", "event_type").repartition(4).write.parquet(path)
+    changes = incremental.diversity_by_key(spark, path, ["user_id"], "event_type", new_path(spark, "diversity_state"), files_per_batch=2)
+    return incremental.last_of(changes, ["user_id"]).select("user_id", "n", "richness", rnd("shannon").alias("shannon"), rnd("inverse_simpson").alias("inverse_simpson"))
+
+
 @query(
     f"""WITH r AS MATERIALIZED (SELECT * FROM {_REF} WHERE replicate = 0), n AS (SELECT vec_id, code, {_COS} AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY round({_COS}, 9), code) AS k FROM {_BLOCKED} JOIN r USING (f))
 SELECT s.vec_id, coalesce(code, (SELECT min(code) FROM r)) AS code, round(round(coalesce(dist, 1.0), 9), 6) + 0.0 AS distance FROM {SPECTRA} s LEFT JOIN n ON n.vec_id = s.vec_id AND k = 1"""
@@ -277,13 +300,13 @@ def s01_classify_stream(spark, d):
 def d54_cluster(spark, d):
     from luminode.operators import models
 
-    return models.cluster(table(spark, d, "documents").select("doc_id", dna("text").alias("seq")), "doc_id", "seq", 0.8)
+    return models.cluster(documents(spark, d).select("doc_id", dna("text").alias("seq")), "doc_id", "seq", 0.8)
 
 
 def _clusters(spark, d):
     from luminode.operators import greedy
 
-    seqs = stored(table(spark, d, "documents").select("doc_id", dna("text").alias("seq")), "sequences")
+    seqs = stored(documents(spark, d).select("doc_id", dna("text").alias("seq")), "sequences")
     return seqs, greedy.greedy_clusters(seqs, "doc_id", "seq", 0.8)
 
 

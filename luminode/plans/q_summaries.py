@@ -8,7 +8,7 @@ from luminode.functions import scalars as S
 from luminode.operators import cells as C
 from luminode.operators import joins as J
 from luminode.operators import probes, selection, summaries
-from luminode.plans.base import CELLS, HITS, PIXELS, SPECTRA, cells, dna, dna_sql, hits, pixels, query, rnd, spectra, table
+from luminode.plans.base import CELLS, HITS, PIXELS, SPECTRA, cells, dna, dna_sql, documents, hits, pixels, query, rnd, spectra, table
 from luminode.plans.q_joins import _EDGES, POINTS, points
 from luminode.sources.shared import stored
 
@@ -266,6 +266,11 @@ def d35_sigma_gate(spark, d):
     return C.sigma_gate(table(spark, d, "lineitem"), "l_suppkey", ["l_quantity", "l_linenumber"]).groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
+@query("SELECT l_suppkey, count(*) AS n FROM (SELECT l_suppkey, l_quantity, l_linenumber, avg(l_quantity) OVER w AS a, stddev_samp(l_quantity) OVER w AS s, avg(l_linenumber) OVER w AS b, stddev_samp(l_linenumber) OVER w AS t FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)) WHERE l_quantity > a - s AND l_linenumber > b - t GROUP BY 1")
+def d35_sigma_above(spark, d):
+    return C.sigma_gate(table(spark, d, "lineitem"), "l_suppkey", ["l_quantity", "l_linenumber"], "above").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
 _NET = f"(SELECT image_id, label_1 % 4 AS code_1, label_2 % 4 AS code_2, count(*) AS n FROM {_EDGES} GROUP BY ALL)"
 
 
@@ -325,6 +330,15 @@ def d39_network_distance(spark, d):
     return C.network_distance(n.where("image_id = 0"), n.where("image_id = 1")).select(rnd("distance").alias("distance"))
 
 
+@query(
+    f"""WITH n AS {_NET}, a AS (SELECT code_1, code_2, log10(n + 1) AS p FROM n WHERE image_id = 0 AND code_1 <> code_2), b AS (SELECT code_1, code_2, log10(n + 1) AS q FROM n WHERE image_id = 1 AND code_1 <> code_2)
+SELECT round(sum((coalesce(p, 0) - coalesce(q, 0)) * (coalesce(p, 0) - coalesce(q, 0))), 6) AS distance FROM a FULL JOIN b USING (code_1, code_2)"""
+)
+def d39_network_distance_log(spark, d):
+    n = C.adjacency_counts(*_network(spark, d))
+    return C.network_distance(n.where("image_id = 0"), n.where("image_id = 1"), log=True).select(rnd("distance").alias("distance"))
+
+
 @query(
     f"""WITH s AS (SELECT event_type, count(n) FILTER (grp = 0) AS a, count(n) FILTER (grp = 1) AS b, avg(n) FILTER (grp = 0) AS ma, avg(n) FILTER (grp = 1) AS mb, var_samp(n) FILTER (grp = 0) AS va, var_samp(n) FILTER (grp = 1) AS vb FROM {_TWO} GROUP BY 1)
 SELECT event_type, a + b - 2 AS df, round((ma - mb) / sqrt(((a - 1) * va + (b - 1) * vb) / (a + b - 2) * (1 / a + 1 / b)), 6) AS t, round(ma / mb, 6) AS fold_change FROM s"""
@@ -334,9 +348,16 @@ def d40_pair_ttest(spark, d):
     return out.select("event_type", "df", rnd("t").alias("t"), rnd("fold_change").alias("fold_change"))
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT event_type, count(n) FILTER (grp = 0) AS a, count(n) FILTER (grp = 1) AS b, avg(n) FILTER (grp = 0) AS ma, avg(n) FILTER (grp = 1) AS mb, var_samp(n) FILTER (grp = 0) AS va, var_samp(n) FILTER (grp = 1) AS vb FROM {_TWO} GROUP BY 1),
+t AS (SELECT event_type, (a + b - 2)::DOUBLE AS df, abs((ma - mb) / sqrt(((a - 1) * va + (b - 1) * vb) / (a + b - 2) * (1 / a + 1 / b))) AS t FROM s),
+p AS (SELECT event_type, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (t / 4000) / 3 *
+  list_sum(list_transform(range(4001), lambda k: CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (k * t / 4000) * (k * t / 4000) / df, -(df + 1) / 2)))) AS p FROM t)
+SELECT event_type, round(p, 6) + 0.0 AS p_value, p < 0.05 / (SELECT count(*) FROM p) AS significant FROM p"""
+)
 def d40_pair_ttest_p_values(spark, d):
-    return C.pair_ttest(_two(spark, d), ["event_type"], "grp", "n", (0, 1)).select("event_type", "p_value", "significant")
+    """The tail probability against the density summed by Simpson's rule."""
+    return C.pair_ttest(_two(spark, d), ["event_type"], "grp", "n", (0, 1)).select("event_type", rnd("p_value").alias("p_value"), "significant")
 
 
 @query("WITH c AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY ALL) SELECT a.event_type AS i, b.event_type AS j, round(corr(a.v, b.v), 6) + 0.0 AS r, count(*) AS n FROM c a JOIN c b USING (user_id) GROUP BY ALL")
@@ -398,6 +419,17 @@ def d45_beta_diversity(spark, d):
     return C.beta_diversity(cells(spark, d), points(spark, d), [10, 40]).withColumn("beta", rnd("beta"))
 
 
+@query(
+    f"""WITH r AS (SELECT image_id, point_id, code, row_number() OVER (PARTITION BY image_id, point_id ORDER BY sqrt((x - px) * (x - px) + (y - py) * (y - py)), cell) AS r FROM {POINTS} JOIN {CELLS} USING (image_id)),
+c AS (SELECT image_id, point_id, s AS n_cell, code, count(*) AS n FROM r JOIN (SELECT unnest([10, 40])::INT AS s) ON r <= s GROUP BY ALL),
+a AS (SELECT image_id, point_id, n_cell, -sum(p * ln(p)) AS alpha FROM (SELECT *, n / sum(n) OVER (PARTITION BY image_id, point_id, n_cell) AS p FROM c) GROUP BY ALL),
+g AS (SELECT image_id, -sum(p * ln(p)) AS gamma FROM (SELECT *, n / sum(n) OVER (PARTITION BY image_id) AS p FROM (SELECT image_id, code, count(*) AS n FROM {CELLS} GROUP BY ALL)) GROUP BY 1)
+SELECT image_id, n_cell, round(avg(CASE WHEN alpha > 0 THEN gamma / alpha END), 6) AS beta FROM a JOIN g USING (image_id) GROUP BY ALL"""
+)
+def d45_beta_mean_of_ratios(spark, d):
+    return C.beta_diversity(cells(spark, d), points(spark, d), [10, 40], mode="mean_of_ratios").withColumn("beta", rnd("beta"))
+
+
 @query(
     f"""WITH r AS (SELECT image_id, point_id, code, x, y, cell % 5 + 1 AS area, row_number() OVER (PARTITION BY image_id, point_id ORDER BY sqrt((x - px) * (x - px) + (y - py) * (y - py)), cell) AS r FROM {POINTS} JOIN {CELLS} USING (image_id)),
 k AS (SELECT * FROM r WHERE r <= 25), c AS (SELECT point_id, code, count(*) AS n FROM k GROUP BY ALL), m AS (SELECT point_id, sum(x * area) / sum(area) AS cx, sum(y * area) / sum(area) AS cy FROM k GROUP BY 1),
@@ -458,17 +490,35 @@ def d50_background_ratio(spark, d):
     return C.background_ratio(s, images).withColumn("factor", rnd("factor"))
 
 
+@query(
+    f"""WITH q AS (SELECT vec_id, vec_id // 50 AS image_id, v, vec_id % 3 <> 0 AS mask FROM {SPECTRA}), l AS (SELECT image_id, avg(top) FILTER (top > 0) AS level FROM (SELECT image_id, CASE WHEN mask THEN list_max(v[1:32]) ELSE 0 END AS top FROM q) GROUP BY 1),
+s AS (SELECT DISTINCT image_id, image_id // 20 AS experiment, (image_id * 37) % 101 AS ts, image_id % 4 = 1 AS flag FROM q),
+n AS (SELECT a.image_id, a.flag, b.image_id AS nearest_id, row_number() OVER (PARTITION BY a.image_id ORDER BY abs(a.ts - b.ts), b.ts) AS r FROM s a JOIN s b ON a.experiment = b.experiment AND b.flag),
+f AS (SELECT n.image_id, nearest_id, CASE WHEN n.flag THEN 1 ELSE l.level / o.level END AS start FROM n JOIN l ON l.image_id = n.image_id JOIN l o ON o.image_id = nearest_id WHERE r = 1),
+m AS (SELECT image_id, k, avg(v[k]) AS m FROM (SELECT image_id, v, unnest(range(1, 33)) AS k FROM q WHERE mask) GROUP BY ALL), b AS (SELECT image_id, list(m ORDER BY k) AS b FROM m GROUP BY image_id),
+g AS (SELECT f.image_id, nearest_id, start - 0.01 * greatest(0, ceil(round(coalesce(max(CASE WHEN o.m > 0 THEN (start * o.m - m.m - 0.005) / o.m END), 0) / 0.01, 9))) AS factor FROM f JOIN m ON m.image_id = f.image_id JOIN m o ON o.image_id = nearest_id AND o.k = m.k GROUP BY f.image_id, nearest_id, start)
+SELECT vec_id, round(factor, 6) AS factor, list_transform(range(1, 65), lambda k: round(CASE WHEN k <= 32 AND factor IS NOT NULL THEN v[k] - factor * b[k] ELSE v[k] END, 6) + 0.0) AS n FROM q LEFT JOIN g ON g.image_id = q.image_id LEFT JOIN b ON b.image_id = nearest_id"""
+)
+def d50_b22_remove_background(spark, d):
+    """Ratio, factor and subtraction as one flow over all spectra."""
+    s = spectra(spark, d).select("vec_id", F.floor(F.col("vec_id") / 50).alias("image_id"), "v", (F.col("vec_id") % 3 != 0).cast("int").alias("mask"))
+    k = F.col("image_id")
+    images = s.select("image_id").distinct().select("image_id", F.floor(k / 20).alias("experiment"), (k * 37 % 101).alias("ts"), (k % 4 == 1).cast("int").alias("flag"))
+    return C.remove_background(s, images).select("vec_id", rnd("factor").alias("factor"), F.transform("v", lambda x: F.round(x, 6) + F.lit(0.0)).alias("n"))
+
+
 @query(f"SELECT x, y, round(m / max(m) OVER (), 6) AS calibration FROM (SELECT x, y, avg(v) AS m FROM {PIXELS} GROUP BY ALL)")
 def d51_average_frames(spark, d):
     return C.average_frames(pixels(spark, d)).withColumn("calibration", rnd("calibration"))
 
 
-@query(f"WITH c AS (SELECT x, y, m / max(m) OVER () AS c FROM (SELECT x, y, avg(v) AS m FROM {PIXELS} GROUP BY ALL)) SELECT image_id, x, y, [round(w[1] / c + 3e-9, 7), round(w[2] / c + 3e-9, 7), round(w[3] + 3e-9, 7)] AS w FROM {_PX3} JOIN c USING (x, y)")
+@query(f"WITH c AS (SELECT x, y, m / max(m) OVER () AS c FROM (SELECT x, y, avg(v) AS m FROM {PIXELS} GROUP BY ALL)) SELECT image_id, x, y, [round(ln(w[1] + 2) / c, 7), round(ln(w[2] + 2) / c, 7), round(ln(w[3] + 2), 7)] AS w FROM {_PX3} JOIN c USING (x, y)")
 def b23_flat_field(spark, d):
+    """Log intensities over the frames' average."""
     px = _px3(spark, d)
-    out = C.flat_field(px, C.average_frames(px), "intensity", 2)
-    # the small addend keeps quotients of few digits off rounding ties, which engines break differently
-    return out.select("image_id", "x", "y", F.transform("intensity", lambda x: F.round(x + 3e-9, 7)).alias("w"))
+    logs = px.withColumn("intensity", F.transform("intensity", lambda x: F.log(x + 2)))
+    out = C.flat_field(logs, C.average_frames(px), "intensity", 2)
+    return out.select("image_id", "x", "y", F.transform("intensity", lambda x: F.round(x, 7)).alias("w"))
 
 
 @query("SELECT l_linenumber, round(avg(l_extendedprice), 4) AS intensity, count(*) AS n FROM lineitem GROUP BY 1")
@@ -483,7 +533,7 @@ c AS (SELECT source, k, b, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT sour
 SELECT source, md5(string_agg(b, '' ORDER BY k)) AS consensus FROM m WHERE r = 1 GROUP BY source"""
 )
 def d53_consensus(spark, d):
-    s = table(spark, d, "documents").select("source", dna("text").alias("seq")).where("seq <> ''")
+    s = documents(spark, d).select("source", dna("text").alias("seq")).where("seq <> ''")
     return C.consensus(s, "source", "seq").select("source", F.md5("consensus").alias("consensus"))
 
 
@@ -598,6 +648,22 @@ def e08_cover_rounds(spark, d):
     return selection.min_cover(rows, "key", "element", "choice", stored).select("key", F.col("round").cast("int").alias("round"), F.col("choice").cast("long").alias("choice"))
 
 
+@query(
+    """WITH RECURSIVE r AS (SELECT DISTINCT l_suppkey % 10 AS taxon, (l_orderkey % 1500) // 500 AS bin, l_linenumber * 10 + l_orderkey % 7 AS e, l_partkey % 40 AS c FROM lineitem),
+s AS (SELECT taxon, bin, c, list(e) AS es FROM r GROUP BY ALL), w AS (SELECT taxon, bin, list(DISTINCT e) AS es FROM r GROUP BY ALL),
+g AS (SELECT taxon, bin, 0 AS round, NULL::BIGINT AS choice, es AS rest FROM w
+  UNION ALL SELECT taxon, bin, round + 1, b.c, list_filter(rest, lambda x: NOT list_contains(b.es, x)) FROM
+    (SELECT g.taxon, g.bin, g.round, g.rest, min(struct_pack(n := -len(list_filter(s.es, lambda x: list_contains(g.rest, x))), c := s.c, es := s.es)) AS b FROM g JOIN s ON s.taxon = g.taxon AND s.bin = g.bin WHERE len(g.rest) > 0 GROUP BY ALL))
+SELECT taxon, bin, round, choice FROM g WHERE round > 0"""
+)
+def e08_cover_per_bin(spark, d):
+    """The greedy cover of each taxon's molecules within every position bin."""
+    order_ = F.col("l_orderkey")
+    key = F.struct((F.col("l_suppkey") % 10).alias("taxon"), F.floor(order_ % 1500 / 500).alias("bin"))
+    rows = table(spark, d, "lineitem").select(key.alias("key"), (F.col("l_linenumber") * 10 + order_ % 7).alias("element"), (F.col("l_partkey") % 40).alias("choice"))
+    return selection.min_cover(rows, "key", "element", "choice", stored).select("key.taxon", "key.bin", F.col("round").cast("int").alias("round"), F.col("choice").cast("long").alias("choice"))
+
+
 @query()
 def e08_cover_quality(spark, d):
     """Suppliers that cover a nation's parts, by region of the order's customer: greedy size, size without redundant ones, and a bound for any cover."""
@@ -615,6 +681,23 @@ def e09_assign_barcodes(spark, d):
     return selection.assign_barcodes(table(spark, d, "part").select(F.col("p_partkey").alias("taxon")), spark, 7, "simple")
 
 
+@query("WITH t AS (SELECT DISTINCT p_partkey::VARCHAR AS taxon FROM part ORDER BY 1 LIMIT 127), r AS (SELECT taxon, row_number() OVER (ORDER BY taxon) AS k FROM t), c AS (SELECT n, row_number() OVER (ORDER BY n) AS k FROM (SELECT unnest(range(1, 128))::BIGINT AS n)) SELECT taxon, n AS number, lpad(bin(n), 7, '0') AS code FROM r JOIN c USING (k)")
+def e09_sequential(spark, d):
+    return selection.assign_barcodes(table(spark, d, "part").select(F.col("p_partkey").alias("taxon")), spark, 7, "sequential")
+
+
+@query("WITH t AS (SELECT DISTINCT p_partkey::VARCHAR AS taxon FROM part ORDER BY 1 LIMIT 127), r AS (SELECT taxon, row_number() OVER (ORDER BY taxon) AS k FROM t), c AS (SELECT n, row_number() OVER (ORDER BY -bit_count(n), n) AS k FROM (SELECT unnest(range(1, 128))::BIGINT AS n)) SELECT taxon, n AS number, lpad(bin(n), 7, '0') AS code FROM r JOIN c USING (k)")
+def e09_complex(spark, d):
+    return selection.assign_barcodes(table(spark, d, "part").select(F.col("p_partkey").alias("taxon")), spark, 7, "complex")
+
+
+@query("SELECT count(*) AS taxa, count(*) AS codes, 1 AS least, 127 AS largest FROM (SELECT DISTINCT p_partkey FROM part ORDER BY p_partkey::VARCHAR LIMIT 127)")
+def e09_random(spark, d):
+    """Random codes: each taxon has one, none twice."""
+    out = selection.assign_barcodes(table(spark, d, "part").select(F.col("p_partkey").alias("taxon")), spark, 7, "random")
+    return out.agg(F.count_distinct("taxon").alias("taxa"), F.count_distinct("code").alias("codes"), F.min("number").cast("int").alias("least"), F.max("number").cast("int").alias("largest"))
+
+
 @query(f"WITH r AS (SELECT taxon, row_number() OVER w AS i, sum(q) OVER (PARTITION BY taxon ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS c FROM {_LI} WINDOW w AS (PARTITION BY taxon ORDER BY {_ORDER})) SELECT taxon, arg_max(c, i) AS total, max(c) FILTER (i = 10) AS at_10, max(c) FILTER (i = 20) AS at_20 FROM r GROUP BY taxon")
 def e10_cumulative_coverage(spark, d):
     return selection.cumulative_coverage(li(spark, d), "taxon", "q", order())

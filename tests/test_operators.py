@@ -229,3 +229,18 @@ def test_best_probes(spark):
     # bins of an item differ; the fallback is one probe
     assert len({(r.taxon, r.bin) for r in got}) == len(got)
     assert all(m == ["single"] or set(m) == {"bins"} for m in methods.values())
+
+
+@pytest.mark.parametrize("method", ["top_n", "all_specific", "single_best"])
+def test_designs_choose_by_their_method(spark, method):
+    found = plans.best_probes(spark, SF, probe_selection_method=method, tpn=2, min_tm=58.0, max_tm=61.0).collect()
+    taxa = {}
+    for r in found:
+        taxa.setdefault(r.taxon, []).append(r.selection_method)
+        assert 58 <= r.tm <= 61 and 18 <= int(r.probe_id.split("_")[2]) <= 23
+    assert taxa and all(m == ["single"] or (set(m) == {method} and (method == "all_specific" or len(m) <= {"top_n": 2, "single_best": 1}[method])) for m in taxa.values())
+
+
+def test_unknown_method_of_a_design(spark):
+    with pytest.raises(ValueError):
+        plans.best_probes(spark, SF, probe_selection_method="other")

@@ -49,3 +49,14 @@ def test_images_of_one_cell_and_of_none(spark):
     points = spark.createDataFrame([(1, 1, 0.0, 2.0), (2, 2, 0.0, 0.0)], POINTS)
     assert [(r.point_id, r.cell, r.distance) for r in joins.knn_points(points, cells, 4).collect()] == [(1, 5, 2.0)]
     assert joins.knn_points(points, cells.limit(0), 4).count() == 0
+
+
+def test_crowded_squares_are_dealt_out(spark, monkeypatch):
+    draw = random.Random(4)
+    at = [(1, i % 2, i, draw.gauss(0, 3), draw.gauss(0, 3)) for i in range(120)] + [(1, 0, 500, 40.0, 40.0)]
+    frame = spark.createDataFrame(at, "image_id int, code int, cell int, x double, y double")
+    want = {(a[2], b[2]) for a in at for b in at if a[1] == b[1] and a[2] < b[2] and math.hypot(a[3] - b[3], a[4] - b[4]) <= 2.5}
+    found = lambda: sorted((r.id_1, r.id_2) for r in joins.pairs_within(frame, 2.5).collect())
+    assert found() == sorted(want)
+    monkeypatch.setattr(joins, "CROWD", 3)
+    assert found() == sorted(want)
