@@ -12,12 +12,13 @@ whatever passes them wrongly is counted exactly and falls out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from luminode.llm import bloom
@@ -33,6 +34,8 @@ GAPS = ENDS | np.array([b in (9, 32) for b in range(256)])
 #: Parts of a language's candidates that are ranked apart before the last ranking.
 PARTS = 64
 CHUNK = 100_000
+#: Bytes of text that are split into words at once.
+ADD_BYTES = 1_000_000
 #: Rows of a transform that are extended at once.
 SLICE_ROWS = 250_000
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -111,14 +114,16 @@ def build_index(docs: DataFrame, text: str = "text", lang: str = "lang", depth:
         shards: dict[str, _Shard] = {}
         held = 0
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            codes = langs.indices.to_numpy()
-            for k, name in enumerate(langs.dictionary.to_pylist()):
-                mine = batch.column(1).take(pa.array(np.flatnonzero(codes == k)))
-                for part in pieces(mine):
+            langs, at = batch.column(0).dictionary_encode(), 0
+            codes, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+            for part in pieces(batch.column(1), ADD_BYTES):
+                own = codes[at : at + len(part)]
+                at += len(part)
+                for k in np.unique(own):
+                    name = names[k]
                     shard = shards.setdefault(name, _Shard())
                     before = shard.n
-                    shard.add(part)
+                    shard.add(part.take(pa.array(np.flatnonzero(own == k))))
                     held += shard.n - before
                     if shard.n >= shard_words:
                         held -= shard.n
@@ -276,6 +281,18 @@ def _kept(now: Intervals, keep: np.ndarray) -> Intervals:
     return now if keep.all() else Intervals([w[keep] for w in now.words], now.low[keep], now.back[keep], now.size[keep])
 
 
+@contextmanager
+def _rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside send so many rows at a time to Python: shards and long texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(index: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> list[DataFrame]:
     """For each length 1..max_words the phrases found at least `least` times, summed over shards."""
     out, filters = [], []
@@ -284,7 +301,8 @@ def frequent_phrases(index: DataFrame, max_words: int = MAX_WORDS, least: int =
         # a shard has one row for a phrase, so rows go straight to where they are summed
         dealt = phrases(index, size, filters).repartition("lang", "phrase")
         summed = dealt.groupBy("lang", "phrase").agg(*[F.sum(c).alias(c) for c in ("n", "n_left", "n_right")]).where(F.col("n") >= least)
-        found = stored(summed, f"phrases-{size}")
+        with _rows_a_batch(index.sparkSession, 1):  # a shard at a time
+            found = stored(summed, f"phrases-{size}")
         out.append(found)
         if size < max_words:
             held, _ = bloom.once_and_twice(found.select("lang", "phrase"), lambda batch: [_text_keys(batch)] if batch.num_rows else [], bloom.bits_for(found.count()))
@@ -307,7 +325,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", max_wo
     first `top` of each language by score, a and phrase (UTF-8 order) stay; n counts its words.
     Repeated rows count each; only the two named columns are read; without words there are no rows.
     """
-    index = stored(build_index(docs, text, lang, max_words), "phrase-index")
+    with _rows_a_batch(docs.sparkSession, 1000):
+        index = stored(build_index(docs, text, lang, max_words), "phrase-index")
     by_size = frequent_phrases(index, max_words, least)
     totals = index.groupBy("lang").agg(F.sum("n_words").alias("n"))
     words = F.split("phrase", " ")

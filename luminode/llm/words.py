@@ -59,14 +59,14 @@ def hashed(symbols: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return out
 
 
-def pieces(texts: pa.Array) -> Iterator[pa.Array]:
-    """The texts of a batch, some at a time, about PIECE_BYTES each."""
+def pieces(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """The texts of a batch, some at a time, about `size` bytes each."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     _, edges = raw(texts)
     start = 0
     while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(edges, edges[start] + PIECE_BYTES, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(edges, edges[start] + size, "right")) - 1)
         yield texts.slice(start, stop - start)
         start = stop
 
