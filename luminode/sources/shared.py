@@ -20,8 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths named so far in this process.
+_named: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _named.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes all tables that were stored so far, and gives their number; results that read them must be saved before."""
+    conf, path, deleted = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path, 0
+    while _named:
+        at = path(_named.pop())
+        deleted += bool(at.getFileSystem(conf).delete(at, True))
+    return deleted
 
 
 def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:

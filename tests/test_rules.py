@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from luminode.operators import cells, joins, selection
 from luminode.sources import files
-from luminode.sources.shared import new_path, stored
+from luminode.sources.shared import drop_stored, new_path, stored
 from luminode.streaming import incremental
 
 
@@ -141,6 +141,14 @@ def test_a_hot_key_is_written_by_many_tasks(spark, tmp_path):
         assert sum(sizes) == 7200 and len(sizes) >= 3 and max(sizes) < 4000
 
 
+def test_stored_tables_are_dropped(spark):
+    df = stored(spark.range(5), "five")
+    assert df.count() == 5 and new_path(spark, "never written")
+    assert drop_stored(spark) >= 1 and drop_stored(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
+        df.collect()
+
+
 def brute_diversity(rows):
     out = {}
     for g in {g for g, _ in rows}:
