@@ -84,7 +84,8 @@ def once_and_twice(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable
 
     parts = rows.mapInArrow(marked, schema).repartition("segment").sortWithinPartitions("segment").mapInArrow(merged, schema)
     out, size = (np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)), SEGMENT_BITS // 8
-    for row in parts.toLocalIterator():
+    found = parts.toArrow()
+    for n, segment in enumerate(found.column("segment").to_pylist()):
         for k, name in enumerate(names[1:]):
-            out[k][row.segment * size : (row.segment + 1) * size] = np.frombuffer(row[name], np.uint8)
+            out[k][segment * size : (segment + 1) * size] = np.frombuffer(found.column(name)[n].as_buffer(), np.uint8)
     return out
