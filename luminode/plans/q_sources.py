@@ -169,6 +169,28 @@ def u01_group_function(spark, d):
     return models.apply_groups(rows, ["l_partkey"], summarise, "l_partkey long, last_order long, mean double").withColumn("mean", rnd("mean"))
 
 
+@query("SELECT l_returnflag, l_linestatus, max(l_orderkey) AS last_order, round(avg(l_quantity), 6) AS mean, count(*) AS n FROM lineitem GROUP BY ALL")
+def u01_mergeable_group_function(spark, d):
+    """Four groups that hold the whole table: a user's function on stretches of them, and another that merges what it gives."""
+    import pandas as pd
+
+    from luminode.operators import models
+
+    keys = ["l_returnflag", "l_linestatus"]
+
+    def partial(pdf):
+        return pdf.groupby(keys, as_index=False).agg(last_order=("l_orderkey", "max"), total=("l_quantity", "sum"), n=("l_quantity", "count"))
+
+    def combine(pdf, last):
+        merged = pdf.groupby(keys, as_index=False).agg(last_order=("last_order", "max"), total=("total", "sum"), n=("n", "sum"))
+        return pd.DataFrame({**merged[[*keys, "last_order"]], "mean": merged["total"] / merged["n"], "n": merged["n"]}) if last else merged
+
+    rows = table(spark, d, "lineitem").select(*keys, "l_orderkey", "l_quantity")
+    kinds = "l_returnflag string, l_linestatus string, last_order long"
+    out = models.apply_groups(rows, keys, partial, f"{kinds}, mean double, n long", combine, f"{kinds}, total double, n long", rows=2000)
+    return out.withColumn("mean", rnd("mean"))
+
+
 @query(f"SELECT doc_id, length(q) - length(translate(q, 'GC', '')) AS gc FROM (SELECT doc_id, {dna_sql('text')} AS q FROM documents)")
 def u02_row_function(spark, d):
     """The hook for users' row functions with a declared result."""

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from luminode.operators import cells, joins, selection
+from luminode.operators import cells, joins, models, selection
 from luminode.sources import files
 from luminode.sources.shared import drop_stored, new_path, stored
 from luminode.streaming import incremental
@@ -149,6 +149,28 @@ def test_stored_tables_are_dropped(spark):
         df.collect()
 
 
+def test_group_functions_on_stretches(spark):
+    import pandas as pd
+
+    rows = [("a", 1)] * 500 + [("b", k) for k in range(30)] + [(None, 5), (None, 6)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def partial(group):
+        assert len(group) <= 60 and list(group.columns) == ["g", "v"]
+        seen.add(1)
+        return pd.DataFrame({"g": [group["g"].iloc[0]], "total": [group["v"].sum()], "n": [len(group)]})
+
+    def combine(group, last):
+        out = pd.DataFrame({"g": [group["g"].iloc[0]], "total": [group["total"].sum()], "n": [group["n"].sum()]})
+        return out.assign(mean=out["total"] / out["n"])[["g", "mean"]] if last else out
+
+    got = {r.g: r.mean for r in models.apply_groups(df, ["g"], partial, "g string, mean double", combine, "g string, total long, n long", rows=10).collect()}
+    assert got == {"a": 1.0, "b": 14.5, None: 5.5} and seen.value >= 54
+    with pytest.raises(ValueError, match="fewer"):
+        models.apply_groups(df, ["g"], lambda group: group, "g string, v long", lambda group, last: group, "g string, v long", rows=10)
+
+
 def brute_diversity(rows):
     out = {}
     for g in {g for g, _ in rows}:
