@@ -21,6 +21,8 @@ from luminode.sources.shared import stored
 MOST_PIVOTS = 4096
 #: Angles closer than this count as equal when lists are closed; distances are compared exactly later.
 SLACK = 1e-4
+#: References of a list that one task holds, cells of a list that one task is given, and those compared at once.
+HELD, GIVEN, BLOCK = 4096, 50_000, 500
 
 
 def cosine_distance(a, b):
@@ -72,9 +74,10 @@ class SpectrumIndex:
             self.pivots[name] = (first, np.array(vectors))
             first += len(vectors)
         self.lists = stored(self._nearest_pivot(unit.select("block", "u", "v", "code"), ("v", "code")), "lists")
-        self.radius = np.zeros(first)
-        for r in self.lists.groupBy("pivot").agg(F.max("angle").alias("r")).collect():
-            self.radius[r.pivot] = r.r
+        # a row per pivot
+        self.radius, self.sizes = np.zeros(first), np.zeros(first, np.int64)
+        for r in self.lists.groupBy("pivot").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():
+            self.radius[r.pivot], self.sizes[r.pivot] = r.r, r.n
 
     def _nearest_pivot(self, rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         """rows (block, u, ...) with pivot and angle; rows of blocks without pivots are left out."""
@@ -108,18 +111,63 @@ class SpectrumIndex:
         taken = rows.select("block", "u", "id", "v", "bound", "pivot")
         return taken.mapInArrow(run, f"id {taken.schema['id'].dataType.simpleString()}, v array<double>, pivot int")
 
+    def _compared(self, asked: DataFrame) -> DataFrame:
+        """(id, distance, code): the nearest reference of each list that a cell (id, v, pivot) asks for.
+
+        Long lists are cut, cells of a much asked list are dealt to several tasks, each of which is
+        given the list; a task holds one stretch of a list at a time.
+        """
+        asked_for = {r.pivot: r["count"] for r in asked.groupBy("pivot").count().collect()}  # a row per pivot
+        plan = [(k, -(-int(self.sizes[k]) // HELD), -(-n // GIVEN)) for k, n in asked_for.items()]
+        kind = self.code_type.simpleString()
+        plan = F.broadcast(asked.sparkSession.createDataFrame(plan, "pivot int, parts int, salts int"))
+        all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        given = asked.join(plan, "pivot").select("pivot", all_of("parts").alias("part"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), "id", "v", F.lit(None).cast(kind).alias("code"))
+        held = self.lists.join(plan, "pivot").select("pivot", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), all_of("salts").alias("salt"), F.lit(0).alias("side"), F.lit(None).cast(asked.schema["id"].dataType).alias("id"), "v", "code")
+        key = ["pivot", "part", "salt"]
+        rows = held.unionByName(given).repartition(*key).sortWithinPartitions(*key, "side", "code")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, vectors, codes = None, [], []
+            for batch in batches:
+                marks = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
+                edges = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(marks)]])
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    if a == b:
+                        continue
+                    own = tuple(marks[a, :3].tolist())
+                    spectra = batch.column(5).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                    spectra = spectra / np.sqrt((spectra * spectra).sum(axis=1))[:, None]
+                    if marks[a, 3] == 0:
+                        if own != at:
+                            at, vectors, codes = own, [], []
+                        vectors.append(spectra)
+                        codes.append(batch.column(6).slice(a, b - a))
+                        continue
+                    if own != at:
+                        continue
+                    # codes ascend: of equally near references the first is the one
+                    vectors, codes = [np.concatenate(vectors)], [pa.concat_arrays(codes)]
+                    for k in range(0, b - a, BLOCK):
+                        distance = np.round(1 - spectra[k : k + BLOCK] @ vectors[0].T, 9) + 0.0
+                        best = distance.argmin(axis=1)
+                        least = distance[np.arange(len(best)), best]
+                        yield pa.RecordBatch.from_arrays([batch.column(4).slice(a + k, len(best)), pa.array(least), codes[0].take(pa.array(best))], ["id", "distance", "code"])
+
+        return rows.mapInArrow(compare, f"id {asked.schema['id'].dataType.simpleString()}, distance double, code {kind}")
+
     def nearest(self, cells: DataFrame, id: str, v: str = "v", block: str = "flags") -> DataFrame:
         """(id, code, distance) of every cell."""
         norm = F.sqrt(F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x * x))
         rows = cells.select(F.col(id).alias("id"), F.col(v).cast("array<double>").alias("v"), F.col(block).cast("string").alias("block")).withColumn("norm", norm)
         unit = rows.where("norm > 0").withColumn("u", F.transform("v", lambda x: x / F.col("norm")))
-        placed = self._nearest_pivot(unit.select("block", "u", F.col("block").alias("own"), F.col("u").alias("unit"), "id", "v"), ("own", "unit", "id", "v"))
-        placed = placed.select(F.col("own").alias("block"), F.col("unit").alias("u"), "id", "v", "pivot")
-        met = lambda asked: asked.join(self.lists.select("pivot", F.col("v").alias("w"), "code"), "pivot")
-        best = F.min(F.struct(cosine_distance(F.col("v"), F.col("w")).alias("distance"), "code"))
-        near = stored(met(placed).groupBy("id", "block", "u", "v", "pivot").agg(best.alias("b")), "near")
-        bound = near.withColumn("bound", F.acos(F.greatest(F.lit(-1.0), 1 - F.col("b.distance"))))
-        wider = met(self._open_lists(bound)).groupBy("id").agg(best.alias("b"))
+        placed = self._nearest_pivot(unit.select("block", "u", F.col("block").alias("own"), "id", "v"), ("own", "id", "v"))
+        placed = stored(placed.select(F.col("own").alias("block"), "id", "v", "pivot"), "placed")
+        best = F.min(F.struct("distance", "code")).alias("b")
+        near = stored(self._compared(placed.select("id", "v", "pivot")).groupBy("id").agg(best), "near")
+        bound = placed.join(near, "id").withColumns({"bound": F.acos(F.greatest(F.lit(-1.0), 1 - F.col("b.distance"))), "norm": norm})
+        opened = stored(self._open_lists(bound.withColumn("u", F.transform("v", lambda x: x / F.col("norm")))), "opened")
+        wider = self._compared(opened).groupBy("id").agg(best)
         # what no list can give: a block's zero spectra, and the default of blocks without references
         missing = F.lit(self.least).cast(self.code_type)
         rest = rows.select("id", "block", "norm").join(self.blocks, "block", "left")
