@@ -169,10 +169,16 @@ def _px3(spark, d):
     return pixels(spark, d).withColumn("intensity", F.array(v, v * (F.col("x") + 1), v * (F.col("y") + 2)))
 
 
-@query(f"SELECT image_id, label, list(m ORDER BY k) AS spectrum FROM (SELECT image_id, label, k, round(avg(i), 9) AS m FROM (SELECT image_id, label, unnest([1, 2, 3]) AS k, unnest(w) AS i FROM {_PX3}) GROUP BY ALL) GROUP BY ALL")
+@query(
+    f"""SELECT image_id, label, list(m ORDER BY k) AS spectrum FROM (SELECT image_id, label, k, sum(i)::DOUBLE / count(*) / 1000000 AS m FROM
+  (SELECT image_id, label, unnest([1, 2, 3]) AS k, unnest([u, u * (x + 1), u * (y + 2)]) AS i FROM (SELECT *, round(v * 1000000)::BIGINT AS u FROM {PIXELS})) GROUP BY ALL) GROUP BY ALL"""
+)
 def d22_mean_spectrum(spark, d):
-    m = C.measure_regions(_px3(spark, d), spectrum="intensity")
-    return m.select("image_id", "label", F.transform("intensity", lambda x: F.round(x, 9)).alias("spectrum"))
+    # intensities (of two decimals) as whole millionths: their sums are exact in any order, and no mean needs rounding
+    u = F.round(F.col("v") * 1000000).cast("long")
+    px = pixels(spark, d).withColumn("intensity", F.array(u, u * (F.col("x") + 1), u * (F.col("y") + 2)))
+    m = C.measure_regions(px, spectrum="intensity")
+    return m.select("image_id", "label", F.transform("intensity", lambda x: x / F.lit(1000000.0)).alias("spectrum"))
 
 
 def _centroid_sql(keys: str, rows: str) -> str:
