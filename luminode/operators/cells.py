@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from luminode.functions import scalars as S
 from luminode.operators import joins as J
@@ -104,14 +105,36 @@ def hamming_histogram(df: DataFrame, keys: list[str], distance: str, bits: int)
 def sigma_gate(df: DataFrame, image: str, columns: list[str], mode: str = "within") -> DataFrame:
     """within: rows inside mean +- population deviation of their image in all columns; above: above mean - sample deviation.
 
-    An image's figures are one row, joined back, so that its rows need not meet in one task.
+    An image's figures are one row, joined back, so that its rows need not meet in one task. Whole and
+    decimal columns are decided by exact sums, n (v - mean) against n times the deviation, both
+    squared: a value that lies on the limit counts the same way in any order of rows. For floating
+    columns the mean and the deviation are doubles.
     """
     spread = F.stddev_pop if mode == "within" else F.stddev_samp
-    stats = df.groupBy(F.col(image).alias("__image")).agg(*[f(c).alias(f"__{name}{k}") for k, c in enumerate(columns) for name, f in (("mean", F.avg), ("dev", spread))])
+    kinds = {c: df.schema[c].dataType for c in columns}
+    exact = {c: kind if isinstance(kind, DecimalType) else DecimalType(20, 0) for c, kind in kinds.items() if isinstance(kind, (DecimalType, IntegralType))}
+    figures = []
+    for k, c in enumerate(columns):
+        if c in exact:
+            v = F.col(c).cast(exact[c])
+            figures += [F.count(c).alias(f"__n{k}"), F.sum(v).alias(f"__sum{k}"), F.sum(v * v).alias(f"__square{k}")]
+        else:
+            figures += [F.avg(c).alias(f"__mean{k}"), spread(c).alias(f"__dev{k}")]
+    stats = df.groupBy(F.col(image).alias("__image")).agg(*figures)
     ok = F.lit(True)
     for k, c in enumerate(columns):
-        mean, deviation = F.col(f"__mean{k}"), F.col(f"__dev{k}")
-        ok = ok & ((F.abs(F.col(c) - mean) <= deviation) if mode == "within" else (F.col(c) > mean - deviation))
+        if c in exact:
+            n, total = F.col(f"__n{k}").cast("decimal(12,0)"), F.col(f"__sum{k}")
+            off = n * F.col(c).cast(exact[c]) - total
+            off = off.cast(DecimalType(38, exact[c].scale))
+            square = n * F.col(f"__square{k}") - total * total
+            if mode == "within":
+                ok = ok & (off * off <= square)
+            else:
+                ok = ok & (n > 1) & ((off > 0) | ((n - 1) * (off * off) < n * square))
+        else:
+            mean, deviation = F.col(f"__mean{k}"), F.col(f"__dev{k}")
+            ok = ok & ((F.abs(F.col(c) - mean) <= deviation) if mode == "within" else (F.col(c) > mean - deviation))
     return df.join(stats, df[image].eqNullSafe(stats["__image"]), "left").where(ok).select(*df.columns)
 
 

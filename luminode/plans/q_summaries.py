@@ -267,14 +267,27 @@ def d34_hamming_histogram(spark, d):
     return C.hamming_histogram(p, ["p_brand"], "h", 7)
 
 
-@query("SELECT l_suppkey, count(*) AS n FROM (SELECT l_suppkey, l_quantity, l_linenumber, avg(l_quantity) OVER w AS a, stddev_pop(l_quantity) OVER w AS s, avg(l_linenumber) OVER w AS b, stddev_pop(l_linenumber) OVER w AS t FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)) WHERE abs(l_quantity - a) <= s AND abs(l_linenumber - b) <= t GROUP BY 1")
+# rows are compared by exact sums: of whole numbers the mean and the deviation are no doubles that depend on the order of rows
+_GATE = """(SELECT l_suppkey, a, b, (count(a) OVER w)::HUGEINT AS na, sum(a) OVER w AS sa, sum(a * a) OVER w AS qa, (count(b) OVER w)::HUGEINT AS nb, sum(b) OVER w AS sb, sum(b * b) OVER w AS qb
+  FROM (SELECT l_suppkey, round(l_quantity * 100)::HUGEINT AS a, l_linenumber::HUGEINT AS b FROM lineitem) WINDOW w AS (PARTITION BY l_suppkey))"""
+
+
+def _gated(spark, d, mode):
+    rows = table(spark, d, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("decimal(12,2)"))
+    return C.sigma_gate(rows, "l_suppkey", ["l_quantity", "l_linenumber"], mode).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT l_suppkey, count(*) AS n FROM {_GATE} WHERE (na * a - sa) * (na * a - sa) <= na * qa - sa * sa AND (nb * b - sb) * (nb * b - sb) <= nb * qb - sb * sb GROUP BY 1")
 def d35_sigma_gate(spark, d):
-    return C.sigma_gate(table(spark, d, "lineitem"), "l_suppkey", ["l_quantity", "l_linenumber"]).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return _gated(spark, d, "within")
+
+
+_ABOVE = "n{0} > 1 AND (n{0} * {0} > s{0} OR (n{0} - 1) * (n{0} * {0} - s{0}) * (n{0} * {0} - s{0}) < n{0} * (n{0} * q{0} - s{0} * s{0}))"
 
 
-@query("SELECT l_suppkey, count(*) AS n FROM (SELECT l_suppkey, l_quantity, l_linenumber, avg(l_quantity) OVER w AS a, stddev_samp(l_quantity) OVER w AS s, avg(l_linenumber) OVER w AS b, stddev_samp(l_linenumber) OVER w AS t FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)) WHERE l_quantity > a - s AND l_linenumber > b - t GROUP BY 1")
+@query(f"SELECT l_suppkey, count(*) AS n FROM {_GATE} WHERE {_ABOVE.format('a')} AND {_ABOVE.format('b')} GROUP BY 1")
 def d35_sigma_above(spark, d):
-    return C.sigma_gate(table(spark, d, "lineitem"), "l_suppkey", ["l_quantity", "l_linenumber"], "above").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return _gated(spark, d, "above")
 
 
 _NET = f"(SELECT image_id, label_1 % 4 AS code_1, label_2 % 4 AS code_2, count(*) AS n FROM {_EDGES} GROUP BY ALL)"
