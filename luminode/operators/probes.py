@@ -25,6 +25,18 @@ def add_flanks(df: DataFrame, key: str, seq: str, start: str, length: str, size:
     return out.withColumn("spaced", spaced).select(key, "left_flank", "right_flank", "spaced").distinct()
 
 
+def window_flanks(df: DataFrame, key: str, seq: str, length: int = 20, size: int = 3) -> DataFrame:
+    """add_flanks of all windows of `length` letters, laid end to end from the first letter.
+
+    Windows and what stands right of them are cut in one pass, and a window's row holds its own letters
+    only: add_flanks walks to each start and copies the whole sequence, the square of its length.
+    """
+    cut = F.lit(f"(?s)(?<=(\\A.{{0,{max(size - 1, 0)}}}|.{{{size}}})).{{{length}}}(?=(.{{0,{size}}}))")
+    parts = [F.regexp_extract_all(seq, cut, F.lit(group)).alias(name) for group, name in ((1, "left_flank"), (2, "right_flank"), (0, "own"))]
+    each = df.select(key, F.inline(F.arrays_zip(*parts)))
+    return each.select(key, "left_flank", "right_flank", F.concat("left_flank", F.reverse("own"), "right_flank").alias("spaced")).distinct()
+
+
 def replicate(df: DataFrame, copies: Column) -> DataFrame:
     """Each row as many times as `copies` says, numbered from 1."""
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
