@@ -101,10 +101,8 @@ def gc_count(seq):
     return count_of(seq, "GCgc")
 
 
-def step_sums(seq):
-    """Struct of n, gc, at_ends (ends that are A or T), plain (no letter but A, C, G, T), and h and s:
-    enthalpy and entropy summed over all steps of two neighbouring letters. Null counts as empty.
-    """
+def step_sums_of(most: int = 1 << 20):
+    """The function of an Arrow array of sequences behind step_sums; it holds some `most` letters at a time in numbers."""
     letter = np.full(256, 4, np.int64)
     letter[[ord(x) for x in "ACGT"]] = range(4)
     tenths = np.zeros((2, 25), np.int64)  # whole tenths: running sums are exact
@@ -112,8 +110,7 @@ def step_sums(seq):
         tenths[:, 5 * letter[ord(step[0])] + letter[ord(step[1])]] = [round(10 * v) for v in values]
     names = ["n", "gc", "at_ends", "plain", "h", "s"]
 
-    def run(seqs: pa.Array) -> pa.Array:
-        seqs = pc.fill_null(seqs, "").cast(pa.large_string())
+    def some(seqs: pa.Array) -> pa.Array:
         _, offsets, data = seqs.buffers()
         edges = np.frombuffer(offsets, np.int64)[seqs.offset : seqs.offset + len(seqs) + 1] if len(seqs) else np.zeros(1, np.int64)
         codes = letter[np.frombuffer(data, np.uint8)[edges[0] : edges[-1]]] if data else np.empty(0, np.int64)
@@ -131,8 +128,22 @@ def step_sums(seq):
         columns = [n, summed(np.isin(codes, (1, 2)).astype(np.int64), stop), at(first).astype(np.int64) + at(last), summed((codes == 4).astype(np.int64), stop) == 0]
         return pa.StructArray.from_arrays([pa.array(x) for x in (*columns, *(summed(v[steps], last) / 10 for v in tenths))], names)
 
+    def run(seqs: pa.Array) -> pa.Array:
+        seqs = pc.fill_null(seqs, "").cast(pa.large_string())
+        # running sums take some 50 bytes a letter: a batch of long texts goes in stretches of rows
+        stretch = np.cumsum(pc.binary_length(seqs).to_numpy(zero_copy_only=False)) // most
+        starts = [0, *(np.flatnonzero(np.diff(stretch)) + 1).tolist(), len(seqs)]
+        return pa.concat_arrays([some(seqs.slice(a, b - a)) for a, b in zip(starts, starts[1:])])
+
     run.__annotations__ = {"seqs": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<n:long,gc:long,at_ends:long,plain:boolean,h:double,s:double>")(col(seq))
+    return run
+
+
+def step_sums(seq):
+    """Struct of n, gc, at_ends (ends that are A or T), plain (no letter but A, C, G, T), and h and s:
+    enthalpy and entropy summed over all steps of two neighbouring letters. Null counts as empty.
+    """
+    return F.arrow_udf(step_sums_of(), "struct<n:long,gc:long,at_ends:long,plain:boolean,h:double,s:double>")(col(seq))
 
 
 def melting_temperature(seq, sodium: float = 390.0, oligo: float = 5.0, partner: float = 1.0):
