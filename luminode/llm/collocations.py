@@ -1,6 +1,6 @@
 """Phrase collocations: an FM-index over word numbers per shard, phrases by two-way interval extension.
 
-A shard is some 1,000,000 words of one language. Its index is the Burrows-Wheeler transform of the
+A shard is some 700,000 words of one language. Its index is the Burrows-Wheeler transform of the
 word numbers, forwards and backwards, sorted by as many words as a phrase may have (enough for
 intervals of phrases that long). A phrase is an interval in both; adding a word to the left reads
 the forward transform, adding one to the right the backward one, and either keeps the other
@@ -26,7 +26,7 @@ from luminode.llm.common import stored
 from luminode.llm.words import hashed, pieces, split
 from luminode.operators.similar import mix
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 700_000
 MAX_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Signs that end a piece; blanks between words.
 ENDS = np.array([chr(b) in ".,;:!?" or 10 <= b <= 13 for b in range(256)])
@@ -37,7 +37,7 @@ CHUNK = 100_000
 #: Bytes of text that are split into words at once.
 ADD_BYTES = 1_000_000
 #: Rows of a transform that are extended at once.
-SLICE_ROWS = 250_000
+SLICE_ROWS = 100_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 INDEX = "lang string, n_words long, words array<string>, forward binary, backward binary"
@@ -60,11 +60,13 @@ def _transform(text: np.ndarray, depth: int) -> np.ndarray:
     if bits * depth <= 63:
         key = np.zeros(len(text), np.int64)
         for k in range(depth):
-            key = (key << bits) | ahead[k : k + len(text)]
+            key <<= bits
+            key |= ahead[k : k + len(text)]
         order = np.argsort(key)  # suffixes that agree in all of these words may stand in any order
     else:
         order = np.lexsort([ahead[k : k + len(text)] for k in reversed(range(depth))])
-    return text[order - 1]
+    order -= 1
+    return text[order]
 
 
 class _Shard:
@@ -93,8 +95,9 @@ class _Shard:
 
     def index(self, lang: str, depth: int) -> pa.RecordBatch:
         known, at = np.unique(np.concatenate(self.known), return_index=True)
-        number = np.searchsorted(known, np.concatenate(self.keys)) + 1
+        number = np.concatenate([np.searchsorted(known, keys).astype(np.int32) + 1 for keys in self.keys])
         fresh = np.concatenate(self.breaks)
+        self.keys, self.known, self.breaks = [], [], []
         # a 0 before every piece and at the end
         text = np.zeros(len(number) + int(fresh.sum()) + 1, np.int32)
         text[np.arange(len(number)) + np.cumsum(fresh)] = number
@@ -160,13 +163,21 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum(counts)])
         self.n = len(self.sides[0])
         self._next: list[np.ndarray | None] = [None, None]
-        self.inner = [np.concatenate([[0], np.cumsum(side > 0, dtype=np.int32)]).astype(np.int32) for side in self.sides]
+        self.inner = [np.zeros(self.n + 1, np.int32) for _ in self.sides]
+        for inner, side in zip(self.inner, self.sides):
+            np.cumsum(side > 0, dtype=np.int32, out=inner[1:])
 
     def _step(self, side: int) -> np.ndarray:
         """For each row the row of the suffix one word longer: rows of a word keep their order."""
         if self._next[side] is None:
+            # sorted in place, number and row in one word: both are below 2^31
+            both = self.sides[side].astype(np.int64)
+            both <<= 32
+            both |= np.arange(self.n, dtype=np.int32)
+            both.sort()
+            both &= (1 << 32) - 1
             step = np.empty(self.n, np.int32)
-            step[_ordered(self.sides[side])[1]] = np.arange(self.n, dtype=np.int32)
+            step[both] = np.arange(self.n, dtype=np.int32)
             self._next[side] = step
         return self._next[side]
 
@@ -283,14 +294,16 @@ def _kept(now: Intervals, keep: np.ndarray) -> Intervals:
 
 @contextmanager
 def _rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs run inside send so many rows at a time to Python: shards and long texts are large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Jobs run inside read and send so many rows at a time to Python: shards and long texts are large rows."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
 
 
 def frequent_phrases(index: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> list[DataFrame]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -196,3 +197,20 @@ def test_few_and_far_vectors(spark):
     assert (low.q, high.q) == ([-centroids.LARGEST, 0], [centroids.LARGEST, 0])
     (row, other) = centroids.cluster_vectors(far, clusters=1, rounds=1, dims=2).collect()
     assert row.distance == other.distance == centroids.LARGEST**2
+
+
+def test_an_index_is_built_and_stepped_in_little_memory():
+    """A shard in bytes a word: what a task holds beyond the index itself while it sorts."""
+    text = np.random.default_rng(1).integers(0, 50_000, 200_000).astype(np.int32)
+    names = pa.array([f"w{k}" for k in range(1, 50_000)])
+    tracemalloc.start()
+    forward = collocations._transform(text, 3)
+    built = tracemalloc.get_traced_memory()[1] / len(text)
+    index = collocations.Index(names, forward.tobytes(), collocations._transform(text[::-1], 3).tobytes())
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    step = index._step(0)
+    stepped = (tracemalloc.get_traced_memory()[1] - before) / len(text)
+    tracemalloc.stop()
+    assert built < 28 and stepped < 20
+    assert (step[np.argsort(index.sides[0], kind="stable")] == np.arange(len(text))).all()
