@@ -3,7 +3,7 @@
 import math
 import random
 
-from luminode.operators import joins
+from luminode.operators import joins, tiles
 from luminode.operators.tiles import LEAF, CellTree
 
 CELLS, POINTS = "image_id int, cell int, x double, y double", "image_id int, point_id int, px double, py double"
@@ -60,3 +60,19 @@ def test_crowded_squares_are_dealt_out(spark, monkeypatch):
     assert found() == sorted(want)
     monkeypatch.setattr(joins, "CROWD", 3)
     assert found() == sorted(want)
+
+
+def test_rows_of_a_search_do_not_grow_with_its_points(spark, monkeypatch):
+    draw = random.Random(5)
+    at = [(1, i, draw.uniform(0, 1), draw.uniform(0, 1)) for i in range(40)]
+    asked = [(1, i, 0.4 + draw.uniform(0, 1e-3), 0.4) for i in range(1500)]
+    tree, write, rows = CellTree(spark.createDataFrame(at, CELLS)), tiles.stored, []
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.extend([out.count()] if name == "front" else [])
+        return out
+
+    monkeypatch.setattr(tiles, "stored", counted)
+    assert tree.nearest(spark.createDataFrame(asked, POINTS), 2).count() == 3000
+    assert rows and max(rows) < 200
