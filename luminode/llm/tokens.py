@@ -26,8 +26,6 @@ LIMIT = 4096
 CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
 #: Texts whose words are worked out together.
 TEXTS = 512
-#: Times that a word may wait for the pairs of pieces it meets, which are asked for together.
-WAITS = 12
 #: More than any number of a piece: two of them make one key.
 PIECES = 1 << 20
 #: The model writes a blank as this sign and reads the sign as a blank.
@@ -57,13 +55,14 @@ class PrefixCounter:
         plain = (i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)))
         self.ids = {model.id_to_piece(i): i for i in plain}
         self.sizes = sorted(range(1, max(map(len, self.ids)) + 1), key=lambda n: (n > 3, (2, 3, 1).index(n) if n < 4 else n))
+        #: sizes to try where so many letters of a token are there: those letters first
+        self.tries = [(n, *(size for size in self.sizes if size != n)) for n in range(max(self.sizes) + 1)]
         self.pieces = [""] * model.get_piece_size()
         for piece, i in self.ids.items():
             self.pieces[i] = piece
         self.after_border = len(model.encode(BORDER))
         self.steps: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
-        self.wanted: set[int] = set()
 
     def words(self, text: str) -> list[str]:
         """Words without their first blank, which the model adds by itself to what it encodes."""
@@ -73,65 +72,51 @@ class PrefixCounter:
             return [w[1:] for w in self.split.findall(f" {text}")]
         return text.split(" ")
 
-    def settle(self) -> None:
-        """Asks the library, for all pairs of pieces that came up, whether it leaves them as they are."""
-        pairs = [divmod(p, PIECES) for p in self.wanted]
-        self.wanted.clear()
-        for (left, right), out in zip(pairs, self.model.encode([BORDER + self.pieces[a] + self.pieces[b] for a, b in pairs], num_threads=1)):
-            self.pairs[left * PIECES + right] = out[self.after_border :] == [left, right]
-
-    def stays(self, left: int, right: int, wait: bool) -> bool | None:
-        """Whether two neighbouring pieces stay as they are; None, where it may wait, for a pair not met before."""
-        if left < 0:  # nothing merges with the start or with a letter spelled in bytes
-            return True
-        found = self.pairs.get(left * PIECES + right)
-        if found is None and wait:
-            self.wanted.add(left * PIECES + right)
-        elif found is None:
-            found = self.pairs[left * PIECES + right] = self.model.EncodeAsIds(BORDER + self.pieces[left] + self.pieces[right])[self.after_border :] == [left, right]
+    def stays(self, left: int, right: int) -> bool:
+        """Whether the library leaves two neighbouring pieces, not met before, as they are."""
+        found = self.pairs[left * PIECES + right] = self.model.EncodeAsIds(BORDER + self.pieces[left] + self.pieces[right])[self.after_border :] == [left, right]
         return found
 
-    def extend(self, word: str, tokens: list[int], cells: list[int], last: list[int], steps: bytearray, wait: bool) -> int | None:
+    def extend(self, word: str, tokens: list[int], cells: list[int], last: list[int], steps: bytearray) -> None:
         """The program: goes on with the counts and last pieces of a word's prefixes, from those known.
 
         A prefix that ends with one of the word's tokens has the tokens up to there. Of the pieces
         that end at another place, the one that stays beside the last piece before it is the right
-        one; mostly it is the first letters of the token. A pair of pieces not met before is taken to
-        stay where it may wait: given back is the place from which on nothing is sure, if there is
-        one. Words with letters spelled in bytes are worked out without tokens.
+        one; mostly it is the first letters of the token. Words with letters spelled in bytes are
+        worked out without tokens.
         """
-        sure = None
-        piece_id, pieces, known = self.ids.get, self.pieces, len(cells) - 1
+        piece_id, pieces, pairs, known = self.ids.get, self.pieces, self.pairs.get, len(cells) - 1
         lengths = [len(pieces[t]) for t in tokens]
         if 0 in lengths or not tokens:
             tokens, lengths = [-1], [len(word) + 1]
-        begin = 0
+        begin, before = 0, cells[-1]
         for k, (token, length) in enumerate(zip(tokens, lengths), 1):
             stop = begin + length
+            if stop <= known:
+                begin = stop
+                continue
             for end in range(max(begin, known) + 1, min(stop, len(word)) + 1):
                 if end == stop:
                     i, count = token, k
                 else:
-                    for size in (end - begin, *self.sizes) if token >= 0 else self.sizes:
+                    for size in self.tries[end - begin] if token >= 0 else self.sizes:
                         if size <= end:
                             i = piece_id(word[end - size : end])
                             if i is not None:
-                                left = last[end - size]
-                                fine = left < 0 or self.pairs.get(left * PIECES + i)
+                                left = last[end - size]  # below 0: nothing merges with the start or with a letter spelled in bytes
+                                fine = left < 0 or pairs(left * PIECES + i)
                                 if fine is None:
-                                    fine = self.stays(left, i, wait)
-                                    if fine is None:
-                                        sure, fine = end - 1 if sure is None else sure, True
+                                    fine = self.stays(left, i)
                                 if fine:
                                     count = cells[end - size] + 1
                                     break
                     else:  # no piece ends here: the letter is spelled in bytes
-                        i, count = -1, cells[-1] + len(word[end - 1].encode())
-                steps.append(count - cells[-1] & 255)
+                        i, count = -1, before + len(word[end - 1].encode())
+                steps.append(count - before & 255)
                 cells.append(count)
                 last.append(i)
+                before = count
             begin = stop
-        return sure
 
     def learn(self, words: set[str]) -> None:
         """Works words out in their order, so that each goes on from the letters it shares with the one before."""
@@ -143,25 +128,18 @@ class PrefixCounter:
             self.pairs.clear()
         left = sorted(new)
         whole = dict(zip(left, self.model.encode(left, num_threads=1))) if left else {}
-        for wait in (*[True] * WAITS, False):
-            before, cells, last, steps, waiting = "", [0], [-1], bytearray(), []
-            for word in left:
-                full = BLANK + word.replace(" ", BLANK)
-                n, most = 0, min(len(full), len(before))
-                while n < most and full[n] == before[n]:
-                    n += 1
-                del cells[n + 1 :], last[n + 1 :], steps[n:]
-                sure = self.extend(full, whole[word], cells, last, steps, wait)
-                before = full[:sure]
-                if sure is not None:
-                    waiting.append(word)
-                elif word and cells[-1] != len(whole[word]):
-                    raise AssertionError(f"counts of {word[:80]!r} differ from the library's")
-                else:
-                    self.steps[word] = bytes(steps)
-            left = waiting
-            if self.wanted:
-                self.settle()
+        before, cells, last, steps = "", [0], [-1], bytearray()
+        for word in left:
+            full = BLANK + word.replace(" ", BLANK)
+            n, most = 0, min(len(full), len(before))
+            while n < most and full[n] == before[n]:
+                n += 1
+            del cells[n + 1 :], last[n + 1 :], steps[n:]
+            self.extend(full, whole[word], cells, last, steps)
+            before = full
+            if word and cells[-1] != len(whole[word]):
+                raise AssertionError(f"counts of {word[:80]!r} differ from the library's")
+            self.steps[word] = bytes(steps)
 
     def tables(self, texts: list[str]) -> list[bytes]:
         """For each text the change of the count with each of its code points (8 bits, signed)."""
