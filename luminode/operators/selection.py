@@ -74,9 +74,10 @@ def min_cover(cover: DataFrame, key: str, element: str, choice: str, store, max_
     """Greedy set cover of every key at once: in each round each key takes the choice that covers most uncovered elements.
 
     Ties go to the smaller choice. store(df) cuts the lineage of a round (a checkpoint or a written
-    table). Gives key, choice and the round in which it was taken.
+    table). Gives key, choice and the round in which it was taken. A choice's rows lie together, and what
+    a round covers is stored by itself, so that a small one reaches the rows without a shuffle of them.
     """
-    left, chosen = store(cover.select(key, element, choice).distinct()), None
+    left, chosen = store(cover.select(key, element, choice).repartition(key, choice).distinct()), None
     for k in range(max_rounds + 1):
         if k == max_rounds:
             raise RuntimeError(f"elements are left after {max_rounds} rounds")
@@ -85,7 +86,7 @@ def min_cover(cover: DataFrame, key: str, element: str, choice: str, store, max_
         if best.isEmpty():
             break
         chosen = best if chosen is None else chosen.union(best)
-        covered = left.join(best, [key, choice]).select(key, element)
+        covered = store(left.join(best, [key, choice]).select(key, element).distinct())
         left = store(left.join(covered, [key, element], "left_anti"))
     return chosen
 
@@ -97,7 +98,7 @@ def without_redundant(cover: DataFrame, chosen: DataFrame, key: str, element: st
     elements has another choice; every key drops one in a round.
     """
     kept = store(chosen.select(key, choice, "round"))
-    pairs = store(cover.select(key, element, choice).distinct().join(chosen.select(key, choice), [key, choice], "left_semi"))
+    pairs = store(cover.select(key, element, choice).join(chosen.select(key, choice), [key, choice], "left_semi").distinct())
     while True:
         now = pairs.join(kept, [key, choice])
         times = now.groupBy(key, element).agg(F.count("*").alias("times"))

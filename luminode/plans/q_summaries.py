@@ -689,7 +689,8 @@ def e08_cover_quality(spark, d):
     """Suppliers that cover a nation's parts, by region of the order's customer: greedy size, size without redundant ones, and a bound for any cover."""
     li, o, c = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.select(F.col("c_nationkey").alias("key"), (F.col("l_partkey") % 97).alias("element"), F.col("l_suppkey").alias("choice"))
+    rows = stored(rows.select(F.col("c_nationkey").alias("key"), (F.col("l_partkey") % 97).alias("element"), F.col("l_suppkey").alias("choice")).distinct(), "cover")
+    # three steps read the pairs, which are joined once
     chosen = selection.min_cover(rows, "key", "element", "choice", stored)
     kept = selection.without_redundant(rows, chosen, "key", "element", "choice", stored)
     size = lambda df, name: df.groupBy("key").agg(F.count("*").alias(name))
