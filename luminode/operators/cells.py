@@ -13,6 +13,9 @@ from luminode.operators import joins as J
 from luminode.operators.scans import running
 from luminode.sources.shared import stored
 
+#: Bootstrap draws that a task counts.
+TASK_DRAWS = 500_000
+
 
 def measure_regions(pixels: DataFrame, keys: tuple[str, ...] = ("image_id", "label"), intensity: str | None = None, spectrum: str | None = None) -> DataFrame:
     """Area, centroid, axes, eccentricity and orientation of every region, from second moments.
@@ -310,13 +313,18 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, id: str, replicat
 
     Rows are numbered by id in parts, so a key with very many rows is split. draw (a long column, which
     may use the keys, replicate and i) replaces the hash. Replicates are few: their quartiles are exact.
+    Rows and draws are dealt to so many tasks that each holds about TASK_DRAWS draws.
     """
     numbered = running(df.select(*keys, value, id), keys, [F.col(id)], "i").select(*keys, value, F.col("i").cast("long").alias("i"))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = stored(df.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, math.ceil(total * replicates / TASK_DRAWS))
+    numbered = numbered.repartition(parts, *keys, "i")
     draws = numbered.join(sizes, keys, "left").select(*keys, "n", "i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     drawn = draw if draw is not None else F.xxhash64(*keys, "replicate", "i", F.lit(seed))
     # equal draws are counted before they meet the values
-    counted = draws.select(*keys, "replicate", (F.pmod(drawn, F.col("n")) + 1).alias("i")).groupBy(*keys, "replicate", "i").agg(F.count("*").alias("times"))
+    dealt = draws.select(*keys, "replicate", (F.pmod(drawn, F.col("n")) + 1).alias("i")).repartition(parts, *keys, "i")
+    counted = dealt.groupBy(*keys, "replicate", "i").agg(F.count("*").alias("times"))
     means = counted.join(numbered, [*keys, "i"]).groupBy(*keys, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
     return means.groupBy(*keys).agg(F.avg("m").alias("mean"), F.percentile("m", 0.25).alias("q25"), F.percentile("m", 0.75).alias("q75"))
 
