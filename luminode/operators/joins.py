@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from luminode.functions import scalars as S
+from luminode.operators import seeds
 from luminode.operators.scans import nearest_flagged  # noqa: F401
 from luminode.operators.tiles import CellTree
 from luminode.sources.shared import stored
@@ -16,6 +17,8 @@ from luminode.sources.shared import stored
 BUCKET = 64
 #: Cells of a square that one task compares with their neighbours.
 CROWD = 2000
+#: Letters of the longest probe up to which a seed carries what lies around it.
+NEAR = 64
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
 
 
@@ -197,17 +200,29 @@ def seed_hits(probes: DataFrame, targets: DataFrame, k: int, max_targets_per_see
     and the longest true run. Every seed is used; a bound on targets per seed is the caller's choice.
     """
     strands = probes.select("probe_id", F.lit("+").alias("strand"), "seq").union(probes.select("probe_id", F.lit("-"), S.reverse_complement("seq")))
-    p = strands.select("probe_id", "strand", F.posexplode(S.kmers("seq", k)).alias("i", "seed"))
-    t = targets.select("molecule_id", F.posexplode(S.kmers("seq", k)).alias("j", "seed"))
-    wanted = t.join(p.select("seed").distinct(), "seed", "left_semi")
+    strands = strands.where("probe_id IS NOT NULL")
+    own = seeds.places(strands, k).select("probe_id", "strand", F.col("at").alias("i"), "seed")
+    longest = probes.agg(F.max(F.length("seq"))).first()[0] or 0
+    near = longest <= NEAR
+    found = seeds.places(targets.where("molecule_id IS NOT NULL").select("molecule_id", "seq"), k, *seeds.marked(own), reach=max(longest - k, 0) if near else 0)
+    wanted = found.withColumnRenamed("at", "j").join(own.select("seed").distinct(), "seed", "left_semi")
     if max_targets_per_seed:
         common = wanted.groupBy("seed").agg(F.count_distinct("molecule_id").alias("n")).where(F.col("n") > max_targets_per_seed)
         wanted = wanted.join(common, "seed", "left_anti")
-    diagonals = p.select("probe_id", "strand", "seed", "i").join(wanted, "seed").select("probe_id", "strand", "molecule_id", (F.col("j") - F.col("i")).alias("diagonal")).distinct()
-    rows = diagonals.join(strands.withColumnRenamed("seq", "q"), ["probe_id", "strand"]).join(targets.select("molecule_id", F.col("seq").alias("t")), "molecule_id")
-    start, end = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.length("q"), F.length("t") - F.col("diagonal"))
-    rows = rows.withColumns({"qseq": F.substring(F.col("q"), start + 1, end - start), "sseq": F.substring(F.col("t"), F.col("diagonal") + start + 1, end - start)})
-    return rows.select("probe_id", "strand", "molecule_id", (F.col("diagonal") + start + 1).alias("molecule_start"), F.length("qseq").alias("length"), S.max_homology("qseq", "sseq").alias("mch"), S.longest_run("qseq", "sseq").alias("run"))
+    diagonal = (F.col("j") - F.col("i")).alias("diagonal")
+    texts = strands.withColumnRenamed("seq", "q")
+    start, end = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.length("q"), F.col("n") - F.col("diagonal"))
+    piece = lambda text, first: F.substring(F.col(text), (F.col("diagonal") + start - first + 1).cast("int"), end - start)
+    if near:  # what a probe can reach comes with the seed: no sequence is fetched again
+        rows = own.join(texts, ["probe_id", "strand"]).join(wanted, "seed").where(F.substring(F.col("q"), F.col("i") + 1, F.lit(k)) == F.substring(F.col("around"), F.col("j") - F.col("first") + 1, F.lit(k)))
+        rows = rows.select("probe_id", "strand", "molecule_id", diagonal, "q", "n", "first", "around")
+        rows = rows.select("probe_id", "strand", "molecule_id", "diagonal", "q", "n", piece("around", F.col("first")).alias("sseq")).distinct()
+    else:
+        diagonals = own.join(wanted, "seed").select("probe_id", "strand", "molecule_id", "n", diagonal).distinct()
+        rows = diagonals.join(texts, ["probe_id", "strand"]).join(targets.select("molecule_id", F.col("seq").alias("t")), "molecule_id").withColumn("sseq", piece("t", F.lit(0)))
+    rows = rows.withColumn("qseq", F.substring(F.col("q"), start + 1, end - start))
+    rows = rows.select("probe_id", "strand", "molecule_id", (F.col("diagonal") + start + 1).alias("molecule_start"), F.length("qseq").alias("length"), seeds.aligned_runs("qseq", "sseq").alias("runs"))
+    return rows.select("probe_id", "strand", "molecule_id", "molecule_start", "length", "runs.mch", "runs.run")
 
 
 def lineage(ids: DataFrame, taxonomy: DataFrame, ranks: tuple[str, ...] = RANKS, depth: int | None = None) -> DataFrame:
