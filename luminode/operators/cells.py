@@ -448,9 +448,19 @@ def remove_background(pixels: DataFrame, images: DataFrame, v: str = "v", mask:
     return joined.withColumn(v, F.when(F.col("factor").isNull(), F.col(v)).otherwise(S.subtract_background(v, "__background", "factor", channels))).drop("__background")
 
 
-def average_frames(pixels: DataFrame, value: str = "v") -> DataFrame:
-    """Mean of each place over frames, divided by the largest mean."""
-    mean = pixels.groupBy("x", "y").agg(F.avg(value).alias("m"))
+def average_frames(pixels: DataFrame, value: str = "v", frame: str | None = None) -> DataFrame:
+    """Mean of each place over frames, divided by the largest mean.
+
+    With frame, the numbers of a place (held together) are added in the order of its frames: the
+    same mean to the last bit on every run, where sums in any order differ in it.
+    """
+    mean = pixels.groupBy("x", "y")
+    if frame is None:
+        mean = mean.agg(F.avg(value).alias("m"))
+    else:
+        rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(frame).alias("at"), F.col(value).cast("double").alias("v")))))
+        total = F.aggregate("rows", F.lit(0.0), lambda sum, row: sum + row["v"])
+        mean = mean.agg(rows.alias("rows")).select("x", "y", F.when(F.size("rows") > 0, total / F.size("rows")).alias("m"))
     return mean.crossJoin(F.broadcast(mean.agg(F.max("m").alias("top")))).select("x", "y", (F.col("m") / F.col("top")).alias("calibration"))
 
 

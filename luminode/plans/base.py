@@ -40,6 +40,14 @@ def rnd(c, places: int = 6):
     return F.round(c.cast("double"), places) + F.lit(0.0)
 
 
+def rnd_scaled(c, places: int):
+    """A double rounded as the SQL side rounds: scaled, to the nearest whole number (halves away from zero), scaled back.
+
+    Spark's own rounding goes by a double's shortest decimal digits; the two differ where scaling lands on a half.
+    """
+    return F.round(c * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 
 

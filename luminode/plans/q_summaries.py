@@ -8,7 +8,7 @@ from luminode.functions import scalars as S
 from luminode.operators import cells as C
 from luminode.operators import joins as J
 from luminode.operators import probes, selection, summaries
-from luminode.plans.base import CELLS, HITS, PIXELS, SPECTRA, cells, dna, dna_sql, documents, hits, pixels, query, rnd, spectra, table
+from luminode.plans.base import CELLS, HITS, PIXELS, SPECTRA, cells, dna, dna_sql, documents, hits, pixels, query, rnd, rnd_scaled, spectra, table
 from luminode.plans.q_joins import _EDGES, POINTS, points
 from luminode.sources.shared import stored
 
@@ -537,8 +537,8 @@ def b23_flat_field(spark, d):
     """Log intensities over the frames' average."""
     px = _px3(spark, d)
     logs = px.withColumn("intensity", F.transform("intensity", lambda x: F.log(x + 2)))
-    out = C.flat_field(logs, C.average_frames(px), "intensity", 2)
-    return out.select("image_id", "x", "y", F.transform("intensity", lambda x: F.round(x, 7)).alias("w"))
+    out = C.flat_field(logs, C.average_frames(px, frame="image_id"), "intensity", 2)
+    return out.select("image_id", "x", "y", F.transform("intensity", lambda x: rnd_scaled(x, 7)).alias("w"))
 
 
 @query("SELECT l_linenumber, round(avg(l_extendedprice), 4) AS intensity, count(*) AS n FROM lineitem GROUP BY 1")
